@@ -54,3 +54,10 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, r6(c))
     return df
+
+
+def nudged(df: DataFrame, *cols: str) -> DataFrame:
+    """Like `rounded` for products of short decimals, which often lie exactly between two roundings."""
+    for c in cols:
+        df = df.withColumn(c, F.round(F.col(c) + F.lit(1e-9), 6))
+    return df
