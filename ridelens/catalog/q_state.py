@@ -12,12 +12,12 @@ from ridelens.operators import alert_policy, detector, tracking
 @query("alert_policy", ["a_tracks"], f"""
 recursive {SCORED}, {{PH}} as (select *, {_PHRASE} as phrase from gt),
 o as (select *, row_number() over (partition by session_id order by timestamp_ns, seq, price) as rn from ph where gate is null),
-w as (select distinct session_id, 0::bigint as rn, null::bigint as frame, null::bigint as seq, null::double as price, 0::bigint as ga, map([]::varchar[], []::bigint[]) as cl, map([]::bigint[], []::int[]) as sv, null::varchar as reason from o
+w as (select distinct session_id, 0::bigint as rn, null::bigint as frame, null::bigint as seq, null::double as price, 0::bigint as ga, map([]::varchar[], []::bigint[]) as cl, map([]::bigint[], []::int[]) as svm, null::varchar as reason from o
  union all
  select session_id, rn, frame, seq, price, case when rs = 'fired' then t else ga end, case when rs = 'fired' then map_concat(cl, map([sem], [t])) else cl end,
-   case when rs = 'fired' then map_concat(sv, map([tr], [greatest(sev, 0)])) else sv end, rs
- from (select o.session_id, o.rn, o.frame, o.seq, o.price, o.timestamp_ns as t, o.semantic_type as sem, o.track_id as tr, o.severity as sev, ga, cl, sv,
-   case when sv[o.track_id] is not null and not (o.severity - sv[o.track_id] >= 1 and o.severity >= 2) then 'already_alerted'
+   case when rs = 'fired' then map_concat(svm, map([tr], [greatest(sev, 0)])) else svm end, rs
+ from (select o.session_id, o.rn, o.frame, o.seq, o.price, o.timestamp_ns as t, o.semantic_type as sem, o.track_id as tr, o.severity as sev, ga, cl, svm,
+   case when svm[o.track_id] is not null and not (o.severity - svm[o.track_id] >= 1 and o.severity >= 2) then 'already_alerted'
         when ga <> 0 and o.timestamp_ns - ga < 2200000000 then 'global_cooldown'
         when coalesce(cl[o.semantic_type], 0) <> 0 and o.timestamp_ns - cl[o.semantic_type] < 4000000000 then 'class_cooldown' else 'fired' end as rs
    from w join o on o.session_id = w.session_id and o.rn = w.rn + 1))

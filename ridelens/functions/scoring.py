@@ -55,9 +55,10 @@ def alert_parts(cfg: AlertConfig, c=F.col) -> dict[str, Column]:
             "alert_score": score, "threshold": threshold}
 
 
-def gate_reason(cfg: AlertConfig, c=F.col) -> Column:
-    """First stateless gate a track row fails, null when it passes them all."""
-    parts = alert_parts(cfg, c)
+def gate_reason(cfg: AlertConfig, c=F.col, *, parts: dict[str, Column] | None = None) -> Column:
+    """First stateless gate a track row fails, null when it passes them all. `parts` are score columns
+    that are already there."""
+    parts = parts or alert_parts(cfg, c)
     bump = parts["bump_hazard"]
     sem, geo, state = c("semantic_type"), c("geometry_type"), c("object_state")
     status = c("status")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +13,26 @@ from ridelens.functions import camera
 
 
 def _moments(df: DataFrame, features: str, dim: int, targets: dict[str, Column]) -> tuple[np.ndarray, np.ndarray]:
-    """XᵀX and XᵀY with an intercept column: one aggregate of fixed size, whatever the row count."""
-    x = [F.col(features)[i].cast("double") for i in range(dim)] + [F.lit(1.0)]
-    gram = [F.sum(x[i] * x[j]) for i in range(dim + 1) for j in range(i, dim + 1)]
-    cross = [F.sum(x[i] * y) for y in targets.values() for i in range(dim + 1)]
-    row = df.agg(F.array(*gram).alias("g"), F.array(*cross).alias("c")).first()
-    g = np.zeros((dim + 1, dim + 1))
-    g[np.triu_indices(dim + 1)] = row["g"]
-    g = g + np.triu(g, 1).T
-    return g, np.asarray(row["c"]).reshape(len(targets), dim + 1).T
+    """XᵀX and XᵀY with an intercept column.
+
+    Every task multiplies its Arrow batches and hands on one matrix; the matrices are summed by Spark,
+    cell by cell, so the driver receives (dim+1)·(dim+1+targets) numbers whatever the row count.
+    """
+    slim = df.select(F.col(features).alias("x"), *[y.alias(f"y{i}") for i, y in enumerate(targets.values())])
+    n_y = len(targets)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((dim + 1, dim + 1 + n_y))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.hstack([np.stack(pdf["x"].to_numpy()).astype(np.float64), np.ones((len(pdf), 1))])
+            total += x.T @ np.hstack([x, pdf[[f"y{i}" for i in range(n_y)]].to_numpy(dtype=np.float64)])
+        yield pd.DataFrame({"cell": np.arange(total.size), "v": total.ravel()})
+
+    cells = slim.mapInPandas(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).orderBy("cell").toPandas()
+    m = cells["v"].to_numpy().reshape(dim + 1, dim + 1 + n_y)
+    return m[:, :dim + 1], m[:, dim + 1:]
 
 
 def fit_linear(df: DataFrame, *, features: str = "features", dim: int, target: str = "y") -> list[float]:
@@ -78,20 +90,24 @@ def fit_mounts(mounts: DataFrame, *, key: str = "profile_id", n_pitch: int = 33,
     low = F.greatest(F.lit(0.55), h0 - 0.45)
     grid = F.sequence(F.lit(0), F.lit(n_pitch * n_height - 1))
 
-    def trial(i: Column) -> Column:
+    def candidate(i: Column) -> Column:
         pitch = p0 - 8.0 + F.floor(i / n_height) * (16.0 / (n_pitch - 1))
         height = low + (i % n_height) * ((h0 + 0.45 - low) / (n_height - 1))
-        m = {**camera.mount_columns(), "pitch_deg": pitch, "camera_height_m": height}
+        return F.struct(i.alias("i"), pitch.alias("pitch"), height.alias("height"),
+                        camera.rotation(pitch, F.col("roll_deg"), F.col("yaw_deg")).alias("rot"))
+
+    def trial(t: Column) -> Column:
+        m = {**camera.mount_columns(t["rot"]), "camera_height_m": t["height"]}
 
         def err(k: Column) -> Column:
             _, v = camera.project(F.lit(0.0), k["d"], m)
             return (v - k["v"]) * (v - k["v"])
 
         total = F.aggregate(F.transform(F.col("_mk"), err), F.lit(0.0), lambda a, e: a + e)
-        return F.struct(F.coalesce(total, F.lit(float("inf"))).alias("err"), i.alias("i"), pitch.alias("pitch"), height.alias("height"))
+        return F.struct(F.coalesce(total, F.lit(float("inf"))).alias("err"), t["i"].alias("i"), t["pitch"].alias("pitch"), t["height"].alias("height"))
 
     out = mounts.withColumn("_mk", markers).withColumn(
-        "_best", F.when(F.size("_mk") >= 2, F.array_min(F.transform(grid, trial))))
+        "_best", F.when(F.size("_mk") >= 2, F.array_min(F.transform(F.transform(grid, candidate), trial))))
     fitted = F.col("_best").isNotNull()
     found = fitted & (F.col("_best.err") < float("inf"))
     return out.select(
@@ -106,12 +122,17 @@ def roundtrip_error(mounts: DataFrame, *, key: str = "profile_id", n: int = 5) -
     grid = F.sequence(F.lit(0), F.lit(n * n - 1))
     m = camera.mount_columns()
 
-    def err(i: Column) -> Column:
-        x = F.lit(-1.6) + F.floor(i / n) * (3.2 / (n - 1))
-        y = F.lit(5.0) + (i % n) * (23.0 / (n - 1))
-        u, v = camera.project(x, y, m)
-        gx, gy = camera.ground_point(u, v, m)
-        u2, v2 = camera.project(gx, gy, m)
-        return F.hypot(u - u2, v - v2)
+    def pixel(g: Column) -> Column:
+        u, v = camera.project(g["x"], g["y"], m)
+        return F.when(u.isNotNull(), F.struct(u.alias("u"), v.alias("v")))
+
+    def place(i: Column) -> Column:
+        return F.struct((F.lit(-1.6) + F.floor(i / n) * (3.2 / (n - 1))).alias("x"), (F.lit(5.0) + (i % n) * (23.0 / (n - 1))).alias("y"))
 
-    return mounts.select(key, F.coalesce(F.array_max(F.transform(grid, err)), F.lit(999.0)).alias("max_error_px"))
+    # each step is a list of its own, so no expression contains another one several times
+    first = F.transform(F.transform(grid, place), pixel)
+    df = camera.with_rotation(mounts).withColumn("_first", first)
+    df = df.withColumn("_ground", F.transform("_first", lambda p: camera.ground_point(p["u"], p["v"], m)))
+    df = df.withColumn("_again", F.transform("_ground", pixel))
+    errs = F.zip_with("_first", "_again", lambda a, b: F.hypot(a["u"] - b["u"], a["v"] - b["v"]))
+    return df.select(key, F.coalesce(F.array_max(errs), F.lit(999.0)).alias("max_error_px"))

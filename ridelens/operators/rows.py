@@ -46,7 +46,11 @@ def score_alerts(tracks: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFra
 
 def gate_alerts(tracks: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     """`gate_reason`: the first stateless gate the row fails, null when it passes all."""
-    return tracks.withColumn("gate_reason", scoring.gate_reason(cfg))
+    scored = {"bump_hazard", "alert_score", "threshold"}
+    base = tracks if scored | {"urgency"} <= set(tracks.columns) else score_alerts(tracks, cfg)
+    parts = {c: F.col(c) for c in scored}
+    out = base.withColumn("gate_reason", scoring.gate_reason(cfg, parts=parts))
+    return out if base is tracks else out.select(*tracks.columns, "gate_reason")
 
 
 def gate_reason_counts(tracks: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
@@ -136,20 +140,20 @@ def localize_tracks(tracks: DataFrame, mounts: DataFrame, *, key: str = "profile
     Mount profiles are a small dimension; they are broadcast only after their row count is checked,
     otherwise Spark joins on the profile id (one hot profile is split by the adaptive skew join).
     """
-    dim = mounts.select(key, "camera_height_m", "pitch_deg", "roll_deg", "yaw_deg", "lateral_offset_m", "fx", "fy", "cx", "cy", "valid")
+    cols = ["camera_height_m", "lateral_offset_m", "fx", "fy", "cx", "cy", "valid", "_rot"]
+    dim = camera.with_rotation(mounts).select(key, *cols)
     if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
         dim = F.broadcast(dim)
     joined = tracks.join(dim, key, "left")
     u, v = (F.col(c) for c in contact)
-    gx, gy = camera.ground_point(u, v, camera.mount_columns(), max_y=80.0)
-    valid = F.coalesce(F.col("valid"), F.lit(False))
-    out = joined.withColumn("road_x", F.when(valid, gx)).withColumn("road_y", F.when(valid, gy))
+    point = F.when(F.coalesce(F.col("valid"), F.lit(False)), camera.ground_point(u, v, camera.mount_columns(), max_y=80.0))
+    out = joined.withColumn("_g", point).withColumn("road_x", F.col("_g.x")).withColumn("road_y", F.col("_g.y"))
     dist = F.when(F.col("road_y").isNotNull(), F.greatest(F.lit(0.5), F.col("road_y")))
     conf = F.when(dist > 30, 0.45).when(dist > 20, 0.62).otherwise(0.82) * F.when(F.col(quality) < 0.4, 0.7).otherwise(1.0)
     return (out.withColumn("distance_m", dist)
             .withColumn("distance_confidence", F.when(dist.isNotNull(), conf).otherwise(0.0))
             .withColumn("distance_valid", dist.isNotNull())
-            .drop("camera_height_m", "pitch_deg", "roll_deg", "yaw_deg", "lateral_offset_m", "fx", "fy", "cx", "cy", "valid"))
+            .drop("_g", *cols))
 
 
 def display_distance(dist: Column, valid: Column, confidence: Column) -> Column:
@@ -203,17 +207,18 @@ def mark_passed(tracks: DataFrame, *, keys: Sequence[str] = ("session_id", "trac
 
 def mount_health(sessions: DataFrame, mounts: DataFrame, *, key: str = "profile_id", cfg: GeometryConfig = GeometryConfig()) -> DataFrame:
     """Whether the mount geometry may be trusted in each session, with the reason when not."""
-    cols = ["camera_height_m", "pitch_deg", "roll_deg", "yaw_deg", "lateral_offset_m", "fx", "fy", "cx", "cy", "valid"]
-    joined = sessions.join(mounts.select(key, *cols), key, "left")
+    # the expected horizon belongs to the mount, so it is computed on the small side
     _, horizon = camera.project(F.lit(0.0), F.lit(80.0), camera.mount_columns())
+    cols = ["_h", "valid"]
+    joined = sessions.join(camera.with_rotation(mounts).withColumn("_h", horizon).select(key, *cols), key, "left")
     off = F.coalesce(F.abs(F.col("horizon_y_px") - F.col("_h")) > cfg.horizon_tolerance_px, F.lit(False))
     ok = (F.abs(F.coalesce("pitch_err_deg", F.lit(0.0))) <= cfg.pitch_health_deg) & (
         F.abs(F.coalesce("roll_err_deg", F.lit(0.0))) <= cfg.roll_health_deg) & ~off
     valid = F.coalesce("valid", F.lit(False))
-    return (joined.withColumn("_h", horizon).withColumn("_ok", ok)
+    return (joined.withColumn("_ok", ok)
             .withColumn("geometry_valid", F.col("_ok") & valid)
             .withColumn("invalid_reason", F.when(~F.col("_ok"), "install_health_fail").when(~valid, "no_mount_profile"))
-            .withColumn("expected_horizon_y", F.col("_h")).drop("_h", "_ok", *cols))
+            .withColumn("expected_horizon_y", F.col("_h")).drop("_ok", *cols))
 
 
 # --- shapes ------------------------------------------------------------------------------------

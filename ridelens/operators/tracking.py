@@ -1,6 +1,7 @@
 """Linking detections into tracks: motion prediction, greedy matching, lifecycle.
 
-One session is one state machine; sessions run in parallel. A session's rows stream through its task
+One session is one state machine; sessions run in parallel. A candidate that timed out is no longer
+reported but can still be matched, as in the contract. A session's rows stream through its task
 in time order (`plans.fold`), so only the live tracks are held in memory.
 """
 
@@ -25,17 +26,22 @@ FRAME = ["timestamp_ns", "frame_id", "quality_ok", "allow_new", "yaw_rate", "fra
 # measurement picks x, y, w, h out of [x, y, vx, vy, w, h]
 _H = np.zeros((4, 6))
 _H[[0, 1, 2, 3], [0, 1, 4, 5]] = 1.0
+_NOISE = np.diag([1, 1, 4, 4, 0.5, 0.5])
+_CARRIED = (("semantic_type", "unknown_anomaly"), ("geometry_type", "unknown"), ("state", "unknown"), ("severity", -1))
 
 
 def new_tracker() -> dict:
-    return {"next": 1, "tracks": {}, "last": None}
+    """Live tracks of one session: motion state and boxes as arrays (row i = i-th live track), the rest as dicts."""
+    return {"next": 1, "last": None, "ids": np.zeros(0, dtype=np.int64), "mean": np.zeros((0, 6)), "cov": np.zeros((0, 6, 6)),
+            "box": np.zeros((0, 4)), "info": []}
 
 
-def _motion(mean: np.ndarray, cov: np.ndarray, dt: float, cfg: TrackingConfig) -> tuple[np.ndarray, np.ndarray]:
+def _predict(s: dict, dt: float, shift: float, cfg: TrackingConfig) -> None:
     f = np.eye(6)
     f[0, 2] = f[1, 3] = dt
-    noise = np.diag(cfg.process_noise * np.array([1, 1, 4, 4, 0.5, 0.5])) * max(dt, 1e-3)
-    return f @ mean, f @ cov @ f.T + noise
+    s["mean"] = s["mean"] @ f.T
+    s["mean"][:, 0] += shift
+    s["cov"] = f @ s["cov"] @ f.T + cfg.process_noise * max(dt, 1e-3) * _NOISE
 
 
 def _correct(mean: np.ndarray, cov: np.ndarray, z: np.ndarray, cfg: TrackingConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -43,85 +49,93 @@ def _correct(mean: np.ndarray, cov: np.ndarray, z: np.ndarray, cfg: TrackingConf
     return mean + gain @ (z - _H @ mean), (np.eye(6) - gain @ _H) @ cov
 
 
-def _pair_scores(tracks: dict, obs: list[dict], cfg: TrackingConfig) -> list[tuple[float, int, int]]:
-    """All admissible (score, track, observation) triples of one frame, best first."""
-    if not tracks or not obs:
+def _pairs(s: dict, obs: list[dict], cfg: TrackingConfig) -> list[tuple[float, int, int, int]]:
+    """Admissible (score, track id, observation, row) of one frame, best first; ties go to the larger id, then the later box."""
+    if not len(s["ids"]) or not obs:
         return []
-    ids = np.array(list(tracks))
-    tb = np.array([tracks[i]["box"] for i in ids])
-    ob = np.array([o["box"] for o in obs])
-    lo = np.maximum(tb[:, None, :2], ob[None, :, :2])
-    hi = np.minimum(tb[:, None, 2:], ob[None, :, 2:])
-    inter = np.prod(np.clip(hi - lo, 0, None), axis=2)
-    size = lambda b: np.clip(b[:, 2] - b[:, 0], 0, None) * np.clip(b[:, 3] - b[:, 1], 0, None)
-    union = size(tb)[:, None] + size(ob)[None, :] - inter
+    tb, ob = s["box"], np.array([o["box"] for o in obs])
+    z = np.array([o["z"][:2] for o in obs])
+    dist = np.hypot(s["mean"][:, None, 0] - z[None, :, 0], s["mean"][:, None, 1] - z[None, :, 1])
+    inter = np.prod(np.clip(np.minimum(tb[:, None, 2:], ob[None, :, 2:]) - np.maximum(tb[:, None, :2], ob[None, :, :2]), 0, None), axis=2)
+    tsize = np.prod(np.clip(tb[:, 2:] - tb[:, :2], 0, None), axis=1)
+    osize = np.prod(np.clip(ob[:, 2:] - ob[:, :2], 0, None), axis=1)
+    union = tsize[:, None] + osize[None, :] - inter
     iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
-    at = np.array([tracks[i]["mean"][:2] for i in ids])
-    dist = np.hypot(at[:, None, 0] - np.array([o["z"][0] for o in obs]), at[:, None, 1] - np.array([o["z"][1] for o in obs]))
-    sem_t = np.array([tracks[i]["semantic_type"] for i in ids], dtype=object)
-    sem_o = np.array([o["semantic_type"] for o in obs], dtype=object)
-    same = (sem_t[:, None] == sem_o[None, :]) | (sem_o == "unknown_anomaly")[None, :]
-    score = iou * np.where(same, 1.2, 0.7) - dist / 400.0
-    ok = (iou >= cfg.iou_match) | (dist < cfg.center_match_px)
-    return sorted(((float(score[a, b]), int(ids[a]), int(b)) for a, b in zip(*np.nonzero(ok))), reverse=True)
-
-
-def update_tracker(state: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -> Iterable[dict]:
-    """Advance the tracker by one frame and yield one row per live track."""
+    out = []
+    for a, b in zip(*np.nonzero((iou >= cfg.iou_match) | (dist < cfg.center_match_px))):
+        sem = obs[b]["semantic_type"]
+        same = sem == "unknown_anomaly" or sem == s["info"][a]["semantic_type"]
+        out.append((float(iou[a, b] * (1.2 if same else 0.7) - dist[a, b] / 400.0), int(s["ids"][a]), int(b), int(a)))
+    out.sort(reverse=True)
+    return out
+
+
+def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -> Iterable[dict]:
+    """Advance the tracker by one frame; yields a row per track that is not expired or changed in this frame."""
     now = int(frame["timestamp_ns"])
-    dt = 1.0 / 60.0 if state["last"] is None else max(1e-3, (now - state["last"]) / 1e9)
-    state["last"] = now
-    live, good = state["tracks"], bool(frame["quality_ok"])
-    for tr in live.values():
-        tr["mean"], tr["cov"] = _motion(tr["mean"], tr["cov"], dt, cfg)
-        tr["mean"][0] += float(frame["yaw_rate"]) * dt * float(frame["frame_width"]) * 0.55
-
-    taken, used = {}, set()
-    for _, tid, j in _pair_scores(live, obs, cfg):
-        if tid not in taken and j not in used:
-            taken[tid] = j
+    dt = 1.0 / 60.0 if s["last"] is None else max(1e-3, (now - s["last"]) / 1e9)
+    s["last"] = now
+    good = bool(frame["quality_ok"])
+    if len(s["ids"]):
+        _predict(s, dt, float(frame["yaw_rate"]) * dt * float(frame["frame_width"]) * 0.55, cfg)
+    taken: dict[int, int] = {}
+    used: set[int] = set()
+    for _, _, j, row in _pairs(s, obs, cfg):
+        if row not in taken and j not in used:
+            taken[row] = j
             used.add(j)
     notes: dict[int, str | None] = {}
-    lost = [tid for tid in live if tid not in taken]
-    for tid, j in taken.items():
-        tr, o = live[tid], obs[j]
-        tr["mean"], tr["cov"] = _correct(tr["mean"], tr["cov"], o["z"], cfg)
-        tr.update(misses=0, box=o["box"], quality_at_mask=o["quality_at_mask"], frame_id=o["frame_id"], obs_index=o["obs_index"],
-                  model_confidence=0.7 * tr["model_confidence"] + 0.3 * o["model_confidence"], fade=1.0)
-        for col, unknown in (("semantic_type", "unknown_anomaly"), ("geometry_type", "unknown"), ("state", "unknown"), ("severity", -1)):
-            if o[col] != unknown:
-                tr[col] = o[col]
-        notes[tid] = advance(tr["life"], now, tr["semantic_type"], tr["geometry_type"], True, good, cfg)
-    if frame["allow_new"]:
-        for j, o in enumerate(obs):
-            if j in used:
-                continue
-            tid, state["next"] = state["next"], state["next"] + 1
-            life: dict = {}
-            notes[tid] = advance(life, now, o["semantic_type"], o["geometry_type"], True, good, cfg)
-            live[tid] = {**{c: o[c] for c in ("semantic_type", "geometry_type", "state", "severity", "model_confidence",
-                                              "quality_at_mask", "box", "frame_id", "obs_index")},
-                         "mean": np.array([o["z"][0], o["z"][1], 0, 0, o["z"][2], o["z"][3]], dtype=float), "cov": np.eye(6) * 40.0,
-                         "misses": 0, "fade": 1.0, "life": life}
-    for tid in lost:
-        tr = live[tid]
-        tr["misses"] += 1
+    for row, j in taken.items():
+        t, o = s["info"][row], obs[j]
+        s["mean"][row], s["cov"][row] = _correct(s["mean"][row], s["cov"][row], o["z"], cfg)
+        s["box"][row] = o["box"]
+        t.update(misses=0, quality_at_mask=o["quality_at_mask"], frame_id=o["frame_id"], obs_index=o["obs_index"], fade=1.0,
+                 model_confidence=0.7 * t["model_confidence"] + 0.3 * o["model_confidence"])
+        t.update({c: o[c] for c, unknown in _CARRIED if o[c] != unknown})
+        notes[row] = advance(t["life"], now, t["semantic_type"], t["geometry_type"], True, good, cfg)
+    for row, t in enumerate(s["info"]):
+        if row in taken:
+            continue
+        t["misses"] += 1
+        t["obs_index"] = None
+        if t["life"]["state"] == "EXPIRED":
+            continue
         if not good:
-            tr["fade"] = max(0.25, tr["fade"] * 0.82)
-        notes[tid] = advance(tr["life"], now, tr["semantic_type"], tr["geometry_type"], False, good, cfg)
-        tr["obs_index"] = None
-        if notes[tid] == "lost":
-            tr["fade"] = 0.0
-    for tid, tr in list(live.items()):
-        if tr["life"]["state"] == "EXPIRED" and tr["fade"] < 0.05:
-            del live[tid]
-        yield {
-            "track_id": tid, "timestamp_ns": now, "frame_id": tr["frame_id"], "lifecycle_state": tr["life"]["state"], "hits": tr["life"]["hits"],
-            "misses": tr["misses"], "age_s": (now - tr["life"]["created"]) / 1e9, "fade": tr["fade"], "semantic_type": tr["semantic_type"],
-            "geometry_type": tr["geometry_type"], "object_state": tr["state"], "severity": tr["severity"],
-            "model_confidence": tr["model_confidence"], "quality_at_mask": tr["quality_at_mask"], "mean_x": tr["mean"][0], "mean_y": tr["mean"][1],
-            "x0": tr["box"][0], "y0": tr["box"][1], "x1": tr["box"][2], "y1": tr["box"][3], "obs_index": tr["obs_index"],
-            "transition": notes.get(tid)}
+            t["fade"] = max(0.25, t["fade"] * 0.82)
+        notes[row] = advance(t["life"], now, t["semantic_type"], t["geometry_type"], False, good, cfg)
+        if notes[row] == "lost":
+            t["fade"] = 0.0
+    fresh = [(j, o) for j, o in enumerate(obs) if j not in used] if frame["allow_new"] else []
+    for k, (_, o) in enumerate(fresh):
+        life: dict = {}
+        notes[len(s["info"])] = advance(life, now, o["semantic_type"], o["geometry_type"], True, good, cfg)
+        s["info"].append({**{c: o[c] for c in ("semantic_type", "geometry_type", "state", "severity", "model_confidence", "quality_at_mask",
+                                               "frame_id", "obs_index")}, "misses": 0, "fade": 1.0, "life": life})
+    if fresh:
+        n = len(fresh)
+        z = np.array([o["z"] for _, o in fresh])
+        s["ids"] = np.append(s["ids"], s["next"] + np.arange(n))
+        s["next"] += n
+        s["mean"] = np.vstack([s["mean"], np.column_stack([z[:, 0], z[:, 1], np.zeros((n, 2)), z[:, 2], z[:, 3]])])
+        s["cov"] = np.concatenate([s["cov"], np.repeat(np.eye(6)[None] * 40.0, n, axis=0)])
+        s["box"] = np.vstack([s["box"], [o["box"] for _, o in fresh]])
+    keep = np.ones(len(s["info"]), dtype=bool)
+    for row, t in enumerate(s["info"]):
+        state = t["life"]["state"]
+        if state == "EXPIRED":
+            keep[row] = t["fade"] >= 0.05
+            if notes.get(row) is None and row not in taken:
+                continue
+        m, box = s["mean"][row], s["box"][row]
+        yield {"track_id": int(s["ids"][row]), "timestamp_ns": now, "frame_id": t["frame_id"], "lifecycle_state": state, "hits": t["life"]["hits"],
+               "misses": t["misses"], "age_s": (now - t["life"]["created"]) / 1e9, "fade": t["fade"], "semantic_type": t["semantic_type"],
+               "geometry_type": t["geometry_type"], "object_state": t["state"], "severity": t["severity"], "model_confidence": t["model_confidence"],
+               "quality_at_mask": t["quality_at_mask"], "mean_x": float(m[0]), "mean_y": float(m[1]), "x0": float(box[0]), "y0": float(box[1]),
+               "x1": float(box[2]), "y1": float(box[3]), "obs_index": t["obs_index"], "transition": notes.get(row)}
+    if not keep.all():
+        for c in ("ids", "mean", "cov", "box"):
+            s[c] = s[c][keep]
+        s["info"] = [t for t, k in zip(s["info"], keep) if k]
 
 
 def read_frame(c: dict, i: int) -> tuple[dict, dict | None]:
