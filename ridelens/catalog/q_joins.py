@@ -317,7 +317,7 @@ def _(v: Views):
 , r as (select im, seq, price, row_number() over (partition by im order by rn) as p from k where hit) select im as image, seq, price from r where p <= 60
 """)
 def _(v: Views):
-    return spatial.nms(_coarse(v), iou_threshold=0.45, plus_one=True, cap=60, round_size=64).select("image", "seq", "price")
+    return spatial.nms(_coarse(v), iou_threshold=0.45, plus_one=True, cap=60, list_size=8, round_size=64).select("image", "seq", "price")
 
 
 @query("decode_detections", ["a_boxes"], """

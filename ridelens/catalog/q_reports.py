@@ -291,7 +291,7 @@ gm as (select nf.slice, frames, confirmed, candidates, direction_correct / direc
 
 
 def _golden(v: Views):
-    m = _matches(v)
+    m = _matches(v).persist()  # shared by all metrics
     return reports.golden_metrics(v.a_gt, _sliced(v), m, tracks.id_switches(m.where(_SOLID)))
 
 

@@ -25,10 +25,9 @@ select p.frame, p.seq, p.price, coalesce(gate, reason) as reason, coalesce(reaso
   case when reason = 'fired' then phrase else '' end as phrase from ph p left join w on w.frame = p.frame and w.seq = p.seq and w.price = p.price
 """.replace("{PH}", "ph"))
 def _(v: Views):
-    t = v.a_tracks
-    df = alert_policy.alert_policy(t)
-    return nudged(df, "alert_score").join(t.select("session_id", "timestamp_ns", "seq", "price", "track_id", "frame"), ["session_id", "timestamp_ns", "seq", "price", "track_id"]).select(
-        "frame", "seq", "price", "reason", "fired", "alert_score", "phrase")
+    # timestamps are frame · 33 ms
+    df = alert_policy.alert_policy(v.a_tracks).withColumn("frame", (F.col("timestamp_ns") / 33_000_000).cast("long"))
+    return nudged(df, "alert_score").select("frame", "seq", "price", "reason", "fired", "alert_score", "phrase")
 
 
 @query("alert_reason_counts", None)

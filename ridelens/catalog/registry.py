@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.catalog.adapters import duck_cte, spark_view
+from ridelens.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +29,7 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
     """Register `fn(views) -> DataFrame`; `sql` is a DuckDB select, prefixed with the named views."""
 
     def deco(fn: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Views(tune(spark), sf_dir))
         if sql is not None:
             body = sql.strip()
             head = duck_cte(views) if views else ""

@@ -39,27 +39,31 @@ def risk_weight(severity: Column) -> Column:
             .when(severity == 3, 1.0).otherwise(0.22))
 
 
-def alert_parts(cfg: AlertConfig, c=F.col) -> dict[str, Column]:
-    """Score columns of a track row; `c` resolves a column name."""
-    bump = V.is_bump_hazard(c("semantic_type"), c("geometry_type"), c("object_state"))
-    vs = visual_score(c("model_confidence"), c("visibility_confidence"),
-                      c("temporal_confidence"), c("geometry_consistency"))
-    sev = severity_weight(c("severity"), c("geometry_type"), c("object_state"))
-    urg0 = urgency(c("ttc_s"))
-    urg = F.when(bump, F.greatest(urg0, F.lit(0.65))).otherwise(urg0)
+def alert_factors(c=F.col) -> dict[str, Column]:
+    """Factors of the alert score; needs the `bump_hazard` column."""
+    raw = urgency(c("ttc_s"))
+    return {
+        "visual_score": visual_score(c("model_confidence"), c("visibility_confidence"),
+                                     c("temporal_confidence"), c("geometry_consistency")),
+        "severity_score": severity_weight(c("severity"), c("geometry_type"), c("object_state")),
+        "urgency": F.when(c("bump_hazard"), F.greatest(raw, F.lit(0.65))).otherwise(raw),
+    }
+
+
+def alert_totals(cfg: AlertConfig, c=F.col) -> dict[str, Column]:
+    """Score and threshold from the factor columns."""
     damp = F.when(c("semantic_type") == "unknown_anomaly", 0.55).otherwise(1.0)
-    base = vs * sev * c("path_relevance") * urg * damp
-    score = F.when(bump, F.greatest(base, c("model_confidence") * c("path_relevance"))).otherwise(base)
-    threshold = F.when(bump, F.lit(cfg.bump_score_threshold)).otherwise(F.lit(cfg.score_threshold))
-    return {"bump_hazard": bump, "visual_score": vs, "severity_score": sev, "urgency": urg,
-            "alert_score": score, "threshold": threshold}
-
-
-def gate_reason(cfg: AlertConfig, c=F.col, *, parts: dict[str, Column] | None = None) -> Column:
-    """First stateless gate a track row fails, null when it passes them all. `parts` are score columns
-    that are already there."""
-    parts = parts or alert_parts(cfg, c)
-    bump = parts["bump_hazard"]
+    base = c("visual_score") * c("severity_score") * c("path_relevance") * c("urgency") * damp
+    floor = F.when(c("bump_hazard"), c("model_confidence") * c("path_relevance")).otherwise(0.0)
+    return {
+        "alert_score": F.when(c("bump_hazard"), F.greatest(base, floor)).otherwise(base),
+        "threshold": F.when(c("bump_hazard"), F.lit(cfg.bump_score_threshold)).otherwise(F.lit(cfg.score_threshold)),
+    }
+
+
+def gate_reason(cfg: AlertConfig, c=F.col) -> Column:
+    """First stateless gate a scored track row fails, null when it passes them all."""
+    bump = c("bump_hazard")
     sem, geo, state = c("semantic_type"), c("geometry_type"), c("object_state")
     status = c("status")
     pause = F.lit(cfg.pause_on_degraded)
@@ -77,7 +81,7 @@ def gate_reason(cfg: AlertConfig, c=F.col, *, parts: dict[str, Column] | None =
          & ~(bump & (c("model_confidence") >= cfg.bump_model_floor)), "effective_gate"),
         (c("path_relevance") < cfg.min_path_relevance, "off_corridor"),
         (c("direction") == "UNKNOWN", "direction_unknown"),
-        (parts["alert_score"] < parts["threshold"], "below_threshold"),
+        (c("alert_score") < c("threshold"), "below_threshold"),
     ])
 
 

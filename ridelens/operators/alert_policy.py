@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ridelens.config import AlertConfig
 from ridelens.functions import scoring
-from ridelens.operators.rows import gate_alerts, score_alerts
+from ridelens.operators.rows import gate_alerts, rows_where, score_alerts
 from ridelens.plans.fold import ordered_fold
 
 
@@ -42,24 +42,20 @@ def alert_policy(tracks: DataFrame, *, key: str = "session_id", ts: str = "times
     """Decision per track row: reason, fired flag, score, threshold and, when fired, the phrase."""
     order = [ts, *tie]
     base = gate_alerts(score_alerts(tracks, cfg), cfg)
-    types = dict(base.dtypes)
-    slim = base.where("gate_reason is null").select(key, *order, "track_id", "semantic_type", "severity")
-
-    names = [key, *order, "track_id"]
+    keys = [key, *order, "track_id"]
+    shown = [*keys, "semantic_type", "direction", "alert_score", "threshold"]
+    survivors = rows_where(base, F.col("gate_reason").isNull(), *shown, "severity", scoring.phrase().alias("phrase"))
+    types = dict(survivors.dtypes)
 
     def step(state: dict, c: dict, span: range, out: list) -> None:
         for i in span:
-            out.append((*(c[n][i] for n in names),
-                        decide(state, c[ts][i], c["track_id"][i], c["semantic_type"][i], c["severity"][i], cfg)))
+            out.append((*(c[n][i] for n in shown), decide(
+                state, c[ts][i], c["track_id"][i], c["semantic_type"][i], c["severity"][i], cfg), c["phrase"][i]))
 
-    schema = ", ".join(f"{c} {types[c]}" for c in [key, *order, "track_id"]) + ", _decision string"
-    decided = ordered_fold(slim, [key], order, new_policy_state, step, schema)
-    keys = [key, *order, "track_id"]
-    cols = [*keys, "semantic_type", "direction", "severity", "alert_score", "threshold"]
-    phrase = scoring.phrase().alias("phrase")
-    rejected = base.where("gate_reason is not null").select(*cols, F.col("gate_reason").alias("reason"), phrase)
-    passed = base.where("gate_reason is null").select(*cols, phrase).join(decided, keys).withColumnRenamed("_decision", "reason")
-    every = rejected.unionByName(passed)
+    schema = ", ".join(f"{c} {types[c]}" for c in shown) + ", reason string, phrase string"
+    decided = ordered_fold(survivors, [key], order, new_policy_state, step, schema)
+    rejected = rows_where(base, F.col("gate_reason").isNotNull(), *shown, F.col("gate_reason").alias("reason"), F.lit("").alias("phrase"))
+    every = rejected.unionByName(decided)
     fired = F.col("reason") == "fired"
     scored = F.col("reason").isin("fired", "below_threshold", "already_alerted", "global_cooldown", "class_cooldown")
     limit = F.when(fired, F.col("threshold")).otherwise(F.lit(cfg.score_threshold))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridelens.functions import vocab as V
-from ridelens.plans.ordered import asof, chunk_width, rank_quantiles, trailing, with_previous, with_rank
+from ridelens.plans.ordered import asof, chunk_width, rank_quantiles, trailing, with_previous
 
 NS_PER_MS = 1_000_000
 NS_PER_S = 1_000_000_000
@@ -91,9 +91,9 @@ def sensor_rates(df: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor_
     rates = trailing(per_s, keys, ["second"], window_s, {
         "hz_window": F.collect_list("hz"), "window_s": F.count("hz")})
     gaps = intervals(df, keys, [ts, tie], ts)
-    ranked = with_rank(gaps, keys, [ts, tie], name="_pos")
-    last = ranked.groupBy(*keys).agg(F.max("_pos").alias("_last"))
-    recent = ranked.join(last, keys).where(F.col("_pos") > F.col("_last") - max_gaps)
+    # the rank limit is applied before the shuffle, so at most `max_gaps` rows per key and task travel
+    w = W.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(tie).desc())
+    recent = gaps.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= max_gaps)
     q = rank_quantiles(recent, keys, "dt_ns", {
         "gap_p5": ("floor", 0.05), "gap_p50": ("floor", 0.5), "gap_p95": ("floor", 0.95)}, count_name="n_gaps")
     return rates.join(q, keys, "left").select(
@@ -195,7 +195,7 @@ def match_one_to_one(frames: DataFrame, results: DataFrame, *, key: str = "sessi
     ).select(key, F.col("x.f_seq").alias("frame_seq"), F.col("x.r_seq").alias("result_seq"), F.col("x.code").alias("code"))
 
     contested = tagged.join(sizes.where("n_f > 1 or n_r > 1").select(key, "cluster"), [key, "cluster"]).withColumn(
-        "_g", F.floor(F.col("cluster") / F.lit(width)))
+        "_g", F.floor(F.col("cluster") / F.lit(float(width))))
     key_type = dict(tagged.dtypes)[key]
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:

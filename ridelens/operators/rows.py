@@ -38,21 +38,29 @@ def score_impacts(tracks: DataFrame, *, accel_z: str = "accel_z", speed: str = "
 
 def score_alerts(tracks: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     """Score, its factors and the threshold that applies to each track row."""
-    out = tracks
-    for name, expr in scoring.alert_parts(cfg).items():
-        out = out.withColumn(name, expr)
-    return out
+    # staged, so that no expression contains another one several times
+    out = tracks.withColumn("bump_hazard", V.is_bump_hazard(F.col("semantic_type"), F.col("geometry_type"), F.col("object_state")))
+    out = out.withColumns(scoring.alert_factors())
+    return out.withColumns(scoring.alert_totals(cfg))
 
 
 def gate_alerts(tracks: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     """`gate_reason`: the first stateless gate the row fails, null when it passes all."""
-    scored = {"bump_hazard", "alert_score", "threshold"}
-    base = tracks if scored | {"urgency"} <= set(tracks.columns) else score_alerts(tracks, cfg)
-    parts = {c: F.col(c) for c in scored}
-    out = base.withColumn("gate_reason", scoring.gate_reason(cfg, parts=parts))
+    base = tracks if {"bump_hazard", "alert_score", "threshold"} <= set(tracks.columns) else score_alerts(tracks, cfg)
+    out = base.withColumn("gate_reason", scoring.gate_reason(cfg))
     return out if base is tracks else out.select(*tracks.columns, "gate_reason")
 
 
+def rows_where(df: DataFrame, condition: Column, *cols: str | Column) -> DataFrame:
+    """`df.where(condition).select(cols)` for a condition on derived columns.
+
+    A plain filter is pushed below the projections, which copies the whole derivation into the
+    predicate and evaluates it twice; a generator keeps it where the columns already are.
+    """
+    row = F.struct(*cols)
+    return df.select(F.inline(F.when(condition, F.array(row))))
+
+
 def gate_reason_counts(tracks: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     return (gate_alerts(tracks, cfg).groupBy(F.coalesce("gate_reason", F.lit("passed")).alias("reason"))
             .agg(F.count(F.lit(1)).alias("n_rows")))

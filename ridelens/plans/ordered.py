@@ -6,6 +6,8 @@ per-session window over the few chunk summaries only, and hand the result to eac
 *carrier row*. The windows over the data itself are then partitioned by (key, chunk).
 
 A chunk is a pure function of the row, so tasks can be retried at any time.
+
+Inputs that Spark itself estimates to be small take the ordinary window instead (one shuffle).
 """
 
 from __future__ import annotations
@@ -20,17 +22,31 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 200_000
 
 
+SMALL_BYTES = 64 * 1024 * 1024
+ONE_CHUNK = math.inf
+
+
+def is_small(*dfs: DataFrame) -> bool:
+    """Whether the optimizer's size estimate (file sizes, no job) stays below one comfortable task."""
+    total = 0
+    for df in dfs:
+        total += int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if total > SMALL_BYTES:
+            return False
+    return True
+
+
 def chunk_width(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> float:
     """Width of a chunk so that about `target_rows` rows share one, whatever key they belong to.
 
-    One aggregate over one column; a single row reaches the driver.
+    `ONE_CHUNK` for small inputs. Otherwise one aggregate over one column; a single row reaches the driver.
     """
+    if is_small(df.select(order)):
+        return ONE_CHUNK
     r = df.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if not r["n"] or r["lo"] is None:
-        return 1.0
-    span = float(r["hi"]) - float(r["lo"]) + 1.0
-    n_chunks = max(1, math.ceil(r["n"] / target_rows))
-    return max(span / n_chunks, 1e-9)
+    if r["n"] <= target_rows or r["lo"] is None:
+        return ONE_CHUNK
+    return max((float(r["hi"]) - float(r["lo"]) + 1.0) / math.ceil(r["n"] / target_rows), 1e-9)
 
 
 def _chunk_col(order: str, width: float) -> Column:
@@ -69,7 +85,10 @@ def asof(
     r_type, l_type = r.schema["_r"].dataType, lhs.schema["_l"].dataType
     both = r.select(*keys, "_t", "_r", F.lit(None).cast(l_type).alias("_l"), F.lit(0).alias("_side")).unionByName(
         lhs.select(*keys, "_t", F.lit(None).cast(r_type).alias("_r"), "_l", F.lit(1).alias("_side"))
-    ).withColumn("_c", _chunk_col("_t", width))
+    )
+    if width == ONE_CHUNK:
+        return _neighbours(both.withColumn("_k", F.lit(1)), keys, prev, nxt)
+    both = both.withColumn("_c", _chunk_col("_t", width))
 
     edges = both.groupBy(*keys, "_c").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
     per_key = W.partitionBy(*keys)
@@ -91,7 +110,11 @@ def asof(
         *keys, F.col("_x._r.ts").cast("long").alias("_t"), F.col("_x._r").alias("_r"), null_l.alias("_l"),
         F.lit(0).alias("_side"), "_c", F.col("_x._k").alias("_k"))
     rows = both.withColumn("_k", F.lit(1)).unionByName(carriers)
-    part = W.partitionBy(*keys, "_c")
+    return _neighbours(rows, [*keys, "_c"], prev, nxt)
+
+
+def _neighbours(rows: DataFrame, group: list[str], prev: str, nxt: str) -> DataFrame:
+    part = W.partitionBy(*group)
     upto = part.orderBy("_k", "_t", "_side", "_r").rowsBetween(W.unboundedPreceding, W.currentRow)
     downto = part.orderBy(
         F.col("_k").desc(), F.col("_t").desc(), F.col("_side"), F.col("_r").desc()
@@ -116,6 +139,9 @@ def with_previous(
     """`lag(col)` per key. `order[0]` is numeric and cuts the chunks; `order` is a total order."""
     keys, order = list(keys), list(order)
     width = chunk or chunk_width(df, order[0])
+    if width == ONE_CHUNK:
+        w = W.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols])
     base = df.withColumn("_c", _chunk_col(order[0], width))
     edge = F.max(F.struct(*_cols(order), *[F.col(c).alias(f"_v_{c}") for c in cols]))
     last = base.groupBy(*keys, "_c").agg(edge.alias("_e"))
@@ -150,6 +176,9 @@ def running_sums(
     """Inclusive running sums per key in a total order (`order[0]` numeric)."""
     keys, order = list(keys), list(order)
     width = chunk or chunk_width(df, order[0])
+    if width == ONE_CHUNK:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
     base = df.withColumn("_c", _chunk_col(order[0], width))
     for name, expr in sums.items():
         base = base.withColumn(f"_s_{name}", expr)
@@ -193,7 +222,11 @@ def trailing(
     Rows are ranked, cut into blocks of ranks, and each block also receives the `n-1` rows before it.
     """
     keys, order = list(keys), list(order)
-    ranked = with_rank(df, keys, order, name="_rk", chunk=chunk)
+    width = chunk or chunk_width(df, order[0])
+    if width == ONE_CHUNK:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), W.currentRow)
+        return df.select("*", *[a.over(w).alias(name) for name, a in aggs.items()])
+    ranked = with_rank(df, keys, order, name="_rk", chunk=width)
     own = F.floor(F.col("_rk") / F.lit(block))
     spread = ranked.withColumn("_own", own).withColumn(
         "_b", F.explode(F.array_distinct(F.array(F.col("_own"), F.floor((F.col("_rk") + F.lit(n - 1)) / F.lit(block))))))
@@ -211,6 +244,7 @@ def rank_quantiles(
     *,
     count_name: str = "n",
     chunk: float | None = None,
+    force_chunks: bool = False,
 ) -> DataFrame:
     """Exact order statistics per key without holding a group's values in one place.
 
@@ -223,7 +257,9 @@ def rank_quantiles(
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
-    if chunk is None and dict(df.dtypes)[value] in ("int", "bigint"):
+    if not force_chunks and is_small(df):
+        chunk = ONE_CHUNK
+    elif chunk is None and dict(df.dtypes)[value] in ("int", "bigint"):
         chunk = 1_000_000.0  # at most a million distinct integers share a chunk
     cum = running_sums(counts, keys, [value], {"_hi": F.col("_m")}, chunk=chunk)
     totals = counts.groupBy(*keys).agg(F.sum("_m").alias(count_name))
