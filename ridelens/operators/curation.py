@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridelens.functions import vocab as V
+from ridelens.functions.numbers import round_exact
 from ridelens.operators.spatial import filter_hazard_boxes, nms
 from ridelens.plans.ordered import with_rank
 
@@ -209,7 +210,7 @@ def export_cvat(tracks: DataFrame, *, key: str = "session_id", order: Sequence[s
     heads = head.select(key, "_tid", F.lit(0).alias("_part"), *[F.col(f"_f.{o}").alias(o) for o in order],
                         F.concat(F.lit('  <track id="'), F.col("_tid").cast("string"), F.lit('" label="'), _xml(F.col("_f.label")), F.lit('">')).alias("line"))
     tails = head.select(key, "_tid", F.lit(2).alias("_part"), *[F.col(f"_f.{o}").alias(o) for o in order], F.lit("  </track>").alias("line"))
-    pts = F.array_join(F.transform(F.col(poly), lambda p: F.format_string("%.1f,%.1f", F.bround(p[0], 1), F.bround(p[1], 1))), ";")
+    pts = F.array_join(F.transform(F.col(poly), lambda p: F.format_string("%.1f,%.1f", round_exact(p[0], 1), round_exact(p[1], 1))), ";")
     body = base.where(F.size(poly) >= 3).select(
         key, "_tid", F.lit(1).alias("_part"), *order,
         F.concat(F.lit('    <polygon frame="'), F.coalesce(F.col(frame), F.lit(0)).cast("string"), F.lit('" points="'), pts,
@@ -235,8 +236,7 @@ def export_yolo_labels(dets: DataFrame, images: DataFrame, *, image: str = "imag
     cls = V.lookup({c: i for i, c in enumerate(V.DETECTOR_CLASSES)}, F.col("detector_class"))
 
     def unit(v: Column) -> Column:
-        # the printed value is rounded half to even
-        return F.bround(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)), 6)
+        return round_exact(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)), 6)
 
     line = F.format_string("%d %.6f %.6f %.6f %.6f", cls,
                            unit((F.col("x0") + F.col("x1")) * 0.5 / width), unit((F.col("y0") + F.col("y1")) * 0.5 / height),
