@@ -243,8 +243,7 @@ def _(v: Views):
         "  ", F.sha2(F.when(F.col("doc_id") % 13 == 0, "x").otherwise(F.col("text")), 256), path).alias("value"))
     out = sinks.verify_sessions(bundles.with_schema_warning(v.a_manifest.where("session_id % 9 <> 0")), inv, bundles.parse_checksums(lines),
                                 sessions=d.select((F.col("doc_id") % 60).alias("session_id")))
-    return out.select("session_id", "ok", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"),
-                      F.col("n_listed").cast("long").alias("n_listed"), F.col("n_verified").cast("long").alias("n_verified"))
+    return out.select("session_id", "ok", "n_errors", "n_warnings", "n_listed", "n_verified")
 
 
 @query("read_file_inventory")

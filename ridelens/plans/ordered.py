@@ -229,7 +229,7 @@ def trailing(
     ranked = with_rank(df, keys, order, name="_rk", chunk=width)
     own = F.floor(F.col("_rk") / F.lit(block))
     spread = ranked.withColumn("_own", own).withColumn(
-        "_b", F.explode(F.array_distinct(F.array(F.col("_own"), F.floor((F.col("_rk") + F.lit(n - 1)) / F.lit(block))))))
+        "_b", F.explode(F.sequence(F.col("_own"), F.floor((F.col("_rk") + F.lit(n - 1)) / F.lit(block)))))
     w = W.partitionBy(*keys, "_b").orderBy("_rk").rowsBetween(-(n - 1), W.currentRow)
     for name, agg in aggs.items():
         spread = spread.withColumn(name, agg.over(w))

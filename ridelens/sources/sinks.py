@@ -49,7 +49,8 @@ def checksum_lines(inventory: DataFrame) -> DataFrame:
 
 def write_checksum_manifest(inventory: DataFrame, out: str) -> None:
     """`sha  path` lines per session, sorted by path."""
-    lines = checksum_lines(inventory).repartition("session_id").sortWithinPartitions("session_id", "path")
+    # ranges of (session, path): a ride with very many files is written as several parts in order
+    lines = checksum_lines(inventory).repartitionByRange("session_id", "path").sortWithinPartitions("session_id", "path")
     lines.select("session_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("session_id").text(out)
 
 
@@ -59,7 +60,9 @@ def write_report_json(report: DataFrame, out: str, *, key: str = "session_id") -
 
 
 def write_cvat(lines: DataFrame, out: str, *, key: str = "session_id", order: Sequence[str] = ("timestamp_ns", "seq", "price")) -> None:
-    """The CVAT document of each session: fixed head and foot around the sorted track lines."""
+    """The CVAT document of each session: fixed head and foot around the sorted track lines.
+
+    Lines are range-partitioned, so a long document is written as several parts whose names sort in order."""
     head = ['<?xml version="1.0" encoding="utf-8"?>', "<annotations>", "  <version>1.1</version>",
             "  <meta><task><name>session</name></task></meta>"]
     first = [c for c in order if c in lines.columns]
@@ -77,7 +80,8 @@ def write_cvat(lines: DataFrame, out: str, *, key: str = "session_id", order: Se
             if c == "track_id" else F.col("_x.t").alias(c) if c == "line" else blank[c].alias(c) for c in body.columns])
 
     every = fixed(0, head).unionByName(body).unionByName(fixed(2, ["</annotations>"]))
-    ordered = every.repartition(key).sortWithinPartitions(key, "_s", "_start", "track_id", "part", *first)
+    place = [key, "_s", "_start", "track_id", "part", *first]
+    ordered = every.repartitionByRange(*place).sortWithinPartitions(*place)
     ordered.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(out)
 
 
@@ -129,37 +133,57 @@ def share_export(tables: dict[str, DataFrame], out: str) -> None:
         write_manifests(share_tables({"manifest": tables["manifest"]})["manifest"], f"{out}/manifest")
 
 
-def verify_sessions(manifests: DataFrame, inventory: DataFrame, checksums: DataFrame, *, sessions: DataFrame | None = None,
-                    crash: DataFrame | None = None, intervals: DataFrame | None = None, key: str = "session_id") -> DataFrame:
-    """ok, errors and warnings per session from inventory and checksum lists.
+# --- verification ------------------------------------------------------------------------------
+
+def session_findings(manifests: DataFrame, inventory: DataFrame, checksums: DataFrame, *, sessions: DataFrame | None = None,
+                     crash: DataFrame | None = None, key: str = "session_id") -> DataFrame:
+    """One row per finding: session, level (error or warning), message.
 
-    Messages are gathered per session in path order; broken files are few, intact ones only counted.
+    Findings stay rows, so a ride with very many broken files is not gathered anywhere. A session
+    without a manifest reports that and nothing else but its unfinished segments.
     """
+    have = manifests.select(key, F.lit(True).alias("_has"), *(
+        [F.col("schema_warning")] if "schema_warning" in manifests.columns else [F.lit(None).cast("string").alias("schema_warning")]))
     listed = checksums.select(key, "path", "digest")
-    # a full outer join on (session, path): files without a digest line are not an error
     both = inventory.select(key, "path", "sha256").join(listed, [key, "path"], "full")
-    msg = (F.when(F.col("sha256").isNull(), F.concat(F.lit("missing "), F.col("path")))
-           .when(F.col("digest").isNotNull() & (F.col("sha256") != F.col("digest")), F.concat(F.lit("checksum mismatch "), F.col("path"))))
-    partial = F.when(F.col("path").rlike(r"\.part\.mp4$"), F.regexp_extract("path", r"([^/]+)$", 1))
-    files = both.withColumn("_m", msg).groupBy(key).agg(
-        F.count("digest").alias("n_listed"), F.count_if(F.col("digest") == F.col("sha256")).alias("n_verified"),
-        F.sort_array(F.collect_list("_m")).alias("_errors"), F.sort_array(F.collect_list(partial)).alias("_parts"))
-    man = manifests.select(key, F.lit(True).alias("_has"), *([F.col("schema_warning")] if "schema_warning" in manifests.columns else [F.lit(None).cast("string").alias("schema_warning")]))
-    base = sessions.select(key).distinct() if sessions is not None else files.select(key).union(man.select(key)).distinct()
-    out = base.join(man, key, "left").join(files, key, "left")
+    broken = (F.when(F.col("sha256").isNull(), F.concat(F.lit("missing "), F.col("path")))
+              .when(F.col("digest").isNotNull() & (F.col("sha256") != F.col("digest")), F.concat(F.lit("checksum mismatch "), F.col("path"))))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    part = F.col("sha256").isNotNull() & F.col("path").rlike(r"\.part\.mp4$")
+
+    def finding(when: F.Column, level: str, text: F.Column, needs: bool) -> F.Column:
+        return F.when(when, F.struct(F.lit(level).alias("level"), text.alias("message"), F.lit(needs).alias("needs_manifest")))
+
+    copied = F.concat(F.lit("copied to "), F.regexp_replace(name, r"\.part\.mp4$", ".mp4.recovered"), F.lit(" (marked recovered)"))
+    files = both.select(key, F.explode(F.array_compact(F.array(
+        finding(broken.isNotNull(), "error", broken, True),
+        finding(part, "warning", F.concat(F.lit("unfinalized segment "), name), False),
+        finding(part, "warning", copied, False)))).alias("f")).select(key, "f.*")
+    base = sessions.select(key).distinct() if sessions is not None else inventory.select(key).union(have.select(key)).distinct()
+    per = base.join(have, key, "left").join(listed.select(key).distinct().withColumn("_sums", F.lit(True)), key, "left")
     if crash is not None:
-        out = out.join(crash.select(key, F.col("n_hits").alias("_hits")), key, "left")
+        per = per.join(crash.select(key, F.col("n_hits").alias("_hits")), key, "left")
     else:
-        out = out.withColumn("_hits", F.lit(0))
-    none = F.array().cast("array<string>")
-    has = F.coalesce("_has", F.lit(False))
-    errors = F.when(~has, F.array(F.lit("missing manifest.json"))).otherwise(F.coalesce("_errors", none))
-    part_notes = F.flatten(F.transform(F.coalesce("_parts", none), lambda p: F.array(
-        F.concat(F.lit("unfinalized segment "), p),
-        F.concat(F.lit("copied to "), F.regexp_replace(p, r"\.part\.mp4$", ".mp4.recovered"), F.lit(" (marked recovered)")))))
-    warn = F.concat(part_notes, F.when(has, F.array_compact(F.array(
-        F.col("schema_warning"), F.when(F.coalesce("n_listed", F.lit(0)) == 0, F.lit("no checksums.sha256")),
-        F.when(F.coalesce("_hits", F.lit(0)) > 0, F.concat(F.lit("CAM-012 residual hits="), F.col("_hits").cast("string")))))).otherwise(none))
-    res = out.select(key, (F.size(errors) == 0).alias("ok"), errors.alias("errors"), warn.alias("warnings"),
-                     F.coalesce("n_listed", F.lit(0)).alias("n_listed"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+        per = per.withColumn("_hits", F.lit(0))
+    heads = per.select(key, F.explode(F.array_compact(F.array(
+        finding(F.col("_has").isNull(), "error", F.lit("missing manifest.json"), False),
+        finding(F.col("schema_warning").isNotNull(), "warning", F.col("schema_warning"), True),
+        finding(F.col("_sums").isNull(), "warning", F.lit("no checksums.sha256"), True),
+        finding(F.col("_hits") > 0, "warning", F.concat(F.lit("CAM-012 residual hits="), F.col("_hits").cast("string")), True)))).alias("f")).select(key, "f.*")
+    every = files.unionByName(heads).join(base, key, "left_semi")
+    manifest_keys = have.select(key, F.col("_has"))
+    return every.join(manifest_keys, key, "left").where(~F.col("needs_manifest") | F.col("_has").isNotNull()).select(key, "level", "message")
+
+
+def verify_sessions(manifests: DataFrame, inventory: DataFrame, checksums: DataFrame, *, sessions: DataFrame | None = None,
+                    crash: DataFrame | None = None, intervals: DataFrame | None = None, key: str = "session_id") -> DataFrame:
+    """ok, number of errors and warnings, and verified files per session; the texts are `session_findings`."""
+    found = session_findings(manifests, inventory, checksums, sessions=sessions, crash=crash, key=key).groupBy(key).agg(
+        F.count_if(F.col("level") == "error").alias("n_errors"), F.count_if(F.col("level") == "warning").alias("n_warnings"))
+    both = checksums.select(key, "path", "digest").join(inventory.select(key, "path", "sha256"), [key, "path"], "left")
+    files = both.groupBy(key).agg(F.count(F.lit(1)).alias("n_listed"), F.count_if(F.col("digest") == F.col("sha256")).alias("n_verified"))
+    base = sessions.select(key).distinct() if sessions is not None else inventory.select(key).union(manifests.select(key)).distinct()
+    out = base.join(found, key, "left").join(files, key, "left")
+    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_errors", "n_warnings", "n_listed", "n_verified")}
+    res = out.select(key, (n["n_errors"] == 0).alias("ok"), *[e.alias(c) for c, e in n.items()])
     return res if intervals is None else res.join(intervals, key, "left")
