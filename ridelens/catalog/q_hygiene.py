@@ -416,9 +416,28 @@ def _(v: Views):
     return rounded(df, "latency_p50_ms", "latency_p95_ms", "infer_fps").select("session_id", "event_id", "latency_p50_ms", "latency_p95_ms", "infer_fps")
 
 
-@query("track_lifecycle", ["a_tracks"])
+_BUMPY = "(semantic_type in ('pothole', 'speed_bump') or (semantic_type = 'manhole_cover' and geometry_type = 'concave'))"
+
+
+@query("track_lifecycle", ["a_tracks"], f"""
+recursive o as (select session_id, track_id, trunc(timestamp_ns / 100)::bigint as t, misses < 3 as seen, status not in ('SEVERE_BLUR', 'LENS_CONTAMINATION', 'PERCEPTION_LIMITED') as good, {_BUMPY} as bump,
+  case when {_BUMPY} then 2 when semantic_type = 'unknown_anomaly' then 5 when semantic_type = 'rough_broken' then 6 else 3 end as need,
+  row_number() over (partition by session_id, track_id order by trunc(timestamp_ns / 100)::bigint, seq, price) as rn from a_tracks),
+w as (select session_id, track_id, rn, t as created, t as last, 1 as hits, 'CANDIDATE' as state, 'spawn' as note from o where rn = 1
+ union all
+ select session_id, track_id, rn, created, last, hits, case when hold then state when s2 in ('TRACKED', 'CONFIRMED') and not early and not seen and gap > 0.45 + 0.25 then 'EXPIRED' else s2 end,
+   case when hold then null when s2 in ('TRACKED', 'CONFIRMED') and not early and not seen and gap > 0.45 + 0.25 then 'lost' else n2 end from (
+  select *, case when s1 = 'TRACKED' and not early and good and hits >= need and age >= case when bump then 0.12 else 0.4 end and (seen or bump) then 'CONFIRMED' else s1 end as s2,
+    case when s1 = 'TRACKED' and not early and good and hits >= need and age >= case when bump then 0.12 else 0.4 end and (seen or bump) then 'stable_visible' else n1 end as n2 from (
+   select *, state = 'CANDIDATE' and not promoted and not seen as early, not seen and not good and state in ('TRACKED', 'CONFIRMED') and gap <= 0.45 as hold,
+     case when state = 'CANDIDATE' and promoted then 'TRACKED' when state = 'CANDIDATE' and not seen and gap > 0.35 then 'EXPIRED' else state end as s1,
+     case when state = 'CANDIDATE' and promoted then 'associated' when state = 'CANDIDATE' and not seen and gap > 0.35 then 'candidate_timeout' end as n1 from (
+    select *, (t - created) / 1e9 as age, (t - last) / 1e9 as gap, hits >= 2 and (t - created) / 1e9 >= case when bump then 0.08 else 0.4 * 0.4 end as promoted from (
+     select o.session_id, o.track_id, o.rn, o.t, o.seen, o.good, o.bump, o.need, w.created, w.state, case when o.seen then o.t else w.last end as last, w.hits + o.seen::int as hits
+     from w join o on o.session_id = w.session_id and o.track_id = w.track_id and o.rn = w.rn + 1)))))
+select state, note as transition, count(*) as n, max(hits)::int as max_hits from w group by 1, 2
+""")
 def _(v: Views):
     t = v.a_tracks.withColumn("observed", F.col("misses") < 3).withColumn("quality_ok", ~F.col("status").isin(V.PAUSE_STATUSES)).withColumn(
         "timestamp_ns", (F.col("timestamp_ns") / 100).cast("long"))
     return tracks.track_lifecycle(t).groupBy("state", "transition").agg(F.count(F.lit(1)).alias("n"), F.max("hits").alias("max_hits"))
-

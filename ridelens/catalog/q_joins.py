@@ -166,8 +166,10 @@ l as (select session_id, blur, i, -200 + i * 10.0 as off, sensor_timestamp_ns +
 n as (select l.session_id, i, off, blur, t, p.timestamp_ns as t0, q.timestamp_ns as t1, p.e as e0, q.e as e1 from l
    asof left join g p on l.session_id = p.session_id and l.t >= p.timestamp_ns asof left join g q on l.session_id = q.session_id and l.t <= q.timestamp_ns),
 s as (select session_id, i, off, blur, case when t0 is null then e1 when t1 is null or t0 = t then e0 else (1 - (t - t0) / greatest(t1 - t0, 1)) * e0 + (t - t0) / greatest(t1 - t0, 1) * e1 end as e from n),
-c as (select session_id, i, off, corr(e, blur) as r from s group by 1, 2, 3)
-select session_id, true as ok, round(off, 6) + 0.0 as best_offset_ms, round(r, 6) + 0.0 as correlation from c qualify row_number() over (partition by session_id order by r desc, i) = 1
+c as (select session_id, i, off, corr(e, blur) as r from s group by 1, 2, 3),
+b as (select * from c qualify row_number() over (partition by session_id order by r desc, i) = 1),
+k as (select session_id, count(*) >= 8 and coalesce((select count(*) from g where g.session_id = f.session_id), 0) >= 16 as ok from a_frames f group by session_id)
+select k.session_id, ok, case when ok then round(off, 6) + 0.0 end as best_offset_ms, case when ok then round(r, 6) + 0.0 end as correlation from k left join b using (session_id)
 """)
 def _(v: Views):
     return rounded(timejoin.scan_time_offset(v.a_frames, v.a_imu.where("sensor_type = 'GYRO'"), tie=["event_id"]), "best_offset_ms", "correlation")

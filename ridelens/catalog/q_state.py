@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridelens.catalog.q_rows import _PHRASE, SCORED
-from ridelens.catalog.registry import Views, nudged, query
+from ridelens.catalog.registry import ORACLES, Views, nudged, query
 from ridelens.operators import alert_policy, detector, tracking
 
 
@@ -30,7 +30,7 @@ def _(v: Views):
     return nudged(df, "alert_score").select("frame", "seq", "price", "reason", "fired", "alert_score", "phrase")
 
 
-@query("alert_reason_counts", None)
+@query("alert_reason_counts", None, f"select reason, count(*) as n from ({ORACLES['alert_policy']}) group by 1")
 def _(v: Views):
     return alert_policy.alert_policy(v.a_tracks).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -48,11 +48,22 @@ def gate_observations(obs: DataFrame, masks: DataFrame, *, keys: Sequence[str] =
 
     `masks` has one row per frame. Boxes are columns x0, y0, x1, y1.
     """
+    def framed(p: Column) -> Column:
+        box = shapes.bbox(p)
+        return F.struct(p.alias("p"), box[0].alias("x0"), box[1].alias("y0"), box[2].alias("x1"), box[3].alias("y1"))
+
+    def covers(o: Column) -> Column:
+        # the box test settles most points before the exact one
+        x, y = F.col("_cx"), F.col("_cy")
+        return (x >= o["x0"]) & (x <= o["x1"]) & (y >= o["y0"]) & (y <= o["y1"]) & shapes.contains(o["p"], x, y)
+
+    # boxes of the polygons are computed once per frame, on the small side
+    dim = masks.select(*keys, F.when(F.size(road) >= 3, framed(F.col(road))).alias("_road"),
+                       F.when(F.size(occluded) > 0, F.transform(occluded, framed)).alias("_occ"))
     cx, cy = (F.col("x0") + F.col("x1")) * 0.5, (F.col("y0") + F.col("y1")) * 0.5
-    joined = obs.join(masks.select(*keys, road, occluded), list(keys), "left").withColumn("_cx", cx).withColumn("_cy", cy)
-    hidden = F.coalesce(F.exists(F.col(occluded), lambda p: shapes.contains(p, F.col("_cx"), F.col("_cy"))), F.lit(False))
-    has_road = F.coalesce(F.size(F.col(road)) >= 3, F.lit(False))
-    on_road = ~has_road | shapes.contains(F.col(road), F.col("_cx"), F.col("_cy"))
+    joined = obs.join(dim, list(keys), "left").withColumn("_cx", cx).withColumn("_cy", cy)
+    hidden = F.coalesce(F.exists("_occ", covers), F.lit(False))
+    on_road = F.col("_road").isNull() | covers(F.col("_road"))
     return joined.where(~hidden & on_road).select(*obs.columns)
 
 
