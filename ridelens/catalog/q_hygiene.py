@@ -221,6 +221,34 @@ def _(v: Views):
     return sinks.checksum_lines(d).select("session_id", "line")
 
 
+@query("parse_checksums", None, """
+select doc_id % 50 as session_id, sha256(text) as digest, 'doc  ' || doc_id as path from documents
+""")
+def _(v: Views):
+    # a path may itself hold a double blank: only the first one separates
+    lines = v.documents.select((F.col("doc_id") % 50).alias("session_id"), F.concat(F.sha2("text", 256), F.lit("  doc  "), F.col("doc_id").cast("string")).alias("value"))
+    return bundles.parse_checksums(lines)
+
+
+@query("session_findings", ["a_manifest"], """
+with f as (select doc_id % 50 as session_id, 'doc/' || doc_id as path, sha256(text) as sha from documents where doc_id % 17 <> 0),
+l as (select doc_id % 50 as session_id, 'doc/' || doc_id as path, sha256(case when doc_id % 13 = 0 then 'x' else text end) as digest from documents where doc_id % 50 <> 3),
+m as (select * from a_manifest where session_id % 9 <> 0), s as (select distinct doc_id % 60 as session_id from documents)
+select l.session_id, 'error' as level, case when sha is null then 'missing ' else 'checksum mismatch ' end || l.path as message from l left join f using (session_id, path) join m on m.session_id = l.session_id
+  where (sha is null or sha <> digest) and l.session_id in (select session_id from s)
+union all select s.session_id, 'error', 'missing manifest.json' from s left join m using (session_id) where m.session_id is null
+union all select s.session_id, 'warning', 'schema ' || schema_version || ' read with compat 1.0' from s join m using (session_id) where schema_version <> '1.0'
+union all select s.session_id, 'warning', 'no checksums.sha256' from s join m using (session_id) where s.session_id not in (select session_id from l)
+""")
+def _(v: Views):
+    d, sid = v.documents, (F.col("doc_id") % 50).alias("session_id")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
+    inv = d.where("doc_id % 17 <> 0").select(sid, path, F.sha2("text", 256).alias("sha256"))
+    chk = d.where("doc_id % 50 <> 3").select(sid, path, F.sha2(F.when(F.col("doc_id") % 13 == 0, "x").otherwise(F.col("text")), 256).alias("digest"))
+    return sinks.session_findings(bundles.with_schema_warning(v.a_manifest.where("session_id % 9 <> 0")), inv, chk,
+                                  sessions=d.select((F.col("doc_id") % 60).alias("session_id")))
+
+
 @query("verify_sessions", ["a_manifest"], """
 with f as (select doc_id % 50 as session_id, 'doc/' || doc_id as path, sha256(text) as sha from documents where doc_id % 17 <> 0),
 c as (select doc_id % 50 as session_id, sha256(case when doc_id % 13 = 0 then 'x' else text end) || '  doc/' || doc_id as line from documents where doc_id % 50 <> 3),

@@ -140,21 +140,67 @@ def validate_tracks(tracks: DataFrame) -> DataFrame:
 
 # --- one-to-one matching ---------------------------------------------------------------------
 
+class _Free:
+    """Sorted positions that are still free; finding the next one on either side is nearly constant time."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n + 1))    # next free position at or after i; n = none
+        self.down = list(range(n + 1))  # 1 + last free position before i; 0 = none
+
+    @staticmethod
+    def _root(link: list[int], i: int) -> int:
+        root = i
+        while link[root] != root:
+            root = link[root]
+        while link[i] != root:
+            link[i], i = root, link[i]
+        return root
+
+    def at_or_after(self, i: int) -> int:
+        return self._root(self.up, i)
+
+    def before(self, i: int) -> int:
+        return self._root(self.down, i) - 1
+
+    def take(self, i: int) -> None:
+        self.up[i] = i + 1
+        self.down[i + 1] = i
+
+
 def _greedy_pairs(frames: np.ndarray, results: np.ndarray, max_dt: int) -> np.ndarray:
-    """Index of the result taken by each frame (-1 for none); arrays are in frame / result order."""
-    taken = np.zeros(len(results), dtype=bool)
+    """Index of the result taken by each frame (-1 for none); arrays are in frame / result order.
+
+    Results are kept by (time, order); a frame looks at the nearest free ones on both sides, the
+    earlier-listed one on ties.
+    """
+    place = np.argsort(results, kind="stable")
+    times = results[place]
+    spot = np.empty(len(place), dtype=np.int64)
+    spot[place] = np.arange(len(place))
+    n, free = len(times), _Free(len(times))
+    taken = np.zeros(n, dtype=bool)
     last_at = {int(t): j for j, t in enumerate(results)}
     out = np.full(len(frames), -1, dtype=np.int64)
+    first = np.searchsorted(times, frames, side="left") if n else np.zeros(len(frames), dtype=np.int64)
     for i, t in enumerate(frames):
         j = last_at.get(int(t))
-        if j is None or taken[j]:
-            gap = np.abs(results - t).astype("float64")
-            gap[taken] = np.inf
-            j = int(np.argmin(gap)) if len(gap) else None
-            if j is None or gap[j] > max_dt:
+        if j is not None and not taken[spot[j]]:
+            pos = int(spot[j])
+        else:
+            options = []
+            right = free.at_or_after(int(first[i]))
+            if right < n:
+                options.append((abs(int(times[right]) - int(t)), int(place[right]), right))
+            left = free.before(int(first[i]))
+            if left >= 0:  # first listed of the free ones with that time
+                left = free.at_or_after(int(np.searchsorted(times, times[left], side="left")))
+                options.append((abs(int(times[left]) - int(t)), int(place[left]), left))
+            if not options or min(options)[0] > max_dt:
                 continue
-        taken[j] = True
-        out[i] = j
+            pos = min(options)[2]
+        taken[pos] = True
+        free.take(pos)
+        out[i] = place[pos]
     return out
 
 
@@ -207,7 +253,8 @@ def match_one_to_one(frames: DataFrame, results: DataFrame, *, key: str = "sessi
             r_ids = rs["seq"].to_numpy()
             for s, j in zip(fr["seq"].to_numpy(), pick):
                 rows.append((k, s, r_ids[j] if j >= 0 else None, "MATCHED" if j >= 0 else "UNMATCHED_FRAME"))
-            rows += [(k, None, s, "ORPHAN_RESULT") for j, s in enumerate(r_ids) if j not in set(pick)]
+            used = set(pick.tolist())
+            rows += [(k, None, s, "ORPHAN_RESULT") for j, s in enumerate(r_ids) if j not in used]
         return pd.DataFrame(rows, columns=[key, "frame_seq", "result_seq", "code"]).astype(
             {"frame_seq": "Int64", "result_seq": "Int64"})
 
