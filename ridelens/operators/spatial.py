@@ -49,13 +49,12 @@ def gate_observations(obs: DataFrame, masks: DataFrame, *, keys: Sequence[str] =
     `masks` has one row per frame. Boxes are columns x0, y0, x1, y1.
     """
     def framed(p: Column) -> Column:
-        box = shapes.bbox(p)
-        return F.struct(p.alias("p"), box[0].alias("x0"), box[1].alias("y0"), box[2].alias("x1"), box[3].alias("y1"))
+        return F.struct(p.alias("p"), shapes.bbox(p).alias("b"))
 
     def covers(o: Column) -> Column:
         # the box test settles most points before the exact one
-        x, y = F.col("_cx"), F.col("_cy")
-        return (x >= o["x0"]) & (x <= o["x1"]) & (y >= o["y0"]) & (y <= o["y1"]) & shapes.contains(o["p"], x, y)
+        x, y, b = F.col("_cx"), F.col("_cy"), o["b"]
+        return (x >= b[0]) & (x <= b[2]) & (y >= b[1]) & (y <= b[3]) & shapes.contains(o["p"], x, y)
 
     # boxes of the polygons are computed once per frame, on the small side
     dim = masks.select(*keys, F.when(F.size(road) >= 3, framed(F.col(road))).alias("_road"),
