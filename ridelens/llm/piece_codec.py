@@ -88,6 +88,8 @@ class Codec:
         self.beside = np.array(sorted((ord(a) << 21) + ord(b) for a, b in beside), dtype=np.int64)
         chars = sorted((ord(t), s) for t, s in symbols.items() if len(t) == 1)
         self.chars, self.char_symbols = (np.array(x, dtype=np.int64) for x in zip(*chars))
+        self.byte_of = {int(i): b for b, i in enumerate(pieces.byte_ids)}
+        self.shown = ["" if h else t.replace(SPACE_MARK, " ") for t, h in zip(pieces.texts, pieces.hidden)]
         self.words: dict[str, tuple[str, int, str]] = {}
 
     @staticmethod
@@ -177,19 +179,20 @@ class Codec:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of piece ids; `first`: they begin a text, whose leading space mark is not part of it."""
-        byte = {int(i): b for b, i in enumerate(self.pieces.byte_ids)}
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in byte:
-                raw.append(byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if not self.pieces.hidden[i]:
-                out.append(self.pieces.texts[i].replace(SPACE_MARK, " "))
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        byte, shown = self.byte_of, self.shown
+        if byte.keys().isdisjoint(ids):
+            text = "".join([shown[i] for i in ids])
+        else:
+            out, raw = [], bytearray()
+            for i in ids:
+                if i in byte:
+                    raw.append(byte[i])
+                    continue
+                if raw:
+                    out.append(raw.decode("utf-8", "replace"))
+                    raw.clear()
+                out.append(shown[i])
+            text = "".join([*out, raw.decode("utf-8", "replace")])
         return text[1:] if first and text.startswith(" ") else text
 
     def learn(self, texts_words: list[list[str]]) -> None:
