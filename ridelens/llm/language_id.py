@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridelens.llm.base import fold, pack, register, schema_of, table, utf8
 
@@ -142,12 +143,13 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", carry
     """The columns of `carry`, lang_pred, score, accepted of every row.
 
     A text that is null or has no letter is `und` with score 0 and not accepted; so is every text when there
-    was nothing to learn from. Nothing but the text enters the prediction, and all of it does.
+    was nothing to learn from. Nothing but the text enters the prediction, and all of it does. To carry columns
+    whose names may be those of the result, put them into a struct.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    struct, arrow = schema_of(f"{fields}, lang_pred string, score double, accepted boolean")
+    found, _ = schema_of("lang_pred string, score double, accepted boolean")
+    struct, arrow = schema_of(StructType([*(docs.schema[c] for c in carry), *found]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", carry
                 p = m.predict([texts[i] for i in part])
                 for i, k, v in zip(part, p.argmax(1).tolist(), p.max(1).tolist()):
                     label[i], sure[i], kept[i] = m.labels[k], v, v >= m.least
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(label), pa.array(sure), pa.array(kept)], names=arrow.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(label, pa.string()), pa.array(sure, pa.float64()), pa.array(kept, pa.bool_())], names=arrow.names)
 
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return docs.select(*carry, utf8(text_col).alias("__text"), has_letter.alias("__letter")).mapInArrow(run, struct)

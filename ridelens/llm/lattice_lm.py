@@ -1,10 +1,15 @@
-"""Subword lattice likelihood: every segmentation of a text into vocabulary pieces counts.
+"""Subword lattice likelihood: every segmentation of a text into pieces counts.
 
 The pieces and their first scores come from a public vocabulary (a piece of rank r starts with weight
-1 / (r + 3), renormalised); two rounds of expectation maximisation over the training words then fit the
-scores. A word begins with a space, no piece reaches into the next word, and every single byte is a
-piece, so that the probability of a text is the product over its words of the sum over all their
-segmentations, times that of the end. Sums are taken by a log-space forward recursion.
+1 / (r + 3)); expectation maximisation over the training words fits the scores. A word begins with a
+space and no piece reaches into the next word, every single byte is a piece, and a word seen in
+training is one more piece that spans it. The probability of a word is the sum over all segmentations,
+taken by a log-space forward recursion; that of a text is the product over its words and its end,
+summed over the groups (say, languages) it may belong to, each with scores of its own.
+
+Whole-word pieces keep their training counts less a discount, which goes to the segmentations into
+vocabulary pieces. Those are fitted to word types rather than tokens, as they stand for new words.
+The scores of all words together sum to one.
 
 The corpus appears only as word types with counts. Types that make up at least `HEAVY` of all tokens,
 at most 1 / HEAVY of them, are broadcast and looked up where a document is read; all other words go
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ridelens.llm.base import fold, pack, register, schema_of, table, utf8
 
-HEAVY = 1 / 250_000
-ROUNDS = 2
+HEAVY = 1 / 1_000_000
+ROUNDS, GROUPS, DISCOUNT = 3, 8, 0.6
 _MUL = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,12 +134,12 @@ class Lattice:
         return total[self.first[:-1] + self.size], total
 
     def expected(self, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece where word i occurs `weight[i]` times."""
+        """Expected number of uses of each piece where word i occurs `weight[i, g]` times, a row per column g."""
         each, ahead = self.forward(logp)
         last = (self.first[:-1] + self.size)[self.word]
         back = self._sweep(self.end, self.start, last - self.start, logp[self.piece], self.first[:-1] + self.size)
-        use = np.exp(ahead[self.start] + logp[self.piece] + back[self.end] - each[self.word]) * weight[self.word]
-        return np.bincount(self.piece, use, len(logp))
+        use = np.exp(ahead[self.start] + logp[self.piece] + back[self.end] - each[self.word])
+        return np.stack([np.bincount(self.piece, use * w[self.word], len(logp)) for w in weight.T])
 
 
 def _batches(words: list[bytes], most: int = 1_000_000) -> Iterator[slice]:
@@ -148,110 +153,154 @@ def _batches(words: list[bytes], most: int = 1_000_000) -> Iterator[slice]:
         yield slice(begin, len(words))
 
 
-def count_words(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
-    """(word, c) of every word of all texts, c its number in training texts; counted per batch, then combined."""
-    struct, arrow = schema_of("word binary, c long")
+def count_words(docs: DataFrame, train: Column, group: Column, groups: int, text_col: str) -> DataFrame:
+    """(word, c0, c1, ...) of every word of all texts: its number in the training texts of each group."""
+    struct, arrow = schema_of("word binary, " + ", ".join(f"c{g} long" for g in range(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            others: set[bytes] = set()
-            for learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (counts if learn else others).update(text.lower().split())
-            others.difference_update(counts)
-            yield pack(arrow, [[*counts, *others], [*counts.values(), *[0] * len(others)]])
+            counts = [Counter() for _ in range(groups)]
+            words: dict[bytes, None] = {}
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = text.lower().split()
+                if g is None:
+                    words.update(dict.fromkeys(found))
+                else:
+                    counts[g].update(found)
+            for c in counts:
+                words.update(dict.fromkeys(c))
+            yield pack(arrow, [list(words), *[[c[w] for w in words] for c in counts]])
+
+    rows = docs.select(F.when(train, group).alias("g"), utf8(text_col).alias("text")).mapInArrow(run, struct)
+    return rows.groupBy("word").agg(*[F.sum(f"c{g}").alias(f"c{g}") for g in range(groups)])
+
 
-    return docs.select(train.alias("train"), utf8(text_col).alias("text")).mapInArrow(run, struct).groupBy("word").agg(F.sum("c").alias("c"))
+def _counts(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    return batch.column(0).to_pylist(), np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)], 1).astype(float)
 
 
-def fit(types: DataFrame, n_ends: int, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Natural log probability of every piece and of the end, from word types with training counts."""
+def fit(types: DataFrame, groups: int, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Natural log probability of every piece in each group, from the word types that occur in training.
+
+    All groups share the segmentations of a round; the last one counts them per group, smoothed by their sum.
+    """
     spark = types.sparkSession
-    struct, arrow = schema_of("piece int, n double")
-    seen = types.where("c > 0").select("word", "c")
-    logp, end = np.log(vocabulary.prior), 0.0
+    struct, arrow = schema_of("piece int, " + ", ".join(f"n{g} double" for g in range(groups)))
+    seen = types.where(sum((F.col(f"c{g}") for g in range(groups)), F.lit(0)) > 0)
+    logp = np.log(vocabulary.prior)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, logp))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             v, lp = shared.value
-            total = np.zeros(len(lp))
+            total = np.zeros((groups, len(lp)))
             for batch in batches:
-                words, weight = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
+                words, c = _counts(batch)
                 for part in _batches(words):
-                    total += v.edges(words[part]).expected(lp, weight[part])
-            used = np.flatnonzero(total)
-            yield pack(arrow, [used.astype(np.int32), total[used]])
+                    total += v.edges(words[part]).expected(lp, (c[part] > 0).astype(float))
+            used = np.flatnonzero(total.sum(0))
+            yield pack(arrow, [used.astype(np.int32), *total[:, used]])
 
-        rows = seen.mapInArrow(run, struct).groupBy("piece").agg(F.sum("n")).collect()  # at most one row per piece
-        count = np.full(len(logp), 0.1)
-        for piece, n in rows:
-            count[piece] += n
-        whole = count.sum() + n_ends + 0.1
-        logp, end = np.log(count / whole), float(np.log((n_ends + 0.1) / whole))
-    return logp, end
+        rows = seen.mapInArrow(run, struct).groupBy("piece").agg(*[F.sum(f"n{g}") for g in range(groups)]).collect()  # at most one row per piece
+        count = np.zeros((groups, len(vocabulary.pieces)))
+        for piece, *n in rows:
+            count[:, piece] += n
+        logp = np.log((count.sum(0) + 0.1) / (count.sum() + 0.1 * len(vocabulary.pieces)))
+    each = count + 100.0 * np.exp(logp)
+    return np.log(each / each.sum(1, keepdims=True))
 
 
-def score_texts(docs: DataFrame, vocabulary: Vocabulary, train: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: Vocabulary, train: Column, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """`id_col`, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Words are lower-cased (A-Z) and cut at white space; the end is one more token. `base_score` is the log10
     probability under smoothed word counts, `score` that of the lattice model; both are learned from the rows
-    where `train` holds. Null and empty texts have the end alone. Repeated rows are scored alike and counted
-    each; other columns are not read. Without training rows the counts are zero and the model keeps its first
-    scores.
+    where `train` holds. The `GROUPS` commonest values of `group_col` there have scores of their own, other and
+    null values count with the commonest; the column is not looked at when a text is scored. Null and empty
+    texts have the end alone. Repeated rows are scored alike and counted each; other columns are not read.
+    Without training rows the counts are zero and the pieces keep their first scores.
     """
     spark = docs.sparkSession
-    types = count_words(docs, train, text_col).checkpoint()
-    sums = types.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
-    ends = docs.where(train).count()
-    n_all, distinct = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
+    learned = docs.where(train)
+    found = learned.groupBy(F.col(group_col).alias("g") if group_col else F.lit(None).alias("g")).count().orderBy(F.desc("count"), "g").limit(GROUPS + 1).collect()
+    names = [r["g"] for r in found if r["g"] is not None][:GROUPS] or [None]
+    k = len(names)
+    group = F.lit(0)
+    for g, name in enumerate(names[1:], 1):
+        group = F.when(F.col(group_col) == name, g).otherwise(group)
+    types = count_words(docs, train, group, k, text_col).checkpoint()
+    every = sum((F.col(f"c{g}") for g in range(k)), F.lit(0))
+    sums = types.agg(F.sum((every > 0).cast("long")), *[F.sum(f"c{g}") for g in range(k)], *[F.sum((F.col(f"c{g}") > 0).cast("long")) for g in range(k)]).first()
+    sums = np.array([float(x or 0) for x in sums])
+    ends = np.zeros(k)
+    for g, n in learned.groupBy(group.alias("g")).count().collect():
+        ends[g] += n
+    distinct, n_all = int(sums[0]) + int(ends.sum() > 0), int(sums[1 : k + 1].sum() + ends.sum())
     below = n_all + 0.5 * (distinct + 1)
-    logp, end = fit(types, ends, vocabulary, rounds)
+    size = np.maximum(sums[1 : k + 1] + ends, 1.0)  # tokens of a group
+    left = np.where(sums[1 : k + 1] > 0, DISCOUNT * sums[k + 1 :], size) / size  # share of its words that is spelled
+    logp = fit(types, k, vocabulary, rounds)
     model = spark.sparkContext.broadcast((vocabulary, logp))
-    scored, scored_arrow = schema_of("word binary, c long, base double, score double")
+    columns = [f"s{g}" for g in range(k)]
+    scored, scored_arrow = schema_of("word binary, known int, base double, " + ", ".join(f"{c} float" for c in columns))
 
     def score_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, lp = model.value
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            score = np.concatenate([v.edges(words[p]).forward(lp)[0] for p in _batches(words)] or [np.zeros(0)])
-            yield pack(scored_arrow, [words, c, np.log10((c + 0.5) / below), score / np.log(10.0)])
+            words, c = _counts(batch)
+            spelled = np.zeros(c.shape)
+            for part in _batches(words):
+                lattice = v.edges(words[part])
+                for g in range(k):
+                    spelled[part, g] = lattice.forward(lp[g])[0]
+            with np.errstate(divide="ignore"):
+                score = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / size), np.log(left) + spelled) / np.log(10.0)
+            total = c.sum(1)
+            yield pack(scored_arrow, [words, (total > 0).astype(np.int32), np.log10((total + 0.5) / below), *score.T])
 
     least = max(1, int(np.ceil(n_all * HEAVY)))
-    scored_types = lambda which: types.where(which).mapInArrow(score_types, scored)
-    heavy = spark.sparkContext.broadcast({w: (int(c > 0), b, s) for w, c, b, s in scored_types(F.col("c") >= least).collect()})  # at most 1 / HEAVY rows
-    last = (int(ends > 0), float(np.log10((ends + 0.5) / below)), end / float(np.log(10.0)))
-    out, arrow = schema_of("uid long, key long, word binary, n long, n_tokens long, n_known long, base double, score double")
+    heavy_rows = types.where(every >= least).mapInArrow(score_types, scored).collect()  # at most 1 / HEAVY rows
+    heavy = spark.sparkContext.broadcast(({r[0]: i for i, r in enumerate(heavy_rows)}, np.array([tuple(r)[1:] for r in heavy_rows], np.float64).reshape(-1, 2 + k)))
+    del heavy_rows
+    last = [float(ends.sum() > 0), float(np.log10((ends.sum() + 0.5) / below)), *np.log10((ends + 0.5) / (size + 0.5)).tolist()]
+    out, arrow = schema_of("uid long, key long, word binary, n int, n_tokens long, known double, base double, " + ", ".join(f"{c} double" for c in columns))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = heavy.value
+        places, values = heavy.value
         for batch in batches:
-            rows = []
+            uids, words, ns = [], [], []
+            whole = []
             for uid, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = text.lower().split()
-                known_n, base, score = last
-                for word, n in Counter(words).items():
-                    got = common.get(word)
-                    if got is None:
-                        rows.append((uid, None, word, n, None, None, None, None))
+                found = Counter(text.lower().split())
+                at, times = [], []
+                for word, n in found.items():
+                    place = places.get(word)
+                    if place is None:
+                        uids.append(uid)
+                        words.append(word)
+                        ns.append(n)
                     else:
-                        known_n += n * got[0]
-                        base += n * got[1]
-                        score += n * got[2]
+                        at.append(place)
+                        times.append(n)
+                mine = values[at].T @ np.array(times, float) + last if at else np.array(last)
                 # a word never holds a space, so this row of the document itself meets no word
-                rows.append((uid, key, b" %d" % uid, 0, len(words) + 1, known_n, base, score))
-            for i in range(0, len(rows), 200_000):
-                yield pack(arrow, list(zip(*rows[i : i + 200_000])))
+                whole.append((uid, key, b" %d" % uid, None, found.total() + 1, *mine.tolist()))
+            for i in range(0, len(words), 100_000):
+                part = slice(i, i + 100_000)
+                none = [None] * len(uids[part])
+                yield pack(arrow, [uids[part], none, words[part], ns[part], *[none] * (3 + k)])
+            yield pack(arrow, list(zip(*whole)) if whole else [[]] * len(arrow))
 
     parts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("text")).mapInArrow(read, out)
-    rest = scored_types(F.col("c") < least).select("word", (F.col("c") > 0).cast("long").alias("k"), F.col("base").alias("b"), F.col("score").alias("s"))
+    rest = types.where(every < least).mapInArrow(score_types, scored).select("word", *[F.col(c).alias(f"t_{c}") for c in ("known", "base", *columns)])
     joined = parts.join(rest.hint("shuffle_hash"), "word", "left")
-    total = lambda mine, its: F.sum(F.coalesce(F.col(mine), F.col("n") * F.col(its)))
-    return joined.groupBy("uid").agg(
-        F.max("key").alias(id_col), F.max("n_tokens").alias("n_tokens"), total("n_known", "k").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), total("base", "b").alias("base_score"), total("score", "s").alias("score"),
-    ).drop("uid")
+    total = {c: F.sum(F.coalesce(F.col(c), F.col("n") * F.col(f"t_{c}"))).alias(c) for c in ("known", "base", *columns)}
+    sums_ = joined.groupBy("uid").agg(F.max("key").alias(id_col), F.max("n_tokens").alias("n_tokens"), *total.values())
+    prior = np.log10((ends + 1e-3) / (ends + 1e-3).sum())
+    likely = [F.col(c) + float(p) for c, p in zip(columns, prior)]
+    top = F.greatest(*likely) if k > 1 else likely[0]
+    score = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in likely), F.lit(0.0)))
+    return sums_.select(id_col, "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
 
 
 @register("op1_lattice_lm")
@@ -259,5 +308,5 @@ def op1_lattice_lm(spark, sf_dir):
     import public_tokenizers
 
     vocabulary = Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
-    out = score_texts(table(spark, sf_dir, "documents"), vocabulary, fold("doc_id") != 1)
+    out = score_texts(table(spark, sf_dir, "documents"), vocabulary, fold("doc_id") != 1, group_col="lang")
     return out.withColumn("held_out", fold("doc_id") == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

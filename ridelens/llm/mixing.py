@@ -32,8 +32,7 @@ def _bag(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("t"))
     rows = rows.select("id", *keep, F.size("t").cast("long").alias("n"), F.array_distinct("t").alias("t"))
     rows = rows.select("id", *keep, "n", F.size("t").alias("k"), F.explode_outer("t").alias("t"))
-    return rows.select("id", *keep, "n", "k", F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("bucket")) if keep else rows.select(
-        "id", "n", "k", F.when(F.col("t").isNotNull(), F.pmod(F.xxhash64("t"), F.lit(BUCKETS))).alias("bucket"))
+    return rows.select("id", *keep, "n", "k", F.when(F.col("t").isNotNull(), F.pmod(F.xxhash64("t"), F.lit(BUCKETS))).alias("bucket"))
 
 
 def classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str) -> tuple[DataFrame, list[float]]:
