@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those rejected go: no letter, or a calibrated score below the bound."""
     prepare(spark)
     model = fit_language_id(docs, fold("doc_id") != 0)
-    return identify(docs, model, carry=tuple(docs.columns)).where("accepted").select(*docs.columns)
+    whole = docs.select("text", F.struct("*").alias("__doc"))
+    return identify(whole, model, carry=("__doc",)).where("accepted").select("__doc.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
