@@ -118,7 +118,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     "a_mounts": ("supplier", [
         "s_suppkey as profile_id", "0.9::double + (s_suppkey % 50) / 100.0::double as camera_height_m",
         "10.0::double + s_suppkey % 17 as pitch_deg", "(s_suppkey % 9 - 4)::double as roll_deg",
-        "(s_suppkey % 7 - 3)::double as yaw_deg", "(s_suppkey % 11 - 5) / 10.0::double as lateral_offset_m",
+        "(s_suppkey % 7 - 3)::double as yaw_deg", "(s_suppkey % 5 - 1)::double as handlebar_neutral_yaw_deg", "(s_suppkey % 11 - 5) / 10.0::double as lateral_offset_m",
         "1423.0::double as fx", "1423.0::double as fy", "960.0::double as cx", "540.0::double as cy",
         "s_suppkey % 10 <> 0 as valid",
         "case when s_suppkey % 6 = 0 then null else 100.0::double + s_suppkey % 90 end as horizon_y_px",

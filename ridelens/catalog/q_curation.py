@@ -43,13 +43,13 @@ def _(v: Views):
 
 def _cases(v: Views):
     al = v.a_alerts.withColumn("snapshot", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{\"score\":"), F.col("alert_score").cast("string"), F.lit("}")))).withColumn("phrase", F.lit("p"))
-    marks = v.ev.where("event_type = 'error' and k % 10 = 0").select("session_id", F.col("t_ns").alias("timestamp_ns"), F.col("event_type").alias("note"), F.col("k").alias("frame_id"))
+    marks = v.ev.where("event_type = 'error'").select("session_id", F.col("t_ns").alias("timestamp_ns"), F.col("event_type").alias("note"), F.col("k").alias("frame_id"))
     return queues.error_case_library(al, marks)
 
 
 @query("error_case_library", ["ev", "a_alerts"], """
 select session_id, 'alert' as kind, timestamp_ns, track_id, semantic_type, null as note, null::bigint as frame_id, event_id % 2 = 0 as has_snapshot from a_alerts where fired
-union all select session_id, 'mark', t_ns, null, null, event_type, k, null from ev where event_type = 'error' and k % 10 = 0
+union all select session_id, 'mark', t_ns, null, null, event_type, k, null from ev where event_type = 'error'
 """)
 def _(v: Views):
     snap = F.when(F.col("kind") == "alert", F.col("snapshot").startswith("{\"score\":"))
@@ -57,7 +57,7 @@ def _(v: Views):
 
 
 @query("error_case_counts", ["ev", "a_alerts"], """
-with i as (select session_id, 'a' as kind from a_alerts where fired union all select session_id, 'm' from ev where event_type = 'error' and k % 10 = 0)
+with i as (select session_id, 'a' as kind from a_alerts where fired union all select session_id, 'm' from ev where event_type = 'error')
 select session_id, count(*) as n_items, count(*) filter (where kind = 'a') as n_alerts, count(*) filter (where kind = 'm') as n_marks, 0::bigint as n_clips from i group by 1
 """)
 def _(v: Views):
@@ -80,7 +80,7 @@ _VOCAB = "vb(name, semantic_type, geometry_type, state, dsev, alert, note) as (v
 @query("map_public_labels", ["a_labels"], f"""
 with {_VOCAB}
 select label_id, raw, lower(source) as source, coalesce(vb.semantic_type, 'unknown_anomaly') as semantic_type, coalesce(vb.geometry_type, 'unknown') as geometry_type, coalesce(vb.state, 'unknown') as state,
-  coalesce(sv.code, vb.dsev, -1)::int as severity, coalesce(vb.alert and vb.state = 'abnormal', false) as alert_eligible, coalesce(vb.note, 'unmapped public class stays unknown; never coerce to pothole') as note
+  coalesce(sv.code, vb.dsev, -1)::int as severity, coalesce(vb.alert and vb.state = 'abnormal', false) as alert_eligible, coalesce(vb.note, 'no rule for this label') as note
 from a_labels a left join vb on vb.name = {_KEY.format(c='a.raw')} left join sv on sv.word = {_KEY.format(c='a.severity_raw')}
 """)
 def _(v: Views):
@@ -163,21 +163,21 @@ def _splits(v: Views):
 
 @query("materialize_split", None, """
 with i as (select o_orderkey as image, o_custkey % 90 as clip from orders), s as (select *, case when clip % 10 < 7 then 'train' when clip % 10 = 7 then 'val' else 'test' end as split from i),
-l as (select distinct l_orderkey as image, 'n' || (l_orderkey % 5) as label_text from lineitem where l_orderkey % 2 = 0)
+l as (select distinct l_orderkey as image, 'n' || (l_orderkey % 5) as label_text from lineitem)
 select s.image, clip, split, coalesce(label_text, '') as label_text from s left join l using (image) where split <> 'test'
 """)
 def _(v: Views):
-    lab = v.lineitem.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("image"), F.concat(F.lit("n"), (F.col("l_orderkey") % 5).cast("string")).alias("label_text")).distinct()
+    lab = v.lineitem.select(F.col("l_orderkey").alias("image"), F.concat(F.lit("n"), (F.col("l_orderkey") % 5).cast("string")).alias("label_text")).distinct()
     return curation.materialize_split(_index(v), lab, _splits(v)).select("image", "clip", "split", "label_text")
 
 
 @query("dataset_index_summary", None, """
-with i as (select o_orderkey as image, o_custkey % 90 as clip from orders), c as (select distinct clip from i), p as (select distinct l_orderkey as image from lineitem where l_suppkey % 4 = 0)
+with i as (select o_orderkey as image, o_custkey % 90 as clip from orders), c as (select distinct clip from i), p as (select distinct l_orderkey as image from lineitem)
 select (select count(*) from i) as n_frames, (select count(*) from i join p using (image)) as n_positive_frames, (select count(*) from i) - (select count(*) from i join p using (image)) as n_empty_frames,
  (select count(*) from c) as n_clips, (select count(*) from c where clip % 10 < 7) as n_train, (select count(*) from c where clip % 10 = 7) as n_val, (select count(*) from c where clip % 10 > 7) as n_test
 """)
 def _(v: Views):
-    dets = v.lineitem.where("l_suppkey % 4 = 0").select(F.col("l_orderkey").alias("image"))
+    dets = v.lineitem.select(F.col("l_orderkey").alias("image"))
     return curation.dataset_index_summary(_index(v), _splits(v), dets)
 
 
@@ -194,7 +194,7 @@ def _(v: Views):
 
 
 @query("apply_revisions", None, """
-with t as (select distinct conv_id % 60 as track_id, turn as frame_id from conversations), p as (select conv_id % 60 as track_id, turn as frame_id, role as key, conv_id as seq, text as value from conversations where conv_id % 3 <> 0),
+with t as (select distinct conv_id % 60 as track_id, turn as frame_id from conversations), p as (select conv_id % 60 as track_id, turn as frame_id, role as key, conv_id as seq, text as value from conversations),
 l as (select * from p qualify row_number() over (partition by track_id, frame_id, key order by seq desc, value desc) = 1),
 g as (select track_id, frame_id, string_agg(key || '=' || md5(value), ';' order by key) as rev from l group by 1, 2)
 select t.track_id, t.frame_id, rev as human_revision from t left join g using (track_id, frame_id)
@@ -202,7 +202,7 @@ select t.track_id, t.frame_id, rev as human_revision from t left join g using (t
 def _(v: Views):
     c = v.conversations.withColumn("track_id", F.col("conv_id") % 60).withColumn("frame_id", F.col("turn"))
     tasks = c.select("track_id", "frame_id").distinct().withColumn("human_revision", F.lit(None).cast("map<string,string>"))
-    patches = c.where("conv_id % 3 <> 0").select("track_id", "frame_id", F.col("role").alias("key"), F.col("conv_id").alias("seq"), F.col("text").alias("value"))
+    patches = c.select("track_id", "frame_id", F.col("role").alias("key"), F.col("conv_id").alias("seq"), F.col("text").alias("value"))
     df = curation.apply_revisions(tasks, patches)
     text = F.array_join(F.transform(F.array_sort(F.map_entries("human_revision")), lambda e: F.concat(e["key"], F.lit("="), F.md5(e["value"]))), ";")
     return df.select("track_id", "frame_id", text.alias("human_revision"))
@@ -267,19 +267,17 @@ def _(v: Views):
 
 
 @query("content_fingerprint", None, """
-select doc_id, case when octet_length(encode(text)) > 500 then 'L' || octet_length(encode(text)) else sha256(text) end as fp from documents
+select doc_id, sha256(text) as fp from documents
 """)
 def _(v: Views):
-    # documents as files; large ones (over the head limit) are compared by the size that enters the hash
-    f = v.documents.select("doc_id", F.encode("text", "UTF-8").alias("content")).withColumn("length", F.octet_length("content").cast("long"))
-    df = curation.content_fingerprint(f, limit=500, tail=100)
-    return df.select("doc_id", F.when(F.col("length") > 500, F.concat(F.lit("L"), F.col("length").cast("string"))).otherwise(F.col("sha256_prefix")).alias("fp"))
+    f = v.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return curation.content_fingerprint(f).select("doc_id", F.col("sha256").alias("fp"))
 
 
 # --- sharing -----------------------------------------------------------------------------------------------------------
 
 @query("share_tables", ["a_manifest", "a_location", "a_alerts"], """
-select 'manifest' as part, session_id, notes || ' | share pack: faces/plates blurred, GPS coarsened' as text, null::double as number from a_manifest
+select 'manifest' as part, session_id, notes || ' | share pack: GPS coarsened, paths and coordinates redacted' as text, null::double as number from a_manifest
 union all select 'location', event_id, 'coarsened', round_even(longitude, 2) from a_location
 union all select 'alert', event_id, semantic_type, alert_score from a_alerts
 """)
@@ -325,7 +323,7 @@ with mk as (select profile_id, 5.0 as d, known_distance_5m_px as px from a_mount
   union all select profile_id, 20.0, known_distance_20m_px from a_mounts where known_distance_20m_px is not null),
 nm as (select profile_id, count(*) as n from mk group by 1),
 g as (select m.*, p * 19 + h as i, radians(pitch_deg - 8 + p * 0.5) as pt, greatest(0.55, camera_height_m - 0.45) + h * ((camera_height_m + 0.45 - greatest(0.55, camera_height_m - 0.45)) / 18) as ht,
-   radians(roll_deg) as r, radians(yaw_deg) as w from a_mounts m, range(33) a(p), range(19) b(h) where m.profile_id in (select profile_id from nm where n >= 2)),
+   radians(roll_deg) as r, radians(yaw_deg + handlebar_neutral_yaw_deg) as w from a_mounts m, range(33) a(p), range(19) b(h) where m.profile_id in (select profile_id from nm where n >= 2)),
 e as (select g.profile_id, i, degrees(pt) as pitch, ht, px,
    sin(r) * (cos(w) * -lateral_offset_m + sin(w) * d) + cos(r) * (sin(pt) * sin(w) * -lateral_offset_m - sin(pt) * cos(w) * d + cos(pt) * ht) as yc,
    -cos(pt) * sin(w) * -lateral_offset_m + cos(pt) * cos(w) * d + sin(pt) * ht as zc, fy, cy from g join mk using (profile_id)),

@@ -110,11 +110,11 @@ def _(v: Views):
 
 _IDX = """ix as (select session_id, event_id, sensor_timestamp_ns, row_number() over (partition by session_id order by event_id) - 1 as i from {src})"""
 # frames of clicks and views only, so that alerts fall between frames
-_SPARSE = _IDX.format(src="(select * from a_frames where k % 3 <> 0)")
+_SPARSE = _IDX.format(src="a_frames")
 
 
 def _frames(v: Views):
-    return timejoin.number_frames(v.a_frames.where("k % 3 <> 0").select("session_id", "event_id", "sensor_timestamp_ns"))
+    return timejoin.number_frames(v.a_frames.select("session_id", "event_id", "sensor_timestamp_ns"))
 
 
 @query("nearest_frame", ["a_frames", "a_alerts"], f"""
@@ -133,11 +133,10 @@ def _(v: Views):
 with {_SPARSE}
 select ix.session_id, i as frame_index, m.event_id as sample_id, m.sensor_type from ix join a_imu m
   on m.session_id = ix.session_id and abs(m.timestamp_ns - ix.sensor_timestamp_ns) < 1500000000
-qualify row_number() over (partition by ix.session_id, i order by m.event_id) <= 4
 """)
 def _(v: Views):
     imu = v.a_imu.select("session_id", F.col("event_id").alias("sample_id"), "timestamp_ns", "sensor_type")
-    df = timejoin.imu_window(_frames(v).drop("event_id"), imu, half_ns=1_500_000_000, limit=4, order=("sample_id",))
+    df = timejoin.imu_window(_frames(v).drop("event_id"), imu, half_ns=1_500_000_000, order=("sample_id",))
     return df.select("session_id", "frame_index", "sample_id", "sensor_type")
 
 
@@ -147,7 +146,7 @@ a as (select ix.session_id, i, tr.seq, tr.track_id, 0 as tier from ix join tr on
         and (tr.source_frame_id = i or tr.source_frame_id = ix.sensor_timestamp_ns or abs(tr.timestamp_ns - ix.sensor_timestamp_ns) < 200000000)),
 b as (select ix.session_id, i, tr.seq, tr.track_id, 1 as tier from ix join tr on ix.session_id = tr.session_id
         and abs(tr.timestamp_ns - ix.sensor_timestamp_ns) <= 1000000000 where (ix.session_id, i) not in (select session_id, i from a)),
-s as (select * from (select distinct * from a union all select * from b) qualify row_number() over (partition by session_id, i order by seq, track_id) <= 12),
+s as (select distinct * from a union all select * from b),
 g as (select session_id, i, string_agg(track_id::varchar, ',' order by seq) as track_ids, min(tier) as tier from s group by 1, 2),
 al as (select ix.session_id, i, count(*) as n from ix join a_alerts e on ix.session_id = e.session_id and abs(e.timestamp_ns - ix.sensor_timestamp_ns) <= 1000000000 group by 1, 2)
 select ix.session_id, ix.i as frame_index, coalesce(track_ids, '') as track_ids, coalesce(tier = 1, false) as fallback, coalesce(n, 0) as n_alerts
@@ -258,12 +257,12 @@ def _(v: Views):
 
 @query("mask_visibility", ["a_boxes"], """
 with t as (select o_orderkey as frame, c * 240 as tx0, r * 180 as ty0, c * 240 + 240 as tx1, r * 180 + 180 as ty1,
-   ((o_orderkey + c * 3 + r * 5) % 20) / 20.0 as score from orders, range(8) a(c), range(6) b(r) where o_orderkey % 4 <> 0),
+   ((o_orderkey + c * 3 + r * 5) % 20) / 20.0 as score from orders, range(8) a(c), range(6) b(r)),
 m as (select image, seq, price, avg(score) as s from a_boxes join t on t.frame = image and least(x1, tx1) > greatest(x0, tx0) and least(y1, ty1) > greatest(y0, ty0) group by 1, 2, 3)
 select b.image as frame, b.seq, b.price, round(coalesce(s, quality * (1 - conf)), 6) + 0.0 as mask_visibility from a_boxes b left join m using (image, seq, price)
 """)
 def _(v: Views):
-    cr = v.orders.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i")).withColumn(
+    cr = v.orders.select(F.col("o_orderkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i")).withColumn(
         "c", F.col("i") % 8).withColumn("r", F.floor(F.col("i") / 8))
     tiles = cr.select("frame", (F.col("c") * 240.0).alias("x0"), (F.col("r") * 180.0).alias("y0"), (F.col("c") * 240.0 + 240).alias("x1"),
                       (F.col("r") * 180.0 + 180).alias("y1"), (((F.col("frame") + F.col("c") * 3 + F.col("r") * 5) % 20) / 20.0).alias("score"))
@@ -319,7 +318,7 @@ def _(v: Views):
 , r as (select im, seq, price, row_number() over (partition by im order by rn) as p from k where hit) select im as image, seq, price from r where p <= 60
 """)
 def _(v: Views):
-    return spatial.nms(_coarse(v), iou_threshold=0.45, plus_one=True, cap=60, list_size=8, round_size=64).select("image", "seq", "price")
+    return spatial.nms(_coarse(v), iou_threshold=0.45, plus_one=True, cap=60).select("image", "seq", "price")
 
 
 @query("decode_detections", ["a_boxes"], """

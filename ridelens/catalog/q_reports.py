@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridelens.plans.rounds import cut_lineage
 from ridelens.catalog.registry import Views, query, rounded
 from ridelens.operators import reports, spatial, tracks
 
 _HOURS = """
-f as (select session_id, sensor_timestamp_ns, row_number() over (partition by session_id order by event_id) as rn from a_frames where sensor_timestamp_ns <> 0),
-c as (select session_id, (max(sensor_timestamp_ns) - min(sensor_timestamp_ns)) / 1e9 / 3600 as h, count(*) as n from f where rn <= 50000 group by 1),
-h as (select m.session_id, case when end_elapsed_realtime_ns > start_elapsed_realtime_ns then (end_elapsed_realtime_ns - start_elapsed_realtime_ns) / 1e9 / 3600.0
-       when n >= 2 then h else 0 end as hours from a_manifest m left join c using (session_id))
+c as (select session_id, (max(sensor_timestamp_ns) - min(sensor_timestamp_ns)) / 1e9 / 3600 as h, count(*) as n from a_frames where sensor_timestamp_ns <> 0 group by 1),
+h as (select coalesce(m.session_id, c.session_id) as session_id, case when end_elapsed_realtime_ns > start_elapsed_realtime_ns then (end_elapsed_realtime_ns - start_elapsed_realtime_ns) / 1e9 / 3600.0
+       when n >= 2 then h else 0 end as hours from a_manifest m full join c using (session_id))
 """
 
 
@@ -21,8 +21,8 @@ def _(v: Views):
 
 
 @query("alert_rate_report", ["a_manifest", "a_frames", "a_alerts"], f"""
-with {_HOURS}, a as (select session_id, count(*) as n from a_alerts where fired group by 1),
-t as (select count(*) as n_sessions, sum(hours) as hours, coalesce(sum(n), 0)::bigint as n_alerts_fired from h left join a using (session_id))
+with {_HOURS}, a as (select session_id, count(*) filter (where fired) as n from a_alerts group by 1),
+t as (select count(*) as n_sessions, sum(hours) as hours, coalesce(sum(n), 0)::bigint as n_alerts_fired from h full join a using (session_id))
 select n_sessions, round(hours, 6) + 0.0 as hours, n_alerts_fired, round(n_alerts_fired / hours, 6) + 0.0 as alerts_per_hour, hours >= 10 as hours_ok,
   n_alerts_fired / hours <= 0.5 as rate_ok, hours >= 10 and n_alerts_fired / hours <= 0.5 as pass from t
 """)
@@ -31,8 +31,8 @@ def _(v: Views):
 
 
 @query("alert_rate_sessions", ["a_manifest", "a_frames", "a_alerts"], f"""
-with {_HOURS}, a as (select session_id, count(*) as n from a_alerts where fired group by 1)
-select session_id, round(hours, 6) + 0.0 as hours, coalesce(n, 0) as n_alerts_fired from h left join a using (session_id)
+with {_HOURS}, a as (select session_id, count(*) filter (where fired) as n from a_alerts group by 1)
+select session_id, round(coalesce(hours, 0), 6) + 0.0 as hours, coalesce(n, 0) as n_alerts_fired from h full join a using (session_id)
 """)
 def _(v: Views):
     return rounded(reports.alert_sessions(reports.session_hours(v.a_manifest, v.a_frames), v.a_alerts), "hours")
@@ -103,8 +103,8 @@ def _(v: Views):
 
 @query("crash_scan", ["a_imu"], """
 with a as (select *, row_number() over (partition by session_id order by event_id) as rn, abs(sqrt(x*x + y*y + z*z) - 9.81) as res from a_imu where sensor_type = 'ACCEL')
-select session_id, least(count(*), 50001) as n_samples, count(*) filter (where res >= 5 and rn <= 50000) as n_hits, arg_min(timestamp_ns, event_id) filter (where res >= 5 and rn <= 50000) as first_hit_ns,
-  round(max(res) filter (where res >= 5 and rn <= 50000), 6) + 0.0 as max_residual from a group by 1
+select session_id, count(*) as n_samples, count(*) filter (where res >= 5) as n_hits, arg_min(timestamp_ns, event_id) filter (where res >= 5) as first_hit_ns,
+  round(max(res) filter (where res >= 5), 6) + 0.0 as max_residual from a group by 1
 """)
 def _(v: Views):
     from ridelens.config import ImpactConfig
@@ -291,7 +291,7 @@ gm as (select nf.slice, frames, confirmed, candidates, direction_correct / direc
 
 
 def _golden(v: Views):
-    m = _matches(v).persist()  # shared by all metrics
+    m = cut_lineage(_matches(v))  # shared by all metrics, written once and dropped with the last reference
     return reports.golden_metrics(v.a_gt, _sliced(v), m, tracks.id_switches(m.where(_SOLID)))
 
 

@@ -28,8 +28,14 @@ def rotation(pitch_deg: Column, roll_deg: Column, yaw_deg: Column) -> Column:
     return F.struct(*[rolled[a][i].alias(f"{a}_{i}") for a in _AXES for i in range(3)])
 
 
+def heading(mounts: DataFrame) -> Column:
+    """Yaw of the camera on the bar plus that of the bar when riding straight."""
+    own = F.col("yaw_deg")
+    return own + F.coalesce("handlebar_neutral_yaw_deg", F.lit(0.0)) if "handlebar_neutral_yaw_deg" in mounts.columns else own
+
+
 def with_rotation(mounts: DataFrame, name: str = "_rot") -> DataFrame:
-    return mounts.withColumn(name, rotation(F.col("pitch_deg"), F.col("roll_deg"), F.col("yaw_deg")))
+    return mounts.withColumn(name, rotation(F.col("pitch_deg"), F.col("roll_deg"), heading(mounts)))
 
 
 def mount_columns(rot: str | Column = "_rot", c=F.col) -> dict[str, Column]:

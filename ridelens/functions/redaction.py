@@ -15,9 +15,9 @@ def hide_paths(text: Column) -> Column:
     return F.regexp_replace(text, _CI_PATH, "[path]")
 
 
-def crash_text(text: Column, max_chars: int | None = None) -> Column:
-    cut = text if max_chars is None else F.substring(text, 1, max_chars)
-    out = hide_paths(cut)
+def crash_text(text: Column) -> Column:
+    """The whole text without paths and coordinates."""
+    out = hide_paths(text)
     out = F.regexp_replace(out, V.LATITUDE_PATTERN, '"latitude": null')
     return F.regexp_replace(out, V.LONGITUDE_PATTERN, '"longitude": null')
 

@@ -97,11 +97,12 @@ def split_sessions(ids: DataFrame, *, key: str = "session_id", seed: int = 7, ra
     Positions come from chunked ranks over the hash, so even very many sessions are not sorted in one task.
     """
     distinct = ids.select(key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    n = distinct.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = with_rank(distinct.withColumn("_all", F.lit(0)), ["_all"], ["_h", key], name="_r", chunk=2.0**52)
+    distinct = distinct.withColumn("_all", F.lit(0))
+    n = distinct.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_rank(distinct, ["_all"], ["_h", key], name="_r", chunk=2.0**52)
     cut1 = F.floor(F.col("_n") * F.lit(ratios[0]))
     cut2 = cut1 + F.floor(F.col("_n") * F.lit(ratios[1]))
-    return ranked.withColumn("_n", F.lit(n.first()["_n"])).select(
+    return ranked.join(F.broadcast(n), "_all").select(
         key, F.when(F.col("_r") < cut1, "train").when(F.col("_r") < cut2, "val").otherwise("test").alias("split"))
 
 
@@ -109,23 +110,15 @@ def clip_split(ids: DataFrame, *, key: str = "clip", seed: int = 7) -> DataFrame
     """Clips into splits with the small cases: one clip is both train and val, two are one each, three are two and one.
 
     From four clips on as `split_sessions`; an empty val takes the last train clip."""
-    distinct = ids.select(key).distinct()
-    n = distinct.count()
-    if n == 0:
-        return distinct.withColumn("split", F.lit("train"))
-    if n == 1:
-        return distinct.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("val"))))
-    if n <= 3:
-        w = W.orderBy(key)
-        return distinct.withColumn("_r", F.row_number().over(w)).select(
-            key, F.when(F.col("_r") == n, "val").otherwise("train").alias("split"))
-    base = split_sessions(distinct, key=key, seed=seed)
-    if int(n * 0.15) > 0:
-        return base
-    last = base.where("split = 'train'").withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).agg(
-        F.max_by(F.col(key), F.struct("_h", key)).alias("_last"))
-    moved = base.join(F.broadcast(last), F.col(key) == F.col("_last"), "left")
-    return moved.select(key, F.when(F.col("_last").isNotNull(), "val").otherwise(F.col("split")).alias("split"))
+    base = split_sessions(ids, key=key, seed=seed).withColumn("_all", F.lit(0)).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    # one row: the number of clips, the last train clip, and the largest key
+    one = base.groupBy("_all").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by(F.col(key), F.when(F.col("split") == "train", F.struct("_h", key))).alias("_last"), F.max(key).alias("_top"))
+    n, mine = F.col("_n"), F.col(key)
+    few = F.array(F.when(mine == F.col("_top"), "val").otherwise("train"))
+    many = F.array(F.when((F.floor(n * F.lit(0.15)) == 0) & (mine == F.col("_last")), "val").otherwise(F.col("split")))
+    sides = F.when(n == 1, F.array(F.lit("train"), F.lit("val"))).when(n <= 3, few).otherwise(many)
+    return base.join(F.broadcast(one), "_all").select(key, F.explode(sides).alias("split"))
 
 
 def leakage_check(assigned: DataFrame, *, key: str = "session_id", split: str = "split") -> DataFrame:
@@ -175,8 +168,8 @@ def export_annotation_tasks(tracks: DataFrame, *, frame: str = "source_frame_id"
 
 
 def apply_revisions(tasks: DataFrame, patches: DataFrame, *, keys: Sequence[str] = ("track_id", "frame_id"), seq: str = "seq") -> DataFrame:
-    """Merge human patches per (track, frame); `patches` rows are keys, seq, `key`, `value`; the later one wins."""
-    latest = patches.groupBy(*keys, "key").agg(F.max(F.struct(seq, "value")).alias("_v"))
+    """Merge human patches per (track, frame); `patches` rows are keys, seq, `key`, `value`; the later one wins, and one without a key is left out."""
+    latest = patches.where("key is not null").groupBy(*keys, "key").agg(F.max(F.struct(seq, "value")).alias("_v"))
     packed = latest.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.col("_v.value").alias("value"))))).alias("_patch"))
     out = tasks.join(packed, list(keys), "left")
     old = F.coalesce(F.col("human_revision"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
@@ -273,10 +266,6 @@ def clip_catalog(clips: DataFrame) -> DataFrame:
         "fps", F.bround("fps", 3)).withColumn("mean_luma", F.bround("mean_luma", 2))
 
 
-def content_fingerprint(files: DataFrame, *, limit: int = 2_000_000, tail: int = 65536) -> DataFrame:
-    """Hash of the first 2 MB; for larger files the last 64 KB and the size go in as well."""
-    head = F.substring(F.col("content"), 1, limit)
-    last = F.expr(f"substring(content, greatest(length(content) - {tail}, 0) + 1, {tail})")
-    size = F.encode(F.col("length").cast("string"), "UTF-8")
-    data = F.when(F.col("length") > limit, F.concat(head, last, size)).otherwise(head)
-    return files.withColumn("sha256_prefix", F.sha2(data, 256)).drop("content")
+def content_fingerprint(files: DataFrame) -> DataFrame:
+    """Hash of the whole content."""
+    return files.withColumn("sha256", F.sha2("content", 256)).drop("content")

@@ -94,7 +94,7 @@ def fit_mounts(mounts: DataFrame, *, key: str = "profile_id", n_pitch: int = 33,
         pitch = p0 - 8.0 + F.floor(i / n_height) * (16.0 / (n_pitch - 1))
         height = low + (i % n_height) * ((h0 + 0.45 - low) / (n_height - 1))
         return F.struct(i.alias("i"), pitch.alias("pitch"), height.alias("height"),
-                        camera.rotation(pitch, F.col("roll_deg"), F.col("yaw_deg")).alias("rot"))
+                        camera.rotation(pitch, F.col("roll_deg"), camera.heading(mounts)).alias("rot"))
 
     def trial(t: Column) -> Column:
         m = {**camera.mount_columns(t["rot"]), "camera_height_m": t["height"]}

@@ -79,11 +79,11 @@ def alignment_error_p95(camera: DataFrame, imu: DataFrame, *, key: str = "sessio
 
 
 def sensor_rates(df: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor_type"), ts: str = "timestamp_ns",
-                 tie: str = "event_id", window_s: int = 60, max_gaps: int = 4000) -> DataFrame:
+                 tie: str = "event_id", window_s: int = 60, max_gaps: int | None = None) -> DataFrame:
     """Rate per whole second, the mean rate of the last `window_s` seconds seen so far, and gap statistics.
 
     The window is carried as an array of at most `window_s` rates; the gap percentiles are the
-    floor-index ones of the last `max_gaps` gaps of the key.
+    floor-index ones of all gaps of the key, or with `max_gaps` of the last so many.
     """
     keys = list(keys)
     per_s = df.groupBy(*keys, F.floor(F.col(ts) / NS_PER_S).alias("second")).agg(
@@ -91,10 +91,10 @@ def sensor_rates(df: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor_
     rates = trailing(per_s, keys, ["second"], window_s, {
         "hz_window": F.collect_list("hz"), "window_s": F.count("hz")})
     gaps = intervals(df, keys, [ts, tie], ts)
-    # the rank limit is applied before the shuffle, so at most `max_gaps` rows per key and task travel
-    w = W.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    recent = gaps.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= max_gaps)
-    q = rank_quantiles(recent, keys, "dt_ns", {
+    if max_gaps is not None:  # the rank limit is applied before the shuffle
+        w = W.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(tie).desc())
+        gaps = gaps.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= max_gaps)
+    q = rank_quantiles(gaps, keys, "dt_ns", {
         "gap_p5": ("floor", 0.05), "gap_p50": ("floor", 0.5), "gap_p95": ("floor", 0.95)}, count_name="n_gaps")
     return rates.join(q, keys, "left").select(
         *keys, "second", "hz", "window_s", "hz_window",
@@ -217,7 +217,7 @@ def match_one_to_one(frames: DataFrame, results: DataFrame, *, key: str = "sessi
     f = frames.select(key, F.col(frame_ts).alias("t"), F.col(frame_seq).alias("seq"), F.lit(0).alias("side"))
     r = results.select(key, F.col(result_ts).alias("t"), F.col(result_seq).alias("seq"), F.lit(1).alias("side"))
     both = f.unionByName(r)
-    width = chunk or chunk_width(both, "t")
+    width = chunk or chunk_width("t")
     prev = with_previous(both, [key], ["t", "side", "seq"], ["t"], chunk=width)
     head = prev.withColumn("_start", F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > max_dt_ns))
     # cluster id = time of the cluster's first member, spread forward chunk by chunk

@@ -23,24 +23,21 @@ def share(part: Column, whole: Column) -> Column:
 
 # --- hours and alert rate ----------------------------------------------------------------------
 
-def session_hours(manifests: DataFrame, frames: DataFrame, *, key: str = "session_id", frame_ts: str = "sensor_timestamp_ns",
-                  seq: str = "event_id", limit: int = 50_000, chunk: float | None = None) -> DataFrame:
-    """Ridden hours: manifest span, else the span of the first `limit` frame times, else 0."""
+def session_hours(manifests: DataFrame, frames: DataFrame, *, key: str = "session_id", frame_ts: str = "sensor_timestamp_ns") -> DataFrame:
+    """Ridden hours of every session of either log: manifest span, else the span of its frame times, else 0."""
     span = F.col("end_elapsed_realtime_ns") - F.col("start_elapsed_realtime_ns")
-    man = manifests.select(key, F.when(span > 0, span / 1e9 / 3600.0).alias("_mh"))
-    # only sessions without a usable manifest span need their frames
-    open_keys = man.where("_mh is null").select(key)
-    t = frames.where(F.coalesce(F.col(frame_ts), F.lit(0)) != 0).join(open_keys, key, "left_semi")
-    head = with_rank(t.select(key, seq, frame_ts), [key], [seq], chunk=chunk).where(F.col("rank") < limit)
-    cam = head.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), (F.max(frame_ts) - F.min(frame_ts)).alias("_s"))
+    man = manifests.groupBy(key).agg(F.max(F.when(span > 0, span / 1e9 / 3600.0)).alias("_mh"))
+    t = F.when(F.col(frame_ts) != 0, F.col(frame_ts))
+    cam = frames.groupBy(key).agg(F.count(t).alias("_n"), (F.max(t) - F.min(t)).alias("_s"))
     cam_h = F.when(F.col("_n") >= 2, F.greatest(F.lit(0.0), F.col("_s") / 1e9 / 3600.0))
-    return man.join(cam, key, "left").select(key, F.coalesce("_mh", cam_h, F.lit(0.0)).alias("hours"))
+    return man.join(cam, key, "full").select(key, F.coalesce("_mh", cam_h, F.lit(0.0)).alias("hours"))
 
 
 def alert_sessions(hours: DataFrame, alerts: DataFrame, *, key: str = "session_id") -> DataFrame:
-    fired = alerts.where("fired").groupBy(key).agg(F.count(F.lit(1)).alias("n_alerts_fired"))
-    return hours.join(fired, key, "left").select(
-        key, "hours", F.coalesce("n_alerts_fired", F.lit(0)).cast("long").alias("n_alerts_fired"))
+    """Hours and fired alerts of every session of either input; a session known from alerts alone has no hours."""
+    fired = alerts.groupBy(key).agg(F.count_if("fired").alias("n_alerts_fired"))
+    return hours.join(fired, key, "full").select(
+        key, F.coalesce("hours", F.lit(0.0)).alias("hours"), F.coalesce("n_alerts_fired", F.lit(0)).cast("long").alias("n_alerts_fired"))
 
 
 # Release gate of the false-voice rate.
@@ -76,7 +73,7 @@ def runtime_stats(runtime: DataFrame, *, key: str = "session_id") -> DataFrame:
         F.avg(col("battery_pct")).alias("mean_battery_pct"), F.avg(col("memory_mb")).alias("mean_memory_mb"),
         F.count_if(F.coalesce(col("inferred").cast("boolean"), F.lit(False))).alias("n_inferred"))
     if "latency_p95_ms" in have:
-        q = rank_quantiles(runtime, [key], "latency_p95_ms", {"p95_latency_ms": ("nearest", 0.95)}, count_name="_nl", chunk=50.0)
+        q = rank_quantiles(runtime, [key], "latency_p95_ms", {"p95_latency_ms": ("nearest", 0.95)}, count_name="_nl")
         out = out.join(q.drop("_nl"), key, "left")
     else:
         out = out.withColumn("p95_latency_ms", F.lit(None).cast("double"))
@@ -86,7 +83,7 @@ def runtime_stats(runtime: DataFrame, *, key: str = "session_id") -> DataFrame:
 def ride_report(tracks: DataFrame, alerts: DataFrame, runtime: DataFrame, gyro: DataFrame, sessions: DataFrame, *,
                 intervals: DataFrame | None = None, key: str = "session_id") -> DataFrame:
     """One row per session; each log is aggregated map-side before the small per-session joins."""
-    states = tracks.groupBy(key, "lifecycle_state").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
+    states = tracks.groupBy(key, F.coalesce("lifecycle_state", F.lit("missing")).alias("lifecycle_state")).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("lifecycle_state", "n")))).alias("track_states"),
         F.sum("n").alias("n_track_rows"))
     dec = alerts.groupBy(key).agg(F.count(F.lit(1)).alias("n_alert_decisions"), F.count_if("fired").alias("n_alerts_fired"))
@@ -101,12 +98,14 @@ def ride_report(tracks: DataFrame, alerts: DataFrame, runtime: DataFrame, gyro:
 
 
 def thermal_series(runtime: DataFrame, *, keys: Sequence[str] = ("session_id",), order: Sequence[str] = ("sensor_timestamp_ns", "event_id"),
-                   points: int = 240, chunk: float | None = None) -> DataFrame:
-    """Every max(1, n div 240)-th row that has a temperature or a battery level."""
+                   points: int | None = None, chunk: float | None = None) -> DataFrame:
+    """Rows that have a temperature or a battery level; with `points`, every max(1, n div points)-th of them."""
     keys = list(keys)
     known = F.col("thermal_c").isNotNull()
     if "battery_pct" in runtime.columns:
         known = known | F.col("battery_pct").isNotNull()
+    if points is None:
+        return runtime.where(known)
     sizes = runtime.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = with_rank(runtime.where(known), keys, list(order), name="_i", chunk=chunk)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / points))
@@ -236,16 +235,13 @@ def impact_report(aligned: DataFrame, *, keys: Sequence[str] = ("session_id",))
 
 
 def crash_scan(imu: DataFrame, *, keys: Sequence[str] = ("session_id",), seq: str = "event_id", ts: str = "timestamp_ns",
-               limit: int = 50_000, cfg: ImpactConfig = ImpactConfig(), chunk: float | None = None) -> DataFrame:
-    """Hits among the first `limit` accelerometer rows of each session (the row limit is part of the report)."""
+               cfg: ImpactConfig = ImpactConfig()) -> DataFrame:
+    """Hits among all accelerometer rows of each session, combined map-side; `first_hit_ns` is the first in log order."""
     keys = list(keys)
-    n = imu.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    flagged = flag_impacts(with_rank(imu, keys, [seq], name="_i", chunk=chunk).where(F.col("_i") < limit), cfg=cfg)
-    agg = flagged.groupBy(*keys).agg(
-        F.count_if("severe").alias("n_hits"), F.min(F.when(F.col("severe"), F.struct(seq, ts))).alias("_f"),
-        F.max(F.when(F.col("severe"), F.col("residual"))).alias("max_residual"))
-    return n.join(agg, keys).select(*keys, F.least("_all", F.lit(limit + 1)).alias("n_samples"), "n_hits",
-                                    F.col(f"_f.{ts}").alias("first_hit_ns"), "max_residual", F.lit(False).alias("used_for_alert"))
+    return flag_impacts(imu, cfg=cfg).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.count_if("severe").alias("n_hits"),
+        F.min_by(F.col(ts), F.when(F.col("severe"), F.col(seq))).alias("first_hit_ns"),
+        F.max(F.when(F.col("severe"), F.col("residual"))).alias("max_residual")).withColumn("used_for_alert", F.lit(False))
 
 
 def harvest_impact_windows(accel: DataFrame, *, cfg: ImpactConfig = ImpactConfig()) -> DataFrame:
@@ -341,7 +337,7 @@ def golden_metrics(gt: DataFrame, tracks: DataFrame, matches: DataFrame, switche
                                F.avg(err).alias("distance_mae_m"))
     conf = matches.where(F.col("lifecycle_state").isin(V.CONFIRMED_STATES))
     first = conf.groupBy(key, "id").agg(F.min_by("gt_distance_m", frame).alias("first_confirm_distance_m"))
-    med = rank_quantiles(first, [key], "first_confirm_distance_m", {"first_confirm_median_m": ("linear", 0.5)}, count_name="n_first_confirm", chunk=50.0)
+    med = rank_quantiles(first, [key], "first_confirm_distance_m", {"first_confirm_median_m": ("linear", 0.5)}, count_name="n_first_confirm")
     sw = switches.groupBy(key).agg(F.sum("switches").alias("id_switches_est"))
     fs = false_solids(tracks, matches, keys=(key, "track_id")).groupBy(key).agg(F.count(F.lit(1)).alias("false_solid_count"))
     out = frames.join(rows, key, "left").join(m, key, "left").join(med, key, "left").join(sw, key, "left").join(fs, key, "left")
@@ -398,9 +394,9 @@ def run_summary(tracks: DataFrame, frames: DataFrame, alerts: DataFrame, *, key:
         F.count_if(F.col("_sem").isin(V.BUMP_SEMANTICS)).alias("n_bump_confirmed"),
         F.count_if(F.col("_sem") == "unknown_anomaly").alias("n_unknown_confirmed"),
         F.count("_d").alias("n_confirmed_with_distance"), F.count_if("_dir").alias("n_confirmed_with_direction"))
-    sem = t.where(is_conf).groupBy(key, "_sem").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
+    sem = t.where(is_conf).groupBy(key, F.coalesce("_sem", F.lit("missing")).alias("_sem")).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("_sem", "n")))).alias("confirmed_semantics"))
-    med = rank_quantiles(t, [key], "_d", {"first_confirm_median_m": ("linear", 0.5)}, count_name="_nd", chunk=50.0).drop("_nd")
+    med = rank_quantiles(t, [key], "_d", {"first_confirm_median_m": ("linear", 0.5)}, count_name="_nd").drop("_nd")
     fr = frames.groupBy(key).agg(
         F.count(F.lit(1)).alias("frames"), F.avg("blur").alias("mean_blur"), F.avg("glare").alias("mean_glare"), F.avg("luma").alias("mean_luma"),
         F.avg(F.col("has_road").cast("double")).alias("road_frame_share"), F.avg(F.col("has_occlusion").cast("double")).alias("occlusion_frame_share"))

@@ -102,7 +102,7 @@ def bad_streak(frames: DataFrame, *, keys: Sequence[str] = ("session_id",), ts:
     the result does not need a session in one place.
     """
     keys, order = list(keys), [ts, *tie]
-    chunk = chunk or chunk_width(frames, ts)
+    chunk = chunk or chunk_width(ts)
     prev = with_previous(frames, keys, order, [ts], chunk=chunk)
     dt = F.when(F.col(f"prev_{ts}").isNull(), F.lit(cfg.first_frame_dt_s)).otherwise(
         F.greatest(F.lit(cfg.min_dt_s), (F.col(ts) - F.col(f"prev_{ts}")) / 1e9))
@@ -142,16 +142,14 @@ def admission_gate(frames: DataFrame, *, polygons: str = "occluded_polygons", cf
 # --- geometry --------------------------------------------------------------------------------
 
 def localize_tracks(tracks: DataFrame, mounts: DataFrame, *, key: str = "profile_id", contact: tuple[str, str] = ("contact_x", "contact_y"),
-                    quality: str = "quality_at_mask", broadcast_rows: int = 200_000) -> DataFrame:
+                    quality: str = "quality_at_mask") -> DataFrame:
     """Road position, distance and its confidence from the ground-contact pixel of each track.
 
-    Mount profiles are a small dimension; they are broadcast only after their row count is checked,
-    otherwise Spark joins on the profile id (one hot profile is split by the adaptive skew join).
+    How the mount profiles are joined is left to Spark: it broadcasts them where their size allows, and
+    else splits a hot profile in the adaptive skew join.
     """
     cols = ["camera_height_m", "lateral_offset_m", "fx", "fy", "cx", "cy", "valid", "_rot"]
     dim = camera.with_rotation(mounts).select(key, *cols)
-    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        dim = F.broadcast(dim)
     joined = tracks.join(dim, key, "left")
     u, v = (F.col(c) for c in contact)
     point = F.when(F.coalesce(F.col("valid"), F.lit(False)), camera.ground_point(u, v, camera.mount_columns(), max_y=80.0))
@@ -252,7 +250,7 @@ def mask_runs(pixels: DataFrame, *, keys: Sequence[str], width: str = "width", h
     keys = list(keys)
     pos = (F.col(x).cast("long") * F.col(height) + F.col(y)).alias("_pos")
     flat = pixels.select(*keys, pos, F.when(F.col(label) != 0, 1).otherwise(0).alias("value"))
-    chunk = chunk or chunk_width(flat, "_pos")
+    chunk = chunk or chunk_width("_pos")
     prev = with_previous(flat, keys, ["_pos"], ["value"], chunk=chunk)
     begins = (F.col("value") != F.coalesce("prev_value", F.lit(0))).cast("long")
     runs = running_sums(prev, keys, ["_pos"], {"run": begins}, chunk=chunk)
@@ -298,5 +296,5 @@ def redact_json_object(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, redaction.redact_map_text(parsed))
 
 
-def redact_text(logs: DataFrame, column: str, *, max_chars: int | None = None) -> DataFrame:
-    return logs.withColumn(column, redaction.crash_text(F.col(column), max_chars))
+def redact_text(logs: DataFrame, column: str) -> DataFrame:
+    return logs.withColumn(column, redaction.crash_text(F.col(column)))

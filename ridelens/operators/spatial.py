@@ -14,7 +14,6 @@ from ridelens.functions import shapes
 from ridelens.functions import vocab as V
 from ridelens.plans.fold import ordered_fold
 from ridelens.plans.grid import near_join, overlap_join, point_in_box_join
-from ridelens.plans.rounds import cut_lineage
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -131,94 +130,36 @@ def _clash(a: np.ndarray, b: np.ndarray, threshold: float, plus_one: bool) -> np
     return (inter > 0) & (inter / np.where(union > 0, union, 1.0) >= threshold)
 
 
-def _keep_lists(dets: DataFrame, keys: list[str], order: list[str], threshold: float, plus_one: bool) -> DataFrame:
-    """Small frames: one array per frame, folded by expressions."""
-    item = F.struct(*order, *[F.col(c).cast("double").alias(c) for c in BOX])
-    lists = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-
-    def coords(b: Column) -> list[Column]:
-        return [b[c] for c in BOX]
-
-    def step(kept: Column, cand: Column) -> Column:
-        def clash(k: Column) -> Column:
-            v = shapes.iou(coords(k), coords(cand), plus_one=plus_one)
-            return v > threshold if plus_one else v >= threshold
-        return F.when(F.exists(kept, clash), kept).otherwise(F.concat(kept, F.array(cand)))
-
-    kept = F.aggregate(F.col("_l"), F.slice(F.col("_l"), 1, 0), step)
-    return lists.select(*keys, F.explode(kept).alias("_k")).select(*keys, *[F.col(f"_k.{c}").alias(c) for c in [*order, *BOX]])
-
+def nms(dets: DataFrame, *, keys: Sequence[str] = ("image",), conf: str = "conf", tie: Sequence[str] = ("seq", "price"),
+        iou_threshold: float = 0.50, plus_one: bool = False, cap: int | None = None, block: int = 256) -> DataFrame:
+    """Greedy class-agnostic suppression per frame, best confidence first, rows without a confidence last.
 
-def _keep_stream(dets: DataFrame, keys: list[str], order: list[str], threshold: float, plus_one: bool, block: int = 256) -> DataFrame:
-    """Larger frames: boxes stream through the task best first; only the kept boxes, which cannot overlap
-    much and so are bounded by the frame area, stay in memory."""
-    cols = [*keys, *order, *BOX]
-    slim = dets.select(*keys, *order, *[F.col(c).cast("double").alias(c) for c in BOX])
-    types = dict(slim.dtypes)
+    Frames are dealt over the tasks and sorted by Spark; a task streams the boxes of a frame and holds only
+    those it keeps, which cannot overlap much and so are bounded by the frame's area. Rows that equal each other
+    in confidence and `tie` are decided by their box. `cap` keeps the best so many of a frame.
+    """
+    keys = list(keys)
+    ranked = dets.select("*", F.coalesce(-F.col(conf).cast("double"), F.lit(float("inf"))).alias("_neg"),
+                         F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in BOX]).alias("_box"))
+    names = dets.columns
 
     def step(state: dict, c: dict, span: range, out: list) -> None:
         for lo in range(span.start, span.stop, block):
+            if cap is not None and len(state["kept"]) >= cap:
+                return
             rows = range(lo, min(lo + block, span.stop))
-            boxes = np.array([[c[n][i] for n in BOX] for i in rows])
-            open_ = ~_clash(state["kept"], boxes, threshold, plus_one).any(axis=0) if len(state["kept"]) else np.ones(len(boxes), dtype=bool)
-            inside = _clash(boxes, boxes, threshold, plus_one)
+            boxes = np.array([c["_box"][i] for i in rows], dtype=float)
+            open_ = ~_clash(state["kept"], boxes, iou_threshold, plus_one).any(axis=0) if len(state["kept"]) else np.ones(len(boxes), dtype=bool)
+            inside = _clash(boxes, boxes, iou_threshold, plus_one)
             picked = []
             for j in range(len(boxes)):
-                if open_[j]:
+                if open_[j] and (cap is None or len(state["kept"]) + len(picked) < cap):
                     picked.append(j)
                     open_[j + 1:] &= ~inside[j, j + 1:]
             state["kept"] = np.vstack([state["kept"], boxes[picked]])
-            out.extend(tuple(c[n][lo + j] for n in cols) for j in picked)
-
-    return ordered_fold(slim, keys, order, lambda: {"kept": np.zeros((0, 4))}, step, ", ".join(f"`{c}` {types[c]}" for c in cols))
-
+            out.extend(tuple(c[n][lo + j] for n in names) for j in picked)
 
-def nms(dets: DataFrame, *, keys: Sequence[str] = ("image",), conf: str = "conf", tie: Sequence[str] = ("seq", "price"),
-        iou_threshold: float = 0.50, plus_one: bool = False, cap: int | None = None, list_size: int = 24,
-        round_size: int = 20_000) -> DataFrame:
-    """Greedy class-agnostic suppression per frame, best confidence first.
-
-    Frames of up to `list_size` boxes are folded as arrays, frames of up to `round_size` boxes stream
-    through a task. A still larger frame is settled in rounds: its best `round_size` open boxes are
-    decided, every open box that clashes with one of the newly kept is removed in parallel, and the
-    rest goes to the next round. This gives exactly the greedy result, because a box is only decided
-    after all better ones.
-    """
-    keys, tie = list(keys), list(tie)
-    order = ["_neg", *tie]
-    tagged = dets.withColumn("_neg", -F.col(conf).cast("double"))
-    sizes = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n").alias("m")).first()["m"] or 0
-    sized = tagged.join(sizes, keys) if largest > list_size else tagged.withColumn("_n", F.lit(0))
-    slim = sized.select(*keys, *order, *BOX, "_n")
-    pick = [*keys, *order]
-    keep = _keep_lists(slim.where(F.col("_n") <= list_size), keys, order, iou_threshold, plus_one).select(*pick)
-    if largest > list_size:
-        mid = slim.where((F.col("_n") > list_size) & (F.col("_n") <= round_size))
-        keep = keep.unionByName(_keep_stream(mid, keys, order, iou_threshold, plus_one).select(*pick))
-    if largest > round_size:
-        open_rows = slim.where(F.col("_n") > round_size).drop("_n")
-        w = W.partitionBy(*keys).orderBy(*order)
-        while not open_rows.isEmpty():
-            # only the best rows of each frame travel: the rank limit is applied before the shuffle
-            head = open_rows.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= round_size).drop("_p")
-            kept = cut_lineage(_keep_stream(head, keys, order, iou_threshold, plus_one))
-            keep = keep.unionByName(kept.select(*pick))
-            top = head.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
-            rest = open_rows.join(top, keys).where(F.struct(*order) > F.col("_last")).drop("_last")
-            k_box = kept.select(*keys, *[F.col(c).alias(f"k{c}") for c in BOX])
-            margin = 1.0 if plus_one else 0.0
-            grown = (F.col("kx0"), F.col("ky0"), F.col("kx1") + margin, F.col("ky1") + margin)
-            mine = (F.col("x0"), F.col("y0"), F.col("x1") + margin, F.col("y1") + margin)
-            pairs = overlap_join(rest, k_box, keys, mine, grown)
-            v = shapes.iou([F.col(f"k{c}") for c in BOX], [F.col(c).cast("double") for c in BOX], plus_one=plus_one)
-            gone = pairs.where(v > iou_threshold if plus_one else v >= iou_threshold).select(*pick).distinct()
-            open_rows = cut_lineage(rest.join(gone, pick, "left_anti"))
-    out = tagged.join(keep, pick, "left_semi")
-    if cap is not None:
-        w = W.partitionBy(*keys).orderBy(*order)
-        out = out.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= cap)
-    return out.select(*dets.columns)
+    return ordered_fold(ranked, keys, ["_neg", *tie, "_box"], lambda: {"kept": np.zeros((0, 4))}, step, dets.schema)
 
 
 def decode_detections(preds: DataFrame, names: Sequence[str], *, box: Sequence[str] = ("xc", "yc", "w", "h"),

@@ -7,49 +7,37 @@ per-session window over the few chunk summaries only, and hand the result to eac
 
 A chunk is a pure function of the row, so tasks can be retried at any time.
 
-Inputs that Spark itself estimates to be small take the ordinary window instead (one shuffle).
+The width of a chunk is a constant: ten minutes for nanosecond times, a million for row numbers, one
+percent of the value for values. One wild timestamp or a very long ride changes nothing for other rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TARGET_ROWS = 200_000
+TIME_CHUNK = 600e9  # ns
+INDEX_CHUNK = 1e6
+BLOCK_ROWS = 200_000
 
 
-SMALL_BYTES = 64 * 1024 * 1024
-ONE_CHUNK = math.inf
+def chunk_width(order: str) -> float:
+    """Width of a chunk of an order column: columns named `..._ns` or `t` are times, others row numbers."""
+    return TIME_CHUNK if order.endswith("_ns") or order in ("t", "_t") else INDEX_CHUNK
 
 
-def is_small(*dfs: DataFrame) -> bool:
-    """Whether the optimizer's size estimate (file sizes, no job) stays below one comfortable task."""
-    total = 0
-    for df in dfs:
-        total += int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if total > SMALL_BYTES:
-            return False
-    return True
-
-
-def chunk_width(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> float:
-    """Width of a chunk so that about `target_rows` rows share one, whatever key they belong to.
-
-    `ONE_CHUNK` for small inputs. Otherwise one aggregate over one column; a single row reaches the driver.
-    """
-    if is_small(df.select(order)):
-        return ONE_CHUNK
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if r["n"] <= target_rows or r["lo"] is None:
-        return ONE_CHUNK
-    return max((float(r["hi"]) - float(r["lo"]) + 1.0) / math.ceil(r["n"] / target_rows), 1e-9)
+def value_chunk(value: str) -> Column:
+    """Monotone chunk number of a value: neighbours within about one percent share a chunk, whatever the scale."""
+    v = F.col(value).cast("double")
+    return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64)
 
 
-def _chunk_col(order: str, width: float) -> Column:
+def _chunk_col(order: str, width: float | Column) -> Column:
+    if isinstance(width, Column):
+        return width
     return F.floor(F.col(order).cast("double") / F.lit(float(width)))
 
 
@@ -66,7 +54,7 @@ def asof(
     cols: Sequence[str],
     *,
     tie: Sequence[str] = (),
-    chunk: float | None = None,
+    chunk: float | Column | None = None,
     prev: str = "prev",
     nxt: str = "next",
 ) -> DataFrame:
@@ -76,8 +64,7 @@ def asof(
     kept whole; left and right share one shuffle on (keys, chunk).
     """
     keys = list(keys)
-    width = chunk or chunk_width(left.select(F.col(left_ts).alias("t")).unionAll(
-        right.select(F.col(right_ts).alias("t"))), "t")
+    width = chunk or TIME_CHUNK
     payload = F.struct(F.col(right_ts).alias("ts"), *_cols(list(dict.fromkeys([*tie, *cols]))))
     r = right.where(F.col(right_ts).isNotNull()).select(
         *keys, F.col(right_ts).cast("long").alias("_t"), payload.alias("_r"))
@@ -86,8 +73,6 @@ def asof(
     both = r.select(*keys, "_t", "_r", F.lit(None).cast(l_type).alias("_l"), F.lit(0).alias("_side")).unionByName(
         lhs.select(*keys, "_t", F.lit(None).cast(r_type).alias("_r"), "_l", F.lit(1).alias("_side"))
     )
-    if width == ONE_CHUNK:
-        return _neighbours(both.withColumn("_k", F.lit(1)), keys, prev, nxt)
     both = both.withColumn("_c", _chunk_col("_t", width))
 
     edges = both.groupBy(*keys, "_c").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
@@ -133,15 +118,12 @@ def with_previous(
     order: Sequence[str],
     cols: Sequence[str],
     *,
-    chunk: float | None = None,
+    chunk: float | Column | None = None,
     prefix: str = "prev_",
 ) -> DataFrame:
     """`lag(col)` per key. `order[0]` is numeric and cuts the chunks; `order` is a total order."""
     keys, order = list(keys), list(order)
-    width = chunk or chunk_width(df, order[0])
-    if width == ONE_CHUNK:
-        w = W.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols])
+    width = chunk if chunk is not None else chunk_width(order[0])
     base = df.withColumn("_c", _chunk_col(order[0], width))
     edge = F.max(F.struct(*_cols(order), *[F.col(c).alias(f"_v_{c}") for c in cols]))
     last = base.groupBy(*keys, "_c").agg(edge.alias("_e"))
@@ -171,14 +153,11 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     *,
-    chunk: float | None = None,
+    chunk: float | Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in a total order (`order[0]` numeric)."""
     keys, order = list(keys), list(order)
-    width = chunk or chunk_width(df, order[0])
-    if width == ONE_CHUNK:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
+    width = chunk if chunk is not None else chunk_width(order[0])
     base = df.withColumn("_c", _chunk_col(order[0], width))
     for name, expr in sums.items():
         base = base.withColumn(f"_s_{name}", expr)
@@ -200,7 +179,7 @@ def running_sums(
 
 
 def with_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "rank", chunk: float | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "rank", chunk: float | Column | None = None
 ) -> DataFrame:
     """0-based position of each row within its key."""
     out = running_sums(df, keys, order, {name: F.lit(1).cast("long")}, chunk=chunk)
@@ -214,18 +193,15 @@ def trailing(
     n: int,
     aggs: dict[str, Column],
     *,
-    block: int = TARGET_ROWS,
-    chunk: float | None = None,
+    block: int = BLOCK_ROWS,
+    chunk: float | Column | None = None,
 ) -> DataFrame:
     """Aggregates over the last `n` rows of each key, current row included.
 
     Rows are ranked, cut into blocks of ranks, and each block also receives the `n-1` rows before it.
     """
     keys, order = list(keys), list(order)
-    width = chunk or chunk_width(df, order[0])
-    if width == ONE_CHUNK:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), W.currentRow)
-        return df.select("*", *[a.over(w).alias(name) for name, a in aggs.items()])
+    width = chunk if chunk is not None else chunk_width(order[0])
     ranked = with_rank(df, keys, order, name="_rk", chunk=width)
     own = F.floor(F.col("_rk") / F.lit(block))
     spread = ranked.withColumn("_own", own).withColumn(
@@ -243,8 +219,7 @@ def rank_quantiles(
     picks: dict[str, tuple[str, float]],
     *,
     count_name: str = "n",
-    chunk: float | None = None,
-    force_chunks: bool = False,
+    chunk: float | Column | None = None,
 ) -> DataFrame:
     """Exact order statistics per key without holding a group's values in one place.
 
@@ -257,11 +232,7 @@ def rank_quantiles(
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
-    if not force_chunks and is_small(df):
-        chunk = ONE_CHUNK
-    elif chunk is None and dict(df.dtypes)[value] in ("int", "bigint"):
-        chunk = 1_000_000.0  # at most a million distinct integers share a chunk
-    cum = running_sums(counts, keys, [value], {"_hi": F.col("_m")}, chunk=chunk)
+    cum = running_sums(counts, keys, [value], {"_hi": F.col("_m")}, chunk=value_chunk(value) if chunk is None else chunk)
     totals = counts.groupBy(*keys).agg(F.sum("_m").alias(count_name))
     joined = (cum.join(totals, keys) if keys else cum.join(F.broadcast(totals)))
     nm1 = (F.col(count_name) - 1).cast("double")

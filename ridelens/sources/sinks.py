@@ -11,7 +11,7 @@ from ridelens.operators.rows import coarsen_locations, redact_events
 from ridelens.plans.fold import ordered_fold
 from ridelens.sources.bundles import route_imu
 
-SHARE_NOTE = " | share pack: faces/plates blurred, GPS coarsened"
+SHARE_NOTE = " | share pack: GPS coarsened, paths and coordinates redacted"
 
 
 def write_session_tables(tables: dict[str, DataFrame], out: str, *, fmt: str = "parquet", buckets: int = 64) -> None:
@@ -169,7 +169,7 @@ def session_findings(manifests: DataFrame, inventory: DataFrame, checksums: Data
         finding(F.col("_has").isNull(), "error", F.lit("missing manifest.json"), False),
         finding(F.col("schema_warning").isNotNull(), "warning", F.col("schema_warning"), True),
         finding(F.col("_sums").isNull(), "warning", F.lit("no checksums.sha256"), True),
-        finding(F.col("_hits") > 0, "warning", F.concat(F.lit("CAM-012 residual hits="), F.col("_hits").cast("string")), True)))).alias("f")).select(key, "f.*")
+        finding(F.col("_hits") > 0, "warning", F.concat(F.lit("crash residual hits="), F.col("_hits").cast("string")), True)))).alias("f")).select(key, "f.*")
     every = files.unionByName(heads).join(base, key, "left_semi")
     manifest_keys = have.select(key, F.col("_has"))
     return every.join(manifest_keys, key, "left").where(~F.col("needs_manifest") | F.col("_has").isNotNull()).select(key, "level", "message")

@@ -231,9 +231,9 @@ def test_revision_merge(spark):
     assert got == {1: {"a": "0", "b": "3", "c": "4"}, 2: None}
 
 
-@pytest.mark.parametrize("list_size,round_size", [(100, 1000), (4, 1000), (4, 10)])
+@pytest.mark.parametrize("block", [256, 7, 1])
 @pytest.mark.parametrize("plus_one", [False, True])
-def test_nms_paths_agree_with_greedy(spark, list_size, round_size, plus_one):
+def test_nms_agrees_with_greedy(spark, block, plus_one):
     random.seed(1)
     data = [(i % 3 if i % 5 else 0, i, random.random(), *(lambda x, y: (x, y, x + random.randrange(10, 60), y + random.randrange(10, 60)))(random.randrange(150), random.randrange(90))) for i in range(150)]
     df = table(spark, "image int, seq int, conf double, x0 double, y0 double, x1 double, y1 double", [(r[0], r[1], r[2], *map(float, r[3:])) for r in data])
@@ -247,7 +247,7 @@ def test_nms_paths_agree_with_greedy(spark, list_size, round_size, plus_one):
     for r in sorted(data, key=lambda r: -r[2]):
         if all((iou(k, r) <= 0.2) if plus_one else (iou(k, r) < 0.2) for k in keep if k[0] == r[0]):
             keep.append(r)
-    got = spatial.nms(df, tie=("seq",), iou_threshold=0.2, plus_one=plus_one, list_size=list_size, round_size=round_size).collect()
+    got = spatial.nms(df, tie=("seq",), iou_threshold=0.2, plus_one=plus_one, block=block).collect()
     assert sorted(r.seq for r in got) == sorted(r[1] for r in keep)
 
 
@@ -385,3 +385,28 @@ def test_contract_rules(spark):
 
 def test_vocabulary_sizes():
     assert len(V.SEMANTIC_TYPES) == 9 and len(V.GEOMETRY_TYPES) == 6 and len(V.PERCEPTION_STATUSES) == 9
+
+
+def test_rides_without_a_manifest_count(spark):
+    hour = 3_600_000_000_000
+    manifests = spark.createDataFrame([("a", 0, hour)], "session_id string, start_elapsed_realtime_ns long, end_elapsed_realtime_ns long")
+    frames = spark.createDataFrame([(s, 1 + i * hour) for s in "ab" for i in range(2)] + [("c", 0)], "session_id string, sensor_timestamp_ns long")
+    alerts = spark.createDataFrame([("a", True), ("b", True), ("d", True), ("d", False)], "session_id string, fired boolean")
+    hours = reports.session_hours(manifests, frames)
+    assert {r.session_id: r.hours for r in hours.collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
+    row = reports.alert_rate_report(hours, alerts).first()
+    assert (row.n_sessions, row.hours, row.n_alerts_fired, row.alerts_per_hour) == (4, 2.0, 3, 1.5)
+
+
+def test_null_confidence_is_decided_last(spark):
+    from ridelens.operators import spatial
+
+    rows = [(1, 0.0, 0.0, 9.0, 9.0, None, 1, 1.0), (1, 0.0, 0.0, 9.0, 9.0, 0.2, 2, 1.0), (1, 50.0, 50.0, 60.0, 60.0, None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "image long, x0 double, y0 double, x1 double, y1 double, conf double, seq long, price double")
+    assert sorted(r.seq for r in spatial.nms(df).collect()) == [2, 3]
+
+
+def test_redaction_sees_whole_text(spark):
+    text = "x" * 390 + " /data/user/jane/ride_7.mp4 end"
+    out = rows.redact_text(spark.createDataFrame([(text,)], "detail string"), "detail").first().detail
+    assert "jane" not in out and out.endswith("end")

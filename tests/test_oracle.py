@@ -46,8 +46,8 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", CHUNKED)
 def test_query_in_chunks(spark, duck, name, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
-    monkeypatch.setattr(ordered.chunk_width, "__defaults__", (200,))
+    monkeypatch.setattr(ordered, "TIME_CHUNK", 3e9)
+    monkeypatch.setattr(ordered, "INDEX_CHUNK", 200.0)
     compare(spark, duck, name)
 
 

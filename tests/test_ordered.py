@@ -70,7 +70,7 @@ def test_asof_is_brute_force_nearest(spark, df, chunk):
 @pytest.mark.parametrize("force", [False, True])
 def test_rank_quantiles(df, force):
     picks = {"lin": ("linear", 0.95), "near": ("nearest", 0.95), "flo": ("floor", 0.95), "up": ("upper", 0)}
-    out = O.rank_quantiles(df.withColumn("t", F.col("t") % 50), ["k"], "t", picks, chunk=7.0 if force else None, force_chunks=force).collect()
+    out = O.rank_quantiles(df.withColumn("t", F.col("t") % 50), ["k"], "t", picks, chunk=7.0 if force else None).collect()
     for r in out:
         xs = sorted(x[1] % 50 for x in by_key()[r.k])
         n = len(xs)
@@ -88,12 +88,21 @@ def test_band_join(spark, df):
     assert got == want
 
 
-def test_large_input_is_chunked(spark, df, monkeypatch):
-    monkeypatch.setattr(O, "SMALL_BYTES", 0)
-    width = O.chunk_width(df, "t", target_rows=100)
-    assert 1500 < width < 2500
-    rows = O.with_rank(df, ["k"], ["t", "id"], chunk=width).groupBy("k").agg(F.max("rank").alias("m"), F.count("*").alias("n")).collect()
-    assert all(r.m == r.n - 1 for r in rows)
+def test_wild_time_and_hot_key_keep_chunks_small(spark):
+    """One absurd timestamp, and a key with nine tenths of all rows, leave every chunk at its constant width."""
+    step = int(O.TIME_CHUNK // 100)
+    rows = [("hot" if i % 10 else "k", i * step, i) for i in range(1000)] + [("hot", 2**62, 5000)]
+    df = spark.createDataFrame(rows, "k string, t_ns long, id long")
+    sizes = df.groupBy("k", O._chunk_col("t_ns", O.chunk_width("t_ns"))).count().agg(F.max("count")).first()[0]
+    assert sizes <= 101
+    got = O.with_rank(df, ["k"], ["t_ns", "id"]).groupBy("k").agg(F.max("rank").alias("m"), F.count("*").alias("n")).collect()
+    assert all(r.m == r.n - 1 for r in got)
+
+
+def test_value_chunks_are_monotone(spark):
+    vs = [-1e300, -5.5, -1e-3, 0.0, 1e-3, 2.0, 2.5, 1e9, 2.0**62]
+    got = [r.c for r in spark.createDataFrame([(v,) for v in vs], "v double").select(O.value_chunk("v").alias("c"), "v").orderBy("v").collect()]
+    assert got == sorted(got)
 
 
 def test_grid_joins(spark):
