@@ -126,9 +126,11 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
     """At most `rows` usable rows of each of the `LANGUAGES` commonest labels, by the hash of their id."""
     held = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= LONGEST))
     named = held.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = W.partitionBy("lang").orderBy("h", "id")
-    few = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).join(F.broadcast(common), "lang", "left_semi")
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # only rows of low hashes, about four times as many as are wanted, reach the window
+    low = F.pmod("h", F.lit(1 << 30)) < F.lit(4.0 * rows) / F.col("count") * (1 << 30)
+    order = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id")
+    few = named.join(F.broadcast(common), "lang").where(low).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
     few = few.groupBy("id").agg(F.min("lang").alias("lang"))
     got = held.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(few), "id").dropDuplicates(["id"]).orderBy("id").collect()
     return [bytes(r["text"]) for r in got], [r["lang"] for r in got]
