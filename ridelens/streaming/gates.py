@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from ridelens.functions import scoring
 from ridelens.operators import alert_policy as policy
 from ridelens.operators import tracking
 from ridelens.operators.rows import flag_impacts, gate_alerts, rows_where, score_alerts, status_columns
-from ridelens.streaming.state import stateful
+from ridelens.streaming.state import RIDE_TTL_S, stateful
 
 NS_PER_MS = 1_000_000
 
@@ -25,7 +26,7 @@ def event_time(df: DataFrame, ts: str = "timestamp_ns") -> DataFrame:
 # --- alert policy ------------------------------------------------------------------------------
 
 def alert_policy(tracks: DataFrame, *, key: str = "session_id", ts: str = "timestamp_ns", tie: Sequence[str] = ("seq", "price"),
-                 cfg: AlertConfig = AlertConfig()) -> DataFrame:
+                 cfg: AlertConfig = AlertConfig(), ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """Decisions of the rows that pass the stateless gates; cooldowns and alerted tracks live in the state store."""
     base = gate_alerts(score_alerts(tracks, cfg), cfg)
     slim = rows_where(base, F.col("gate_reason").isNull(), key, ts, *tie, "track_id", "semantic_type", "severity", "alert_score",
@@ -41,12 +42,12 @@ def alert_policy(tracks: DataFrame, *, key: str = "session_id", ts: str = "times
 
     names = [*cols, "reason", "fired", "phrase"]
     schema = f"{key} {types[key]}, " + ", ".join(f"{c} {types[c]}" for c in cols) + ", reason string, fired boolean, phrase string"
-    return stateful(slim, [key], [ts, *tie], policy.new_policy_state, step, schema, names)
+    return stateful(slim, [key], [ts, *tie], policy.new_policy_state, step, schema, names, ttl_s=ttl_s)
 
 
 # --- tracking ------------------------------------------------------------------------------------
 
-def track_sessions(observations: DataFrame, *, key: str = "session_id", cfg: TrackingConfig = TrackingConfig()) -> DataFrame:
+def track_sessions(observations: DataFrame, *, key: str = "session_id", cfg: TrackingConfig = TrackingConfig(), ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """The tracker on a stream of detections. A frame is processed once a later frame of its session has
     arrived, so detections of one frame may be spread over files."""
     key_t = dict(observations.dtypes)[key]
@@ -59,13 +60,13 @@ def track_sessions(observations: DataFrame, *, key: str = "session_id", cfg: Tra
 
     cols = list(dict.fromkeys([key, *tracking.FRAME, *tracking.OBS]))
     return stateful(observations.select(*cols), [key], ["timestamp_ns", "frame_id", "obs_index"], tracking.new_session, step,
-                    f"{key} {key_t}, {tracking.OUTPUT}", names)
+                    f"{key} {key_t}, {tracking.OUTPUT}", names, ttl_s=ttl_s)
 
 
 # --- sensors ---------------------------------------------------------------------------------------
 
 def stall_monitor(imu: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor_type"), ts: str = "timestamp_ns", tie: Sequence[str] = ("event_id",),
-                  expected_hz: float = 200.0, factor: float = 4.0) -> DataFrame:
+                  expected_hz: float = 200.0, factor: float = 4.0, ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """SENSOR_STALL on long gaps; a row older than the last one seen is reported as TIMESTAMP_JUMP, not dropped."""
     limit = 1e9 / max(expected_hz, 1e-3) * factor
     types = dict(imu.dtypes)
@@ -81,7 +82,7 @@ def stall_monitor(imu: DataFrame, *, keys: Sequence[str] = ("session_id", "senso
         return state
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {ts} long, dt_ns long, code string"
-    return stateful(imu.select(*keys, ts, *tie), keys, [ts, *tie], dict, step, schema, [ts, "dt_ns", "code"])
+    return stateful(imu.select(*keys, ts, *tie), keys, [ts, *tie], dict, step, schema, [ts, "dt_ns", "code"], ttl_s=ttl_s)
 
 
 def rate_windows(imu: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor_type"), ts: str = "timestamp_ns", delay: str = "500 milliseconds") -> DataFrame:
@@ -91,11 +92,17 @@ def rate_windows(imu: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor
         *keys, F.unix_micros("window.start").alias("start_us"), "hz")
 
 
-def crash_monitor(imu: DataFrame, *, key: str = "session_id", ts: str = "timestamp_ns", cfg: ImpactConfig = ImpactConfig(),
-                  delay: str = "10 seconds") -> DataFrame:
-    """First severe sample of each session within the watermark horizon."""
-    hits = flag_impacts(event_time(imu, ts).withWatermark("event_time", delay), cfg=cfg).where("severe")
-    return hits.dropDuplicatesWithinWatermark([key])
+def crash_monitor(imu: DataFrame, *, key: str = "session_id", ts: str = "timestamp_ns", cfg: ImpactConfig = ImpactConfig(), ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
+    """One row per session: the earliest severe sample of the first micro-batch that has one; later ones stay silent."""
+    hits = flag_impacts(imu, cfg=cfg).where("severe").select(key, ts, "residual")
+
+    def step(state: dict, rows: list[dict], out: list) -> dict:
+        if not state:
+            out.append((int(rows[0][ts]), rows[0]["residual"]))
+            state["reported"] = True
+        return state
+
+    return stateful(hits, [key], [ts], dict, step, f"{key} {dict(imu.dtypes)[key]}, {ts} long, residual double", [ts, "residual"], ttl_s=ttl_s)
 
 
 def harvest_impact_stream(tracks: DataFrame, *, cfg: ImpactConfig = ImpactConfig()) -> DataFrame:
@@ -119,7 +126,7 @@ def event_clip_stream(frames: DataFrame, alerts: DataFrame, *, key: str = "sessi
 
 
 def capture_match_stream(events: DataFrame, *, key: str = "session_id", seq: str = "arrival", ts: str = "timestamp_ns", max_dt_ns: int = 2 * NS_PER_MS,
-                         capacity: int = 24) -> DataFrame:
+                         capacity: int = 24, ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """Image timestamps matched against a ring of the last `capacity` capture results, in arrival order.
 
     `events` rows are results (`kind = 'result'`) or images (`kind = 'image'`) with a growing arrival number.
@@ -127,35 +134,35 @@ def capture_match_stream(events: DataFrame, *, key: str = "session_id", seq: str
     types = dict(events.dtypes)
 
     def step(state: dict, rows: list[dict], out: list) -> dict:
-        ring = state.setdefault("ring", [])
+        arrived: list[int] = state.setdefault("arrived", [])  # results in the ring, oldest first
+        free: list[int] = state.setdefault("free", [])  # times of those that no image has taken, sorted
         for r in rows:
             t = int(r[ts])
             if r["kind"] == "result":
-                while len(ring) >= capacity:
-                    old = ring.pop(0)
-                    if not old[1]:
-                        out.append((r[seq], t, old[0], "ORPHAN_RESULT"))
-                ring.append([t, False])
+                arrived.append(t)
+                insort(free, t)
+                for old in arrived[:-capacity]:
+                    at = bisect_left(free, old)
+                    if free[at : at + 1] == [old]:
+                        out.append((r[seq], t, free.pop(at), "ORPHAN_RESULT"))
+                del arrived[:-capacity]
                 continue
-            last = state.get("image")
-            if last is not None and t <= last:
-                out.append((r[seq], t, None, "REORDER" if t < last else "DUPLICATE"))
-            state["image"] = t
-            free = [s for s in ring if not s[1]]
-            hit = next((s for s in free if s[0] == t), None) or min(free, key=lambda s: abs(s[0] - t), default=None)
-            if hit is None or abs(hit[0] - t) > max_dt_ns:
-                out.append((r[seq], t, None, "UNMATCHED_FRAME"))
-            else:
-                hit[1] = True
-                out.append((r[seq], t, hit[0], "MATCHED"))
+            before, state["image"] = state.get("image", t - 1), t
+            if t <= before:
+                out.append((r[seq], t, None, "DUPLICATE" if t == before else "REORDER"))
+            at = bisect_left(free, t)
+            around = range(max(0, at - 1), min(len(free), at + 1))
+            best = min(around, key=lambda i: abs(free[i] - t), default=None)
+            near = best is not None and abs(free[best] - t) <= max_dt_ns
+            out.append((r[seq], t, free.pop(best), "MATCHED") if near else (r[seq], t, None, "UNMATCHED_FRAME"))
         return state
 
     return stateful(events.select(key, seq, ts, "kind"), [key], [seq], dict, step,
-                    f"{key} {types[key]}, {seq} {types[seq]}, {ts} long, result_ns long, code string", [seq, ts, "result_ns", "code"])
+                    f"{key} {types[key]}, {seq} {types[seq]}, {ts} long, result_ns long, code string", [seq, ts, "result_ns", "code"], ttl_s=ttl_s)
 
 
 def quality_stream(frames: DataFrame, *, key: str = "session_id", ts: str = "sensor_timestamp_ns", frame: str = "event_id",
-                   cfg: QualityConfig = QualityConfig(), runtime: RuntimeConfig = RuntimeConfig()) -> DataFrame:
+                   cfg: QualityConfig = QualityConfig(), runtime: RuntimeConfig = RuntimeConfig(), ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """Bad streak, selected frame, status and thermal policy of every frame (needs usable, visibility_class, occluded_ratio, thermal_c)."""
     types = dict(frames.dtypes)
     carried = ["visibility_class", "usable", "occluded_ratio", "thermal_c"]
@@ -178,4 +185,4 @@ def quality_stream(frames: DataFrame, *, key: str = "session_id", ts: str = "sen
     names = [ts, frame, *carried, "bad_streak_s", "selected_frame", "fresh"]
     schema = (f"{key} {types[key]}, {ts} long, {frame} {types[frame]}, visibility_class string, usable boolean, occluded_ratio double, thermal_c double, "
               f"bad_streak_s double, selected_frame {types[frame]}, fresh boolean")
-    return status_columns(stateful(frames.select(key, ts, frame, *carried), [key], [ts, frame], dict, step, schema, names), cfg, runtime)
+    return status_columns(stateful(frames.select(key, ts, frame, *carried), [key], [ts, frame], dict, step, schema, names, ttl_s=ttl_s), cfg, runtime)

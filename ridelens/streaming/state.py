@@ -20,17 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+RIDE_TTL_S = 24 * 3600
+
 Step = Callable[[Any, list[dict], list[tuple]], Any]
 
 
 class FoldProcessor(StatefulProcessor):
     """`step(state, rows, out) -> state` over the new rows of a key, in order."""
 
-    def __init__(self, key_names: Sequence[str], order: Sequence[str], new_state: Callable[[], Any], step: Step, columns: Sequence[str]) -> None:
+    def __init__(self, key_names: Sequence[str], order: Sequence[str], new_state: Callable[[], Any], step: Step, columns: Sequence[str], ttl_s: int | None) -> None:
+        self.ttl_ms = ttl_s and ttl_s * 1000
         self.key_names, self.order, self.new_state, self.step, self.columns = list(key_names), list(order), new_state, step, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blob = handle.getValueState("fold", "blob binary")
+        self.blob = handle.getValueState("fold", "blob binary", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows), ignore_index=True)
@@ -49,11 +52,16 @@ class FoldProcessor(StatefulProcessor):
 
 
 def stateful(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_state: Callable[[], Any], step: Step, schema: StructType | str,
-             columns: Sequence[str]) -> DataFrame:
-    """Keyed fold over a stream (state store: RocksDB, see `configure`)."""
+             columns: Sequence[str], ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
+    """Keyed fold over a stream (state store: RocksDB, see `configure`).
+
+    The state of a key is dropped when nothing has arrived for it in `ttl_s` seconds, so that rides that are
+    over do not stay in the store. Expiry keeps a query running, so pass None for one that is to end by itself
+    (trigger `availableNow`).
+    """
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(keys, order, new_state, step, columns),
-        outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=FoldProcessor(keys, order, new_state, step, columns, ttl_s),
+        outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_s else "None")
 
 
 def configure(spark) -> None:
