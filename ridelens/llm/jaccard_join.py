@@ -201,6 +201,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: s
     The texts of a lead's partners are dealt over salts with a copy of the lead's, so a lead of very many
     partners is no hot group, and a task holds one set and the current batch.
     """
+    pairs = pairs.checkpoint()
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
     member = pairs.select(F.col("b").alias("id"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(1).alias("side"))
     lead = pairs.select(F.col("a").alias("id"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(0).alias("side")).distinct()
@@ -237,24 +238,39 @@ def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
     names = ["id", "pos", "size", "m0", "m1", "m2", "m3", "lead", "o", "label"]
 
     def compare(held: dict[str, np.ndarray], new: dict[str, np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, 2_000_000 // max(1, len(new["id"])))
-        for i in range(0, len(held["id"]), step):
-            part = {k: v[i : i + step] for k, v in held.items()}
-            sa, sb = part["size"][:, None], new["size"][None, :]
-            need = -(-percent * (sa + sb) // (100 + percent))
-            ok = (need <= sa) & (need <= sb) & (np.minimum(sa - part["pos"][:, None], sb - new["pos"][None, :]) >= need)
-            ok &= part["label"][:, None] != new["label"][None, :]
-            if same:
-                ok &= part["id"][:, None] < new["id"][None, :]
-            x, y = np.nonzero(ok)
-            far = sum(np.bitwise_count((part[m][x] ^ new[m][y]).view(np.uint64)).astype(np.int64) for m in names[3:7])
-            sa, sb, oa, ob = part["size"][x], new["size"][y], part["o"][x], new["o"][y]
-            need = -(-percent * (sa + sb) // (100 + percent))
-            derived = np.where((part["lead"][x] == new["lead"][y]) & (oa >= 0) & (ob >= 0), np.minimum(oa, ob) + np.minimum(sa - oa, sb - ob), need)
-            keep = (far <= sa + sb - 2 * need) & (derived >= need)
-            if keep.any():
-                a, b = part["id"][x[keep]], new["id"][y[keep]]
-                yield np.minimum(a, b), np.maximum(a, b)
+        # both sides by size: a block of one side meets only the stretch of the other that is neither too short nor too long
+        left, right = ({k: v[np.argsort(side["size"], kind="stable")] for k, v in side.items()} for side in (held, new))
+        for i in range(0, len(left["id"]), 256):
+            some = {k: v[i : i + 256] for k, v in left.items()}
+            lo = np.searchsorted(right["size"], -(-percent * some["size"][0] // 100))
+            hi = np.searchsorted(right["size"], 100 * some["size"][-1] // percent, "right")
+            for j in range(lo, hi, 8192):
+                part = {k: v[j : min(j + 8192, hi)] for k, v in right.items()}
+                sa, sb = some["size"].astype(np.int32)[:, None], part["size"].astype(np.int32)[None, :]
+                most = np.minimum(sa - some["pos"].astype(np.int32)[:, None], sb - part["pos"].astype(np.int32)[None, :])
+                ok = most.astype(np.float32) * (100 + percent) >= (sa + sb).astype(np.float32) * np.float32(percent * 0.9999)
+                ok &= some["label"][:, None] != part["label"][None, :]
+                x, y = np.nonzero(ok)
+                if same:
+                    once = some["id"][x] < part["id"][y]
+                    x, y = x[once], y[once]
+                sa, sb = some["size"][x], part["size"][y]
+                need = -(-percent * (sa + sb) // (100 + percent))
+                left_over = sa + sb - 2 * need
+                far = np.zeros(len(x), np.int64)
+                for m in names[3:7]:
+                    far += np.bitwise_count((some[m][x] ^ part[m][y]).view(np.uint64))
+                    near = far <= left_over
+                    if not near.all():
+                        x, y, sa, sb, need, left_over, far = (v[near] for v in (x, y, sa, sb, need, left_over, far))
+                if not len(x):
+                    continue
+                oa, ob = some["o"][x], part["o"][y]
+                derived = np.where((some["lead"][x] == part["lead"][y]) & (oa >= 0) & (ob >= 0), np.minimum(oa, ob) + np.minimum(sa - oa, sb - ob), need)
+                keep = (derived >= need) & (np.minimum(sa - some["pos"][x], sb - part["pos"][y]) >= need) & (need <= np.minimum(sa, sb))
+                if keep.any():
+                    a, b = some["id"][x[keep]], part["id"][y[keep]]
+                    yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
