@@ -41,6 +41,7 @@ class TrackingConfig:
     bump_tracked_age_s: float = 0.08
     bump_confirm_age_s: float = 0.12
     lost_slack_s: float = 0.25
+    expired_memory_s: float = 30.0  # own choice: a timed-out candidate can be matched again for so long
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,8 @@
 """Linking detections into tracks: motion prediction, greedy matching, lifecycle.
 
 One session is one state machine; sessions run in parallel. A candidate that timed out is no longer
-reported but can still be matched, as in the contract. A session's rows stream through its task
+reported but can still be matched, as in the contract, though only for `expired_memory_s` seconds: then it is
+forgotten, so that a long ride holds no more tracks than a short one. A session's rows stream through its task
 in time order (`plans.fold`), so only the live tracks are held in memory.
 """
 
@@ -123,7 +124,7 @@ def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -
     for row, t in enumerate(s["info"]):
         state = t["life"]["state"]
         if state == "EXPIRED":
-            keep[row] = t["fade"] >= 0.05
+            keep[row] = t["fade"] >= 0.05 and (now - t["life"]["last"]) / 1e9 <= cfg.expired_memory_s
             if notes.get(row) is None and row not in taken:
                 continue
         m, box = s["mean"][row], s["box"][row]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.operators.rows import coarsen_locations, redact_events
@@ -49,8 +49,8 @@ def checksum_lines(inventory: DataFrame) -> DataFrame:
 
 def write_checksum_manifest(inventory: DataFrame, out: str) -> None:
     """`sha  path` lines per session, sorted by path."""
-    # ranges of (session, path): a ride with very many files is written as several parts in order
-    lines = checksum_lines(inventory).repartitionByRange("session_id", "path").sortWithinPartitions("session_id", "path")
+    # one task owns a ride and streams its sorted lines, so that a manifest is one file
+    lines = checksum_lines(inventory).repartition("session_id").sortWithinPartitions("session_id", "path")
     lines.select("session_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("session_id").text(out)
 
 
@@ -62,7 +62,7 @@ def write_report_json(report: DataFrame, out: str, *, key: str = "session_id") -
 def write_cvat(lines: DataFrame, out: str, *, key: str = "session_id", order: Sequence[str] = ("timestamp_ns", "seq", "price")) -> None:
     """The CVAT document of each session: fixed head and foot around the sorted track lines.
 
-    Lines are range-partitioned, so a long document is written as several parts whose names sort in order."""
+    One task owns a session and streams its sorted lines, so that a document is one file."""
     head = ['<?xml version="1.0" encoding="utf-8"?>', "<annotations>", "  <version>1.1</version>",
             "  <meta><task><name>session</name></task></meta>"]
     first = [c for c in order if c in lines.columns]
@@ -81,7 +81,7 @@ def write_cvat(lines: DataFrame, out: str, *, key: str = "session_id", order: Se
 
     every = fixed(0, head).unionByName(body).unionByName(fixed(2, ["</annotations>"]))
     place = [key, "_s", "_start", "track_id", "part", *first]
-    ordered = every.repartitionByRange(*place).sortWithinPartitions(*place)
+    ordered = every.repartition(key).sortWithinPartitions(*place)
     ordered.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(out)
 
 
@@ -114,13 +114,12 @@ def volume_sizes(plan: DataFrame, *, key: str = "session_id") -> DataFrame:
 
 
 def share_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """SHARE_REDACTED versions: coarse location, redacted events, runtime and alerts, flagged manifest. Sources stay as they are."""
+    """SHARE_REDACTED versions: coarse location, flagged manifest, every other log redacted by its schema. Sources stay as they are."""
     out = dict(tables)
     if "location" in out:
         out["location"] = coarsen_locations(out["location"])
-    for name in ("diag_events", "runtime", "alerts"):
-        if name in out:
-            out[name] = redact_events(out[name], keep=("session_id",))
+    for name in out.keys() - {"location", "manifest"}:
+        out[name] = redact_events(out[name], keep=("session_id",))
     if "manifest" in out:
         out["manifest"] = out["manifest"].withColumn("privacy_mode", F.lit("SHARE_REDACTED")).withColumn(
             "notes", F.concat(F.coalesce("notes", F.lit("")), F.lit(SHARE_NOTE)))
@@ -131,6 +130,15 @@ def share_export(tables: dict[str, DataFrame], out: str) -> None:
     write_session_tables({k: v for k, v in share_tables(tables).items() if k != "manifest"}, out, fmt="json")
     if "manifest" in tables:
         write_manifests(share_tables({"manifest": tables["manifest"]})["manifest"], f"{out}/manifest")
+    for df in list(tables.values())[:1]:
+        write_checksum_manifest(written_files(df.sparkSession, out), f"{out}/checksums")
+
+
+def written_files(spark: SparkSession, root: str) -> DataFrame:
+    """session_id, path below `root` and SHA-256 of every data file of tables written per session."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    inside = F.regexp_extract("path", r"/([^/]+/session_id=.*/part-[^/]+)$", 1)
+    return files.select(F.regexp_extract("path", r"/session_id=([^/]+)/", 1).alias("session_id"), inside.alias("path"), F.sha2("content", 256).alias("sha256")).where("path <> ''")
 
 
 # --- verification ------------------------------------------------------------------------------

@@ -110,6 +110,9 @@ def test_share_leaves_source(spark, root, tmp_path):
     man = spark.read.json(f"{out}/manifest").where("session_id = 'a'").first()
     assert man.privacy_mode == "SHARE_REDACTED" and man.notes.endswith("coordinates redacted") and "/x/y.mp4" not in json.dumps(sinks.share_tables(tables)["alerts"].first().asDict(), default=str)
     assert loc.first().latitude == 31.23456
+    lines = dict(reversed(r.value.split("  ", 1)) for r in spark.read.text(f"{out}/checksums").collect())
+    assert {p.split("/")[0] for p in lines} == {"location", "runtime", "alerts", "manifest"}
+    assert all(hashlib.sha256((tmp_path / "share" / p).read_bytes()).hexdigest() == d for p, d in lines.items())
 
 
 def test_volumes(spark):

@@ -286,6 +286,19 @@ def test_tracking_keeps_one_id(spark):
     assert {r.track_id for r in out} == {1} and any(r.lifecycle_state == "CONFIRMED" for r in out)
 
 
+def test_expired_candidates_are_forgotten(spark):
+    cfg = TrackingConfig(expired_memory_s=5.0)
+    state = tracking.new_session()
+    names = [*tracking.FRAME, *tracking.OBS]
+    seen = [dict(timestamp_ns=i * 33 * MS, frame_id=i, quality_ok=True, allow_new=True, yaw_rate=0.0, frame_width=1920.0, obs_index=None, semantic_type=None, geometry_type=None,
+                 state=None, severity=None, model_confidence=None, quality_at_mask=None, contact_x=None, contact_y=None, x0=None, y0=None, x1=None, y1=None) for i in range(600)]
+    for i in range(30):
+        seen[i].update(obs_index=0, semantic_type="pothole", geometry_type="concave", state="abnormal", severity=2, model_confidence=0.9, quality_at_mask=0.9,
+                       contact_x=60.0 * i, contact_y=50.0, x0=60.0 * i, y0=0.0, x1=60.0 * i + 9, y1=50.0)
+    tracking.step_rows(state, {n: [r[n] for r in seen] for n in names}, range(len(seen)), lambda row: None, cfg)
+    assert len(state["tracker"]["info"]) == 0
+
+
 def test_tracking_gates(spark):
     blur = track_input(spark, [(0, 400, 600, True, True), (80 * MS, 900, 200, False, False)])
     assert {r.track_id for r in tracking.track_sessions(blur).collect()} == {1}
