@@ -22,7 +22,7 @@ class Vocabulary:
     A term counts only between boundaries: no ASCII letter or digit right before or after it.
     """
 
-    strict: tuple[str, ...] = ("porn", "porno", "xxx", "hentai", "camgirls", "casino", "viagra", "warez", "keygen", "phishing", "malware", "escorts", "gore")
+    strict: tuple[str, ...] = ("porn", "porno", "xxx", "hentai", "camgirls", "casino", "viagra", "warez", "keygen", "phishing", "malware", "escorts")
     soft: tuple[str, ...] = ("adult", "sex", "nude", "bet", "betting", "poker", "slots", "loan", "pills", "torrent", "crack", "hack", "spam", "clickbait", "replica", "dating")
     least_soft: int = 2
 
