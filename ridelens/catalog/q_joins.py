@@ -293,7 +293,7 @@ def _(v: Views):
 
 # coarser frames hold several boxes each, so that suppression has work to do
 _NMS = """
-recursive b as (select (image % 600) as im, *, row_number() over (partition by image % 600 order by conf desc, seq, price) as rn from a_boxes),
+recursive b as (select (image // 25) as im, *, row_number() over (partition by image // 25 order by conf desc, seq, price) as rn from a_boxes),
 n as (select im, max(rn) as m from b group by 1),
 k as (select im, 0::bigint as rn, []::struct(x0 double, y0 double, x1 double, y1 double)[] as kept, false as hit, null::bigint as seq, null::double as price from n
  union all
@@ -306,7 +306,7 @@ _PLUS = """(greatest(0, least(q.x1, b.x1) - greatest(q.x0, b.x0) + 1) * greatest
 
 
 def _coarse(v: Views):
-    return v.a_boxes.withColumn("image", F.col("image") % 600)
+    return v.a_boxes.withColumn("image", F.floor(F.col("image") / 25))
 
 
 @query("nms", ["a_boxes"], _NMS.format(clash=_IOU.format(a='q.', b='b.') + " >= 0.10") + " select im as image, seq, price from k where hit")
@@ -374,13 +374,13 @@ def _(v: Views):
 
 
 def _det(v: Views):
-    b = v.a_boxes.withColumn("frame", F.col("image") % 4000)
+    b = v.a_boxes.withColumn("frame", F.floor(F.col("image") / 4))
     return b.select("frame", "seq", "price", "semantic_type", "source", *spatial.BOX, F.col("conf").alias("model_confidence"),
                     F.when(F.col("line") % 2 == 0, F.col("quality")).alias("calibrated_confidence"))
 
 
 @query("merge_bump", ["a_boxes"], f"""
-with {_MASK}, o as (select image % 4000 as fr, *, (x0 + x1) * 0.5 as cx, (y0 + y1) * 0.5 as cy from a_boxes)
+with {_MASK}, o as (select image // 4 as fr, *, (x0 + x1) * 0.5 as cx, (y0 + y1) * 0.5 as cy from a_boxes)
 select fr as frame, seq, price, source from o where source = 'A' and semantic_type not in ('pothole', 'speed_bump', 'manhole_cover')
 union all select fr, seq, price, source from o left join mk on mk.frame = o.fr where source = 'R'
   and not (coalesce(has_occ, false) and cx >= ox0 and cx < ox1 and cy >= 100 and cy < 700)
@@ -391,7 +391,7 @@ def _(v: Views):
 
 
 @query("merge_sidecar", ["a_boxes"], f"""
-recursive {_MASK}, d as (select image % 4000 as frame, seq, price, source, x0, y0, x1, y1, conf, case when line % 2 = 0 then quality end as cal, (x0 + x1) * 0.5 as cx, (y0 + y1) * 0.5 as cy from a_boxes),
+recursive {_MASK}, d as (select image // 4 as frame, seq, price, source, x0, y0, x1, y1, conf, case when line % 2 = 0 then quality end as cal, (x0 + x1) * 0.5 as cx, (y0 + y1) * 0.5 as cy from a_boxes),
 pm as (select * from mk where frame % 2 = 0), sm as (select frame, has_road and frame % 4 = 1 as has_road, rx0, rx1, has_occ, ox0, ox1 from mk where frame % 2 = 1),
 p as (select * from d where source = 'A'), s as (select * from d where source = 'R'),
 fr as (select s.*, row_number() over (partition by frame order by seq, price) as rn from s

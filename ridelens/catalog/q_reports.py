@@ -367,7 +367,7 @@ def _(v: Views):
 
 
 _GATE = """
-rg as (select l_orderkey % 4000 as run_id, case l_orderkey % 3 when 0 then 'night_25013' when 1 then 'day_25007' else 'extra' end as alias, count(*) as frames, count(*) filter (where l_suppkey % 5 = 0) as nc,
+rg as (select l_orderkey // 4 as run_id, case l_orderkey % 3 when 0 then 'night_25013' when 1 then 'day_25007' else 'extra' end as alias, count(*) as frames, count(*) filter (where l_suppkey % 5 = 0) as nc,
   count(*) filter (where l_suppkey % 5 = 0 and l_suppkey % 7 = 0) as ni, count(*) filter (where l_partkey % 31 = 0) as nb, count(*) filter (where l_partkey % 37 = 0) as nr, count(*) filter (where l_discount > 0.09) as na,
   avg((l_tax > 0.07)::int) as road, max(l_linenumber) > 1 as ok from lineitem group by 1, 2),
 ck as (select *, greatest(nc - ni - nb, 0) as solid, alias like 'night%' as ng, alias like 'day%' as dy from rg),
@@ -377,7 +377,7 @@ fg as (select run_id, alias, solid, ok and frames > 0 and (not ng or (solid = 0
 
 
 def _field(v: Views):
-    li = v.lineitem.withColumn("run_id", F.col("l_orderkey") % 4000).withColumn(
+    li = v.lineitem.withColumn("run_id", F.floor(F.col("l_orderkey") / 4)).withColumn(
         "alias", F.when(F.col("l_orderkey") % 3 == 0, "night_25013").when(F.col("l_orderkey") % 3 == 1, "day_25007").otherwise("extra"))
     conf = F.col("l_suppkey") % 5 == 0
     runs = li.groupBy("run_id", "alias").agg(

@@ -212,7 +212,7 @@ def _(v: Views):
 
 
 @query("mask_runs", ["a_boxes"], """
-with px as (select distinct l_orderkey % 300 as mask_id, (l_partkey * 37 + l_linenumber) % 400 as pos from lineitem),
+with px as (select distinct l_orderkey // 50 as mask_id, (l_partkey * 37 + l_linenumber) % 400 as pos from lineitem),
 f as (select m.mask_id, p.pos, (px.pos is not null)::int as value from (select distinct mask_id from px) m cross join range(400) p(pos) left join px on px.mask_id = m.mask_id and px.pos = p.pos),
 b as (select *, (value <> coalesce(lag(value) over (partition by mask_id order by pos), 0))::int as st from f),
 r as (select *, sum(st) over (partition by mask_id order by pos) as run from b)
@@ -221,7 +221,7 @@ union all select mask_id, 0, 0, 0 from f where pos = 0 and value = 1
 """)
 def _(v: Views):
     li = v.lineitem
-    px = li.select((F.col("l_orderkey") % 300).alias("mask_id"), ((F.col("l_partkey") * 37 + F.col("l_linenumber")) % 400).alias("pos")).distinct()
+    px = li.select((F.floor(F.col("l_orderkey") / 50)).alias("mask_id"), ((F.col("l_partkey") * 37 + F.col("l_linenumber")) % 400).alias("pos")).distinct()
     grid = px.select("mask_id").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))))
     full = grid.join(px.withColumn("label", F.lit(1)), ["mask_id", "pos"], "left").select(
         "mask_id", F.floor(F.col("pos") / 20).alias("x"), (F.col("pos") % 20).alias("y"), F.coalesce("label", F.lit(0)).alias("label"), F.lit(20).alias("height"))

@@ -36,10 +36,10 @@ def _(v: Views):
 
 
 def observations(v: Views):
-    """Boxes of an order as the detections of one frame; order keys number the frames of 50 rides."""
+    """Boxes of an order as the detections of one frame; order keys number the frames, 1200 to a ride."""
     b = v.a_boxes
     return b.select(
-        (F.col("image") % 50).alias("session_id"), (F.floor(F.col("image") / 50) * 50_000_000).alias("timestamp_ns"), F.col("image").alias("frame_id"),
+        F.floor(F.col("image") / 1200).alias("session_id"), (F.col("image") % 1200 * 50_000_000).alias("timestamp_ns"), F.col("image").alias("frame_id"),
         (F.col("image") % 11 != 0).alias("quality_ok"), (F.col("image") % 13 != 0).alias("allow_new"), ((F.col("image") % 7 - 3) / 100.0).alias("yaw_rate"),
         F.lit(1920.0).alias("frame_width"), (F.xxhash64("seq", "price") % 1_000_000_000).cast("int").alias("obs_index"), "semantic_type",
         F.element_at(F.array(*[F.lit(g) for g in ("concave", "flat", "unknown")]), (F.col("part") % 3 + 1).cast("int")).alias("geometry_type"),
