@@ -30,7 +30,7 @@ from ridelens.llm.graph import components
 
 COUNTERS = 1 << 17  # of a task's summary; also the most elements whose order is broadcast
 BROADCAST_ROWS = 400_000  # requests for texts are broadcast up to this number of rows, joined beyond
-SALTS = 16
+PARTNERS = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,20 +122,20 @@ def element_order(counts: DataFrame, most: int = COUNTERS) -> tuple[np.ndarray,
 def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
     """(token, id, pos) of every prefix element that two rows share at least.
 
-    Elements of the broadcast order come as rows. All others travel packed, 16 bytes each, to the task of
-    their bucket, which drops those that occur once: nearly all of them.
+    Elements of the broadcast order come as rows. All others travel packed, 20 bytes each, to the task of
+    their bucket, which drops those without a partner that size and position allow: nearly all of them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(order)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 4 * parts
     struct, arrow = schema_of("bucket int, data binary, token long, id long, pos int")
-    packed = np.dtype([("token", "<u4"), ("id", "<i8"), ("pos", "<u4")])
+    packed = np.dtype([("token", "<u4"), ("id", "<i8"), ("pos", "<u4"), ("size", "<u4")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, place = shared.value
         for batch in batches:
-            tokens, ids, pos, listed = [], [], [], []
+            tokens, ids, pos, sizes, listed = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, n)
                 if not len(s):
@@ -150,18 +150,20 @@ def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
                 tokens.append(first)
                 ids.append(np.full(len(first), key, np.int64))
                 pos.append(np.arange(len(first)))
+                sizes.append(np.full(len(first), len(s)))
                 listed.append(np.arange(len(first)) >= int((~late).sum()))
             if not tokens:
                 continue
-            token, key, where, row = (np.concatenate(x) for x in (tokens, ids, pos, listed))
+            token, key, where, size, row = (np.concatenate(x) for x in (tokens, ids, pos, sizes, listed))
             if row.any():
                 k = int(row.sum())
                 yield pack(arrow, [[None] * k, [None] * k, token[row].view(np.int64), key[row], where[row].astype(np.int32)])
-            token, key, where = token[~row], key[~row], where[~row]
+            token, key, where, size = token[~row], key[~row], where[~row], size[~row]
             bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             data = np.empty(len(by), packed)
             data["token"], data["id"], data["pos"] = (token[by] & np.uint64(0xFFFFFFFF)), key[by], where[by]
+            data["size"] = size[by]
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
             blobs = [data[cuts[b] : cuts[b + 1]].tobytes() for b in full]
@@ -180,10 +182,9 @@ def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
             return
         data = np.concatenate(held)
         token = (np.concatenate(where) << 32) | data["token"].astype(np.int64)
-        by = np.argsort(token)
+        by = np.lexsort((data["size"], token))
         token, data = token[by], data[by]
-        twin = np.r_[False, token[1:] == token[:-1]]
-        keep = np.flatnonzero(twin | np.r_[twin[1:], False])
+        keep = np.flatnonzero(_has_partner(token, data["size"].astype(np.int64), data["pos"].astype(np.int64), percent))
         for i in range(0, len(keep), 200_000):
             at = keep[i : i + 200_000]
             # bucket elements are told from broadcast ones, whose hashes are any number, by the pair (kind, token)
@@ -195,14 +196,38 @@ def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
     return rare.unionByName(rows.where("bucket is null").select(F.lit(0).alias("kind"), "token", "id", "pos"))
 
 
+def _has_partner(token: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of lists, ordered by token and size, have a partner in their list that the bounds let pass.
+
+    Round k compares every row with the k-th after it. A row leaves once the next size is too large, or once
+    it and all rows behind it in its list are known to have a partner.
+    """
+    n = len(token)
+    alive = np.zeros(n, bool)
+    ends = np.searchsorted(token, token, "right")
+    at, k = np.arange(n), 1
+    while len(at):
+        at = at[at + k < ends[at]]
+        at = at[100 * size[at] >= percent * size[at + k]]
+        need = -(-percent * (size[at] + size[at + k]) // (100 + percent))
+        good = at[np.minimum(size[at] - pos[at], size[at + k] - pos[at + k]) >= need]
+        alive[good] = alive[good + k] = True
+        k += 1
+        dead = np.append(np.flatnonzero(~alive), n)
+        at = at[~alive[at] | (dead[np.searchsorted(dead, at + k)] < ends[at])] if len(at) else at
+    return alive
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, o): |a & b| of every pair, from the whole texts.
 
-    The texts of a lead's partners are dealt over salts with a copy of the lead's, so a lead of very many
-    partners is no hot group, and a task holds one set and the current batch.
+    The texts of a lead's partners are dealt over salts, one for each `PARTNERS` of them, with a copy of the
+    lead's, so a lead of very many partners is no hot group, and a task holds one set and the current batch.
     """
     pairs = pairs.checkpoint()
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    number = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("salts"))
+    pairs = pairs.join(number, "a")
+    salt = F.pmod(F.xxhash64("b"), F.col("salts"))
     member = pairs.select(F.col("b").alias("id"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(1).alias("side"))
     lead = pairs.select(F.col("a").alias("id"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(0).alias("side")).distinct()
     asks = member.unionByName(lead).checkpoint()

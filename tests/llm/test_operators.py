@@ -324,3 +324,18 @@ def test_labeller_on_made_up_layouts(session):
     odd = session.createDataFrame([(None, None, None), (2, "u", ""), (3, "u", "<p>")], "page_id long, url string, html string")
     assert {x.text for x in block_labeller.extract(odd, model).collect()} == {""}
     assert block_labeller.fit_labeller(odd) is None and block_labeller.extract(odd.limit(0), None).count() == 0
+
+
+def test_rows_without_a_partner_are_dropped():
+    rng = np.random.default_rng(4)
+    token = np.sort(rng.integers(0, 12, 300))
+    size, pos = rng.integers(20, 60, 300), rng.integers(0, 8, 300)
+    by = np.lexsort((size, token))
+    token, size, pos = token[by], size[by], pos[by]
+    want = np.zeros(300, bool)
+    for i in range(300):
+        for j in range(300):
+            if i != j and token[i] == token[j]:
+                need = -(-85 * (size[i] + size[j]) // 185)
+                want[i] |= min(size[i], size[j]) >= need and min(size[i] - pos[i], size[j] - pos[j]) >= need
+    assert (jaccard_join._has_partner(token, size, pos, 85) == want).all() and 0 < want.sum() < 300
