@@ -82,9 +82,9 @@ def fit_rates(members: DataFrame, weights: list[float], most: float | None = Non
     def step(r: Column, move: np.ndarray) -> Column:
         return bounded(r - sum((F.col(f"p{i}") * float(move[i]) for i in every), F.lit(0.0)))
 
-    def sums(r: Column) -> tuple[np.ndarray, np.ndarray]:
+    def sums(r: Column, bound: float) -> tuple[np.ndarray, np.ndarray]:
         free = (F.col("r") > 0) & (F.lit(True) if most is None else F.col("r") < F.lit(float(most)))
-        gram = [F.sum(F.when(free, 1.0).otherwise(0.01) * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")) for i in every for j in every]
+        gram = [F.sum(F.when(free, 1.0).otherwise(bound) * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")) for i in every for j in every]
         row = members.withColumn("r", r).agg(*[F.sum(F.col("r") * F.col("n") * F.col(f"p{i}")) for i in every], *gram).first()
         got = np.array([float(x or 0.0) for x in row])
         return got[: len(weights)], got[len(weights) :].reshape(len(weights), len(weights))
@@ -96,17 +96,17 @@ def fit_rates(members: DataFrame, weights: list[float], most: float | None = Non
     budget = there.sum() if most is None else most * float(np.min(there[asked] / share[asked])) if asked.any() else 0.0
     target = share * budget
     rate = bounded(F.lit(1.0))
-    total, gram = sums(rate)
+    total, gram = sums(rate, 1.0)  # all rates may start at the bound
     for _ in range(steps):
         if not budget or np.abs(total - target).max() <= close * budget:
             break
-        move = np.linalg.lstsq(gram, total - target, rcond=1e-9)[0]
-        for _ in range(6):
+        # the metric step, shorter and shorter, and last the plain gradient, whose step always helps unless this is the minimum
+        metric = np.linalg.lstsq(gram, total - target, rcond=1e-9)[0]
+        for move in (*(metric / 2**k for k in range(10)), (total - target) / there.sum(), (total - target) / (4 * there.sum())):
             tried = step(rate, move)
-            new_total, new_gram = sums(tried)
+            new_total, new_gram = sums(tried, 0.01)
             if ((new_total - target) ** 2).sum() < ((total - target) ** 2).sum() * (1 - 1e-6):
                 break
-            move = move / 2
         else:
             break
         rate, total, gram = tried, new_total, new_gram
