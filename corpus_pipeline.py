@@ -45,7 +45,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents kept at their fitted rates; with rates of one at most nothing is repeated, and good documents stay."""
+    """Documents kept at their fitted rates: nothing is repeated, every good document stays, and of what is kept junk
+    and toxic text have their shares of the weights at most, as far as the good documents allow."""
     prepare(spark)
     rates = mix(docs, quality_domains(table(spark, sf_dir, "labels")), WEIGHTS, most=1.0)
     gone = _few(rates.where("copies < 1").select("doc_id"))

@@ -5,6 +5,9 @@ document then belongs to each domain with its posterior. Document rates r >= 0 m
 `sum_d (sum_i r_i n_i p_id - target_d)^2` by projected gradient steps, taken in the metric of the Gram
 matrix of the memberships. A step needs a few sums over all documents; as the rate of a document is a
 function of its own memberships and the steps so far, no state per document is carried between steps.
+
+With a bound on rates nothing can be repeated, so the weights are read as shares: the first domain is the clean
+one, its documents stay whole, and the others are thinned until none exceeds its share of what is kept.
 """
 
 from __future__ import annotations
@@ -68,44 +71,51 @@ def memberships(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
 def fit_rates(members: DataFrame, weights: list[float], most: float | None = None, steps: int = 25, close: float = 1e-4) -> Column:
     """The rate of a document as a column over `members`.
 
-    Targets are `weights` of a budget: all tokens there are, or with a bound `most` on rates the largest one
-    that asks of no domain more than `most` times its expected tokens. Stops when every domain is within
-    `close` of its target (relative to the budget) or no step helps; targets out of reach are met as closely
-    as least squares can.
+    Targets are `weights` of all tokens there are. Stops when every domain is within `close` of its target
+    (relative to all tokens) or no step helps; targets out of reach are met as closely as least squares can.
+
+    With a bound `most` the rows of `members` that are `clean` have that rate whatever the others need, and the
+    weights after the first are upper shares of the tokens kept (`caps`): the other rows are thinned until no
+    domain exceeds its share, and a domain that is short of it is not thinned and thins no other.
     """
     every = range(len(weights))
 
     def bounded(r: Column) -> Column:
         r = F.greatest(F.lit(0.0), r)
-        return r if most is None else F.least(F.lit(float(most)), r)
+        return r if most is None else F.when(F.col("clean"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), r))
 
     def step(r: Column, move: np.ndarray) -> Column:
         return bounded(r - sum((F.col(f"p{i}") * float(move[i]) for i in every), F.lit(0.0)))
 
     def sums(r: Column, bound: float) -> tuple[np.ndarray, np.ndarray]:
         free = (F.col("r") > 0) & (F.lit(True) if most is None else F.col("r") < F.lit(float(most)))
-        gram = [F.sum(F.when(free, 1.0).otherwise(bound) * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")) for i in every for j in every]
+        weigh = F.when(free, 1.0).otherwise(bound) if most is None else F.when(F.col("clean"), 0.0).when(free, 1.0).otherwise(bound)
+        gram = [F.sum(weigh * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")) for i in every for j in every]
         row = members.withColumn("r", r).agg(*[F.sum(F.col("r") * F.col("n") * F.col(f"p{i}")) for i in every], *gram).first()
         got = np.array([float(x or 0.0) for x in row])
         return got[: len(weights)], got[len(weights) :].reshape(len(weights), len(weights))
 
     share = np.array(weights, float) / sum(weights)
-    held = members.agg(*[F.sum(F.col("n") * F.col(f"p{i}")) for i in every]).first()
-    there = np.array([float(x or 0.0) for x in held])
-    asked = share > 0
-    budget = there.sum() if most is None else most * float(np.min(there[asked] / share[asked])) if asked.any() else 0.0
-    target = share * budget
-    rate = bounded(F.lit(1.0))
+    rate = bounded(F.lit(1.0 if most is None else float(most)))
     total, gram = sums(rate, 1.0)  # all rates may start at the bound
+    there = total
+    budget = there.sum()
+
+    def missed(total: np.ndarray) -> np.ndarray:
+        return total - share * budget if most is None else total - caps(total, there, share)
+
     for _ in range(steps):
-        if not budget or np.abs(total - target).max() <= close * budget:
+        off = missed(total)
+        if not budget or np.abs(off).max() <= close * budget:
             break
         # the metric step, shorter and shorter, and last the plain gradient, whose step always helps unless this is the minimum
-        metric = np.linalg.lstsq(gram, total - target, rcond=1e-9)[0]
-        for move in (*(metric / 2**k for k in range(10)), (total - target) / there.sum(), (total - target) / (4 * there.sum())):
+        some = np.arange(len(weights)) if most is None else np.flatnonzero(off)
+        metric = np.zeros(len(weights))
+        metric[some] = np.linalg.lstsq(gram[np.ix_(some, some)], off[some], rcond=1e-9)[0]
+        for move in (*(metric / 2**k for k in range(10)), off / there.sum(), off / (4 * there.sum())):
             tried = step(rate, move)
             new_total, new_gram = sums(tried, 0.01)
-            if ((new_total - target) ** 2).sum() < ((total - target) ** 2).sum() * (1 - 1e-6):
+            if (missed(new_total) ** 2).sum() < (off**2).sum() * (1 - 1e-6):
                 break
         else:
             break
@@ -113,6 +123,24 @@ def fit_rates(members: DataFrame, weights: list[float], most: float | None = Non
     return rate
 
 
+def caps(total: np.ndarray, there: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The most tokens of each domain for the first one's `total`: its share of all that is kept.
+
+    A domain that has less there (`there`) than its share asks for, and the first, is left as it is in `total`.
+    """
+    out = total.astype(float)
+    rest = [i for i in range(1, len(share))]
+    rest.sort(key=lambda i: there[i] / share[i] if share[i] > 0 else np.inf)
+    kept = total[0]
+    while rest:
+        whole = kept / max(1.0 - share[rest].sum(), 1e-12)  # tokens kept when all of `rest` are at their shares
+        if there[rest[0]] >= share[rest[0]] * whole:
+            out[rest] = share[rest] * whole
+            break
+        kept += total[rest.pop(0)]
+    return out
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
     """`id_col`, n_tokens, p_<domain> ..., rate, copies of every id of `docs`.
 
@@ -121,10 +149,21 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col
     rates. Rows of one id count as one document, rows without an id as one more. Documents without tokens have
     the domains' shares as posteriors and rate one at no cost. An empty table gives an empty result, and
     without labels all domains are alike. Other columns are not read.
+
+    With `most`, the first of `weights` is the clean domain: documents labelled so, documents without a label
+    that are likeliest to belong to it, and documents without tokens all have the rate `most`, and the other
+    weights are upper shares of what is kept. However little there is of the others, no clean document goes.
     """
     domains = list(weights)
     known = labels.where(F.col(id_col).isNotNull() & F.col("domain").isin(*domains)).select(id_col, "domain").dropDuplicates([id_col])
-    members = memberships(docs.select(id_col, text_col), known, domains, id_col, text_col).checkpoint()
+    members = memberships(docs.select(id_col, text_col), known, domains, id_col, text_col)
+    if most is not None:
+        named = known.select(F.col(id_col).alias("id"), "domain")
+        members = members.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "id", "left")
+        likeliest = F.col("p0") >= F.greatest(*[f"p{i}" for i in range(len(domains))]) if len(domains) > 1 else F.lit(True)
+        clean = F.when(F.col("n") == 0, True).when(F.col("domain").isNotNull(), F.col("domain") == domains[0]).otherwise(likeliest)
+        members = members.withColumn("clean", clean).drop("domain")
+    members = members.checkpoint()
     rate = fit_rates(members, [weights[d] for d in domains], most)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     out = members.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"), chance.alias("__c"))

@@ -277,6 +277,30 @@ def test_mixing(session):
     assert mixing.mix(df, labels.limit(0), {"good": 0.9, "junk": 0.1}).count() == len(rows)
 
 
+def test_mixing_keeps_all_good_of_a_clean_corpus(session):
+    rng = random.Random(7)
+    kinds = {"good": WORDS[:7], "junk": ["###", "$$$", "%%%"], "toxic": ["vile", "awful", "nasty"]}
+    for junk, toxic in ((6, 3), (60, 3), (6, 60), (60, 60)):  # of 300: both short, one short, none short
+        kind = lambda i: "junk" if i < junk else "toxic" if i < junk + toxic else "good"  # noqa: B023, E731
+        rows = [(i, " ".join(rng.choice(kinds[kind(i)]) for _ in range(30)), kind(i)) for i in range(300)]
+        df = session.createDataFrame(rows, "doc_id long, text string, domain string")
+        out = mixing.mix(df, df.where("doc_id % 2 = 0").select("doc_id", "domain"), mixing.WEIGHTS, most=1.0).collect()
+        assert all(r.copies == 1 and r.rate == 1 for r in out if kind(r.doc_id) == "good")
+        kept = {k: sum(r.rate for r in out if kind(r.doc_id) == k) for k in kinds}
+        for k, n in (("junk", junk), ("toxic", toxic)):
+            assert kept[k] <= max(mixing.WEIGHTS[k] * sum(kept.values()) * 1.05, 0.5)
+            assert kept[k] > 0.99 * n or kept[k] > 0.9 * mixing.WEIGHTS[k] * sum(kept.values())
+
+
+def test_caps():
+    share = np.array([0.9, 0.08, 0.02])
+    for there in ([97, 2, 1], [80, 10, 10], [95, 0.5, 4.5], [90, 10, 0], [0, 5, 5]):
+        there = np.array(there, float)
+        most = np.minimum(there, mixing.caps(there, there, share))
+        assert most[0] == there[0] and (most[1:] <= share[1:] * most.sum() + 1e-9).all()
+        assert all(m == t or abs(m - s * most.sum()) < 1e-9 for m, t, s in zip(most[1:], there[1:], share[1:]))
+
+
 def test_blocks():
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a><li>Two</ul></nav><!-- c --><div class="post x1"><p>One &amp;\n two<br>three<p><b>Four</div>tail &lt;b'
     got = block_labeller.blocks(page)
