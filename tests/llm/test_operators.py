@@ -197,6 +197,39 @@ def test_similar_fingerprints(session):
     assert (got[0], got[1], got[3], got[2], got[4], got[5]) == (0, 0, 0, 2, 4, 4)
 
 
+@pytest.mark.parametrize("block", [8192, 3])
+def test_similar_fingerprints_equal_brute_force(session, monkeypatch, block):
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", block)
+    rng = random.Random(8)
+    prints = []
+    for _ in range(6):  # groups that share bands with a smaller row that is unlike them
+        hot = "".join(rng.choice("0123456789abcdef") for _ in range(64))
+        prints.append(hot + "".join(rng.choice("0123456789abcdef") for _ in range(192)))
+        base = hot + "".join(rng.choice("0123456789abcdef") for _ in range(192))
+        for _ in range(8):
+            at = set(rng.sample(range(256), 26))
+            prints.append("".join(rng.choice("0123456789abcdef") if i in at else c for i, c in enumerate(base)))
+        prints.append(prints[-1])
+    df = session.createDataFrame([(i, p) for i, p in enumerate(prints)] + [(None, prints[0])], "doc_id long, fingerprint string")
+    alike = [[i != j and sum(map(str.__eq__, a, b)) >= 0.8 * 256 for j, b in enumerate(prints)] for i, a in enumerate(prints)]
+    bands = [[any(a[k : k + 8] == b[k : k + 8] for k in range(0, 256, 8)) for b in prints] for a in prints]
+    assert all(bands[i][j] for i in range(len(prints)) for j in range(len(prints)) if alike[i][j])  # full recall on these rows
+    low = list(range(len(prints)))
+    for _ in prints:
+        low = [min([low[i]] + [low[j] for j in range(len(prints)) if alike[i][j]]) for i in range(len(prints))]
+    got = {r.doc_id: (r.component, r.links) for r in edit_fingerprint.similar_documents(df).collect()}
+    assert got == {i: (low[i], sum(alike[i])) for i in range(len(prints))} | {None: (None, None)}
+
+
+def test_fingerprint_query_groups(session, tmp_path):
+    rng = random.Random(5)
+    base = sentence(rng, 500)
+    texts = [base, base.replace("river", "rivers", 2), sentence(rng, 500), base, "", None]
+    documents(session, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in edit_fingerprint.op9_edit_fingerprint(session, str(tmp_path)).collect()}
+    assert [rows[i].component for i in range(6)] == [0, 0, 2, 0, 4, 4] and [rows[i].links for i in range(6)] == [2, 2, 0, 2, 1, 1]
+
+
 def brute_word(piece_p, word):
     """Probability of a word by plain recursion over its pieces."""
     data = b" " + word
