@@ -31,6 +31,7 @@ from ridelens.llm.graph import components
 COUNTERS = 1 << 17  # of a task's summary; also the most elements whose order is broadcast
 BROADCAST_ROWS = 400_000  # requests for texts are broadcast up to this number of rows, joined beyond
 PARTNERS = 64
+BLOCK = 8192  # about the rows of a list on one side of a comparison
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -256,8 +257,10 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: s
 def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of one list and two labels that pass every bound.
 
-    Rows of a list come in two parts: those that do not carry its commonest label are held while the rest
-    streams by in blocks. Lists with a single label are settled and not looked at.
+    Rows of a list come in two parts: loose ones, that do not carry its commonest label, and the rest. Both are
+    cut by a hash of the id into blocks of about `BLOCK` rows. Every pair of loose blocks, and of a loose block with one
+    of the rest, is a group of its own, so a task holds one loose block while another streams by, and a hot list is
+    dealt over many tasks. Lists with a single label are settled and not looked at.
     """
     struct, arrow = schema_of("a long, b long")
     names = ["id", "pos", "size", "m0", "m1", "m2", "m3", "lead", "o", "label"]
@@ -300,22 +303,30 @@ def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in batches:
-            token, kind, main = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cols = {k: batch.column(3 + i).to_numpy(zero_copy_only=False).astype(np.int64) for i, k in enumerate(names)}
-            cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1]), True]) if len(token) else []
+            *key, own, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            cols = {k: batch.column(6 + i).to_numpy(zero_copy_only=False).astype(np.int64) for i, k in enumerate(names)}
+            cuts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0), True]) if len(own) else []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if (token[a], kind[a]) != now:
-                    now, held = (token[a], kind[a]), {k: v[:0] for k, v in cols.items()}
-                loose, rest = ({k: v[a:b][m] for k, v in cols.items()} for m in (~main[a:b].astype(bool), main[a:b].astype(bool)))
-                found = [*compare(held, loose, False), *compare(loose, loose, True)]
+                if tuple(k[a] for k in key) != now:
+                    now, held = tuple(k[a] for k in key), {k: v[:0] for k, v in cols.items()}
+                loose, rest = ({k: v[a:b][m] for k, v in cols.items()} for m in (~second[a:b].astype(bool), second[a:b].astype(bool)))
+                found = [*compare(held, loose, False), *compare(loose, loose, True)] if own[a] else []
                 held = {k: np.r_[held[k], v] for k, v in loose.items()}
                 for pair in (*found, *compare(held, rest, False)):
                     yield pack(arrow, pair)
 
     labels = lists.groupBy("kind", "token", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = labels.groupBy("kind", "token").agg(F.max_by("label", "n").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    rows = lists.join(mixed, ["kind", "token"]).select("token", "kind", (F.col("label") == F.col("most")).alias("main"), *names)
-    return rows.repartition("token", "kind").sortWithinPartitions("token", "kind", "main").mapInArrow(run, struct).distinct()
+    mixed = labels.groupBy("kind", "token").agg(F.max_by("label", "n").alias("most"), F.max("n").alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mixed = mixed.select("kind", "token", "most", blocks(F.col("all") - F.col("top")).alias("few"), blocks(F.col("top")).alias("many"))
+    rows = lists.join(mixed, ["kind", "token"]).withColumn("main", F.col("label") == F.col("most"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int"))
+    # loose blocks are numbered from 0, the others from `few`; a loose block meets itself where it meets the first of the others
+    met = F.when(F.col("main"), F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), F.col("block")))
+    rows = rows.withColumn("block", F.when(F.col("main"), F.col("few") + F.col("block")).otherwise(F.col("block"))).withColumn("with", F.explode(met))
+    left, right = F.least("block", "with"), F.greatest("block", "with")
+    rows = rows.select("token", "kind", left.alias("left"), right.alias("right"), (right == F.col("few")).alias("own"), (F.col("block") > F.col("with")).alias("second"), *names)
+    return rows.repartition("token", "kind", "left", "right").sortWithinPartitions("token", "kind", "left", "right", "second").mapInArrow(run, struct).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

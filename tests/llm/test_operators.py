@@ -153,6 +153,26 @@ def test_jaccard_equals_brute_force(session, n, percent):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, n, percent)
 
 
+def test_hot_list_is_dealt_in_blocks(session, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rows = [(0, 7, i, 0, 10, 0, 0, 0, 0, -1, -1, i if i < 30 else 100) for i in range(60)]  # 30 labels of one row, one of 30 rows
+    rows += [(1, 7, i, 0, 10, 0, 0, 0, 0, -1, -1, i) for i in (1, 70)] + [(1, 8, i, 0, 10, 0, 0, 0, 0, -1, -1, 3) for i in (80, 81)]
+    lists = session.createDataFrame(rows, "kind int, token long, id long, pos int, size long, m0 long, m1 long, m2 long, m3 long, lead long, o long, label long")
+    pairs = jaccard_join.remaining_pairs(lists, 80)
+    assert sorted(map(tuple, pairs.collect())) == sorted([(a, b) for a in range(30) for b in range(a + 1, 60)] + [(1, 70)])
+    held = []
+    monkeypatch.setattr(type(lists), "mapInArrow", lambda df, *_: held.append(df) or df.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    jaccard_join.remaining_pairs(lists, 80)
+    most = held[0].groupBy("token", "kind", "left", "right").agg(F.sum((~F.col("second")).cast("int")).alias("n"), F.count("*").alias("all"))
+    assert most.agg(F.max("n"), F.max("all")).first()[0] <= 15 and most.agg(F.max("all")).first()[0] <= 30
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_jaccard_in_small_blocks_equals_brute_force(session, monkeypatch, n, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    test_jaccard_equals_brute_force(session, n, percent)
+
+
 def test_jaccard_nulls_and_empty(session):
     rows = [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(documents(session, ["a b c d e", "a b c d e", "a b c d e"], [3, None, 2])).collect()]
     assert sorted(rows, key=str) == [(2, 2), (3, 2), (None, None)]
