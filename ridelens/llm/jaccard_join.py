@@ -223,7 +223,8 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: s
     """(a, b, o): |a & b| of every pair, from the whole texts.
 
     The texts of a lead's partners are dealt over salts, one for each `PARTNERS` of them, with a copy of the
-    lead's, so a lead of very many partners is no hot group, and a task holds one set and the current batch.
+    lead's, so a lead of very many partners is no hot group, and a task holds one set and the current batch (several
+    sets only where rows share the lead's id). A pair comes out once, however many salts of its lead a task gets.
     """
     pairs = pairs.checkpoint()
     number = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("salts"))
@@ -241,12 +242,12 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: s
         now, sets = None, []
         for batch in batches:
             out = []
-            for a, _, side, key, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for a, salt, side, key, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 s = shingle_set(text, n)
                 if side == 0:
-                    sets = [*sets, s] if now == a else [s]
-                    now = a
-                elif now == a:
+                    sets = [*sets, s] if now == (a, salt) else [s]
+                    now = (a, salt)
+                elif now == (a, salt):
                     out += [(a, key, int(np.isin(s, x, assume_unique=True).sum())) for x in sets]
             if out:
                 yield pack(arrow, list(zip(*out)))

@@ -173,6 +173,14 @@ def test_jaccard_in_small_blocks_equals_brute_force(session, monkeypatch, n, per
     test_jaccard_equals_brute_force(session, n, percent)
 
 
+def test_overlaps_come_out_once(session, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 2)
+    docs = documents(session, [sentence(random.Random(i), 12) for i in range(40)])
+    pairs = session.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long")
+    got = sorted((r.a, r.b) for r in jaccard_join.overlaps(docs, pairs, 3, "doc_id", "text").collect())  # 20 salts in 4 partitions
+    assert got == [(0, i) for i in range(1, 40)]
+
+
 def test_jaccard_nulls_and_empty(session):
     rows = [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(documents(session, ["a b c d e", "a b c d e", "a b c d e"], [3, None, 2])).collect()]
     assert sorted(rows, key=str) == [(2, 2), (3, 2), (None, None)]
