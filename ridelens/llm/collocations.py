@@ -50,15 +50,14 @@ class Coder(dict):
 
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh64_intdigest(self.start + word, self.seed) >> 1 or 1
-        if self.bits is not None and not self.bits[(code % BITS) >> 6] >> np.uint64(code & 63) & np.uint64(1):
+        if self.bits is not None and not self.bits[(code >> 6) % len(self.bits)] >> np.uint64(code & 63) & np.uint64(1):
             code = 0
         self[word] = code
         return code
 
 
 def _have(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    at = (codes & np.int64(BITS - 1)).astype(np.uint64)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return (bits[(codes >> 6) % len(bits)] >> (codes & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
