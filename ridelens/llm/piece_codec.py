@@ -15,15 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.base import pack, register, schema_of, table
+from ridelens.llm.base import register, schema_of, table
 
 SPACE_MARK = "▁"
 _WORD = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 _NONE = np.int64(1 << 40)
-CACHED_WORDS = 200_000  # a task keeps the pieces of at most so many words
+CACHED_BYTES = 48 << 20  # about what a task's remembered words may take
+PART_BYTES = 1_000_000  # texts are encoded in runs of so many bytes
 
 
 @dataclass
@@ -90,7 +92,8 @@ class Codec:
         self.chars, self.char_symbols = (np.array(x, dtype=np.int64) for x in zip(*chars))
         self.byte_of = {int(i): b for b, i in enumerate(pieces.byte_ids)}
         self.shown = ["" if h else t.replace(SPACE_MARK, " ") for t, h in zip(pieces.texts, pieces.hidden)]
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, bytes, str]] = {}
+        self.held = 0
 
     @staticmethod
     def _find(table_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,57 +200,71 @@ class Codec:
 
     def learn(self, texts_words: list[list[str]]) -> None:
         """Put the words of a batch into the cache, all new ones in one run of merge rounds."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+        if self.held > CACHED_BYTES:
+            self.words, self.held = {}, 0
         new = list({w for words in texts_words for w in words} - self.words.keys())
         for word, ids in zip(new, self.encode_words(new)):
-            ids = ids.tolist()
-            self.words[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids, first=False))
+            shown = ids.tolist()
+            entry = self.words[word] = (" ".join(map(str, shown)), ids.astype(np.int32).tobytes(), self.decode(shown, first=False))
+            self.held += 300 + 2 * len(word) + len(entry[0]) + len(entry[1]) + 2 * len(entry[2])
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Of each text: number of ids with the end id, all ids as decimals joined by a space, decoded text."""
+    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, bytes, str]]:
+        """Of each text: all ids with the end id, as decimals joined by a space and as int32 bytes, and the decoded text."""
         cut = [_WORD.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
         self.learn(cut)
-        end = str(self.pieces.end_id)
+        end, end_bytes = str(self.pieces.end_id), np.array([self.pieces.end_id], np.int32).tobytes()
         for words in cut:
             got = [self.words[w] for w in words]
             text = "".join([g[2] for g in got])
-            yield sum([g[1] for g in got]) + 1, " ".join([*[g[0] for g in got], end]), text.removeprefix(" ")
+            yield " ".join([*[g[0] for g in got], end]), b"".join([*[g[1] for g in got], end_bytes]), text.removeprefix(" ")
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """`id_col`, n_tokens, ids_sha256, decoded_sha256 and, with `texts`, ids (array) and decoded, of every row.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """`id_col`, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array) and decoded, of every row.
 
     Encodes as the sentencepiece library does, with an end id only; decoding is the library's. Null and empty
-    texts give the end id alone. Only the id and the text are read; the vocabulary is broadcast.
+    texts give the end id alone, repeated rows stay. Only the id and the text are read; the vocabulary is broadcast. A
+    task holds a run of `PART_BYTES` (or one longer text), its ids as one flat buffer, and `CACHED_BYTES` of words.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Codec(*Pieces.load(model_path)))
-    struct, arrow = schema_of("__id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else ""))
+    struct, arrow = schema_of("__id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for batch in batches:
-            keys, bodies = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in _by_size(bodies):
-                out = []
-                for key, (n, ids, text) in zip(keys[part], codec.encode_texts(bodies[part])):
-                    row = (key, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
-                    out.append((*row, list(map(int, ids.split(" "))), text) if texts else row)
-                if out:
-                    yield pack(arrow, list(zip(*out)))
+            for part in _by_size(batch.column(1)):
+                texts = [t or "" for t in batch.column(1).slice(part.start, part.stop - part.start).to_pylist()]
+                sizes, digests, flat, shown = [], ([], []), [], []
+                for decimals, numbers, text in codec.encode_texts(texts):
+                    sizes.append(len(numbers) // 4)
+                    digests[0].append(hashlib.sha256(decimals.encode()).hexdigest())
+                    digests[1].append(hashlib.sha256(text.encode("utf-8")).hexdigest())
+                    if ids:
+                        flat.append(numbers)
+                    if decoded:
+                        shown.append(text)
+                columns = [batch.column(0).slice(part.start, len(texts)), pa.array(sizes, pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
+                if ids:
+                    values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(flat))])
+                    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(offsets, values, type=arrow.field("ids").type))
+                if decoded:
+                    columns.append(pa.array(shown, pa.string()))
+                if texts:
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, struct).withColumnRenamed("__id", id_col)
 
 
-def _by_size(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
-    """Runs of texts of at most `most` characters together (a longer text alone)."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+def _by_size(texts: pa.Array, most: int | None = None) -> Iterator[slice]:
+    """Runs of texts of at most `most` bytes together (a longer text alone)."""
+    most, begin, size = most or PART_BYTES, 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > most:
             yield slice(begin, i)
             begin, size = i, 0
-        size += len(t)
+        size += n
     yield slice(begin, len(texts))
 
 
@@ -255,4 +272,4 @@ def _by_size(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
 def op8_piece_codec(spark, sf_dir):
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), texts=False)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False, decoded=False)
