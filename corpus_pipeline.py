@@ -58,7 +58,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     prepare(spark)
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=False)
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture), ("token_ids", token_ids)]
