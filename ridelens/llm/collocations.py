@@ -16,17 +16,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ridelens.llm.base import pack, register, schema_of, table, utf8
+from ridelens.llm.base import pack, register, schema_of, table, utf8, written
 
 CUTS = b".,;:!?\n\x0b\x0c\r"  # fixed: the characters between pieces
 BITS = 1 << 27  # of a bit set; its 16 MB are the most that is broadcast
@@ -76,13 +74,6 @@ def _bit_set(frequent: DataFrame, column: str):
     return frequent.sparkSession.sparkContext.broadcast(bits)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """`df` by way of a table in the shared folder."""
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(StructType(df.schema.fields)).parquet(path)
-
-
 def _codes(batches: Iterator[pa.RecordBatch], seed: int, bits: np.ndarray) -> Iterator[np.ndarray]:
     """Codes of all texts of each batch, with at least one 0 between pieces and between texts."""
     coders: dict[str, Coder] = {}
@@ -283,7 +274,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), utf8(text_col).alias("text"))
     seed = 0
     while True:
-        every = _written(word_counts(texts, seed), "words")
+        every = written(word_counts(texts, seed), "words")
         if every.groupBy("code").count().where("count > 1").isEmpty():
             break
         seed += 1
@@ -291,8 +282,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     words = every.where(F.col("n") >= least).select("code", "lang", "word", "n")
     word_bits = _bit_set(words, "code")
     pair_bits = _bit_set(pair_counts(texts, seed, word_bits).where(F.col("n") >= least), "code")
-    windows = _written(window_counts(texts, seed, word_bits, pair_bits, most), "windows")
-    phrases = _written(prefix_counts(windows, most, least), "phrases")
+    windows = written(window_counts(texts, seed, word_bits, pair_bits, most), "windows")
+    phrases = written(prefix_counts(windows, most, least), "phrases")
 
     w, c = [f"w{i + 1}" for i in range(most)], [f"c{i + 1}" for i in range(most)]
     left = _walk(phrases.select(*[F.col(x).alias(y) for x, y in zip(w, c)], "n"), most, "l").withColumnsRenamed(dict(zip(c, w)))

@@ -9,15 +9,17 @@ the same, because slot k always takes the step of lowest random priority below t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.base import pack, register, schema_of, table
+from ridelens.llm.base import pack, register, schema_of, table, written
 from ridelens.llm.graph import components
 
 SLOTS = 256
@@ -122,7 +124,8 @@ def _linked(left: np.ndarray, right: np.ndarray | None, least: float, width: int
 
 def _alike(prints: DataFrame, id_col: str, least: float, width: int, slots: int) -> DataFrame:
     """(fingerprint, component, links) of every fingerprint that a row with an id has."""
-    groups = prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")).checkpoint()
+    groups = prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups, "prints")
     # the low byte of a key is the band
     keys = F.transform(F.sequence(F.lit(0), F.lit(slots // width - 1)), lambda b: F.shiftleft(F.xxhash64(b, F.substring("fingerprint", b * width + 1, F.lit(width))), 8).bitwiseOR(b.cast("long")))
     rows = groups.where(~F.startswith("fingerprint", F.lit(_EMPTY))).select(F.explode(keys).alias("key"), "rep")
@@ -217,10 +220,11 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """`id_col`, n_chars, edited_text_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last quarter (rounded down) replaced by as much of the start of the next document,
-    ids ascending, the first after the last; rows of one id follow each other by text, a null id comes first.
-    The ids are cut into ranges at quantiles of all ids; each range is one sorted run of a task, which gets a
-    copy of the next range's first row. A task holds two texts and the current batch. The driver sees one id
-    per range. A single row is its own next; an empty table gives an empty result.
+    ids ascending, the first after the last; rows of one id follow each other by their first 16 characters and then
+    by a hash of the text, a null id comes first. The ids are cut into ranges at quantiles of all ids; each range is
+    one sorted run of a task, which gets a copy of the next range's first row. Texts travel compressed. A task
+    holds two texts and the current batch. The driver sees one id per range. A single row is its own next; an
+    empty table gives an empty result; other columns are not read.
     """
     walk = walk or Walk()
     spark = docs.sparkSession
@@ -242,18 +246,27 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
         lookup = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
         guests = rows.where(F.col("k").isin(*before)).select(lookup[F.col("k")].alias("range"), F.lit(True).alias("guest"), "k", "id", "text")
         own = own.unionByName(guests)
-    runs = own.repartition(parts, "range").sortWithinPartitions("range", "guest", "k", "text")
+    body = own.select("range", "guest", "k", "id", F.substring("text", 1, 16).alias("begin"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    packed, packed_arrow = schema_of("range int, guest boolean, k long, id long, begin string, h long, text binary")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            small = pa.array([squeeze(t) for t in batch.column(6).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], small], schema=packed_arrow)
+
+    runs = body.mapInArrow(shrink, packed).repartition(parts, "range").sortWithinPartitions("range", "guest", "k", "begin", "h").drop("begin", "h")
     struct, arrow = schema_of("__id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
+        whole = zstandard.ZstdDecompressor().decompress
         last = None  # range, id, text, codes, steps, fingerprint
         for batch in batches:
             out = []
             for where, guest, _, key, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if guest and (last is None or last[0] != where):
                     continue  # a further row with the first id of the next range
+                text = whole(text).decode()
                 codes = walk.codes(text)
                 steps = walk.steps(codes)
                 now = (where, key, text, codes, steps, walk.fingerprint(codes, steps))
@@ -275,4 +288,4 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 @register("op9_edit_fingerprint")
 def op9_edit_fingerprint(spark, sf_dir):
-    return similar_documents(fingerprints_with_next(table(spark, sf_dir, "documents")).checkpoint())
+    return similar_documents(written(fingerprints_with_next(table(spark, sf_dir, "documents")), "fingerprints"))
