@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +31,8 @@ CUTS = b".,;:!?\n\x0b\x0c\r"  # fixed: the characters between pieces
 BITS = 1 << 27  # of a bit set; its 16 MB are the most that is broadcast
 HELD_WORDS = 300_000  # distinct words a task keeps before it passes their counts on, or forgets their hashes
 HELD_PAIRS = 4_000_000  # occurrences a task gathers before it combines and passes them on
+HELD_WINDOWS = 2_000_000  # windows a task gathers before it combines and passes them on
+PACKED = 4096  # windows of a row
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + CUTS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(CUTS))
 
 
@@ -139,14 +142,30 @@ def pair_counts(texts: DataFrame, seed: int, frequent_words) -> DataFrame:
 
 
 def window_counts(texts: DataFrame, seed: int, frequent_words, frequent_pairs, most: int) -> DataFrame:
-    """w1 .. w`most`, n: how often a window begins with a pair that may be frequent and goes on like this.
+    """w1, w2, w3, tails: the windows that begin with the pair (w1, w2), which may be frequent, and go on like this.
 
-    A window ends (with zeros) before a pair that cannot be frequent, at the piece's end, or full. Tasks combine
-    equal windows; they are not summed over tasks.
+    A window ends (with zeros) before a pair that cannot be frequent, at the piece's end, or full. A task combines
+    equal windows and packs those of one pair, in order, into rows of at most `PACKED`: `tails` has
+    w3 .. w`most` and the count of each, w3 is that of the first. Counts are not summed over tasks.
     """
-    struct, arrow = schema_of(", ".join(f"w{i + 1} long" for i in range(most)) + ", n long")
+    struct, arrow = schema_of("w1 long, w2 long, w3 long, tails binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort(rows.T[::-1])]
+            starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+            rows, n = rows[starts], np.diff(np.r_[starts, len(rows)])
+            at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+            place = np.arange(len(rows)) - np.repeat(at, np.diff(np.r_[at, len(rows)]))
+            at = np.flatnonzero(place % PACKED == 0)
+            tails = np.ascontiguousarray(np.c_[rows[:, 2:], n])
+            offsets = (np.r_[at, len(rows)] * tails.itemsize * tails.shape[1]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(tails)])
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[at, i]) for i in range(3)), packed], schema=arrow)
+
         for codes in _codes(batches, seed, frequent_words.value):
             pair = (codes[:-1] != 0) & (codes[1:] != 0)
             at = np.flatnonzero(pair)
@@ -155,66 +174,86 @@ def window_counts(texts: DataFrame, seed: int, frequent_words, frequent_pairs, m
             if not len(first):
                 continue
             pair, codes = np.r_[pair, np.zeros(most, bool)], np.r_[codes, np.zeros(most, np.int64)]
-            columns, goes = [codes[first]], np.ones(len(first), bool)
+            rows, goes = np.zeros((len(first), most), np.int64), np.ones(len(first), bool)
+            rows[:, 0] = codes[first]
             for k in range(1, most):
                 goes = goes & pair[first + k - 1]
-                columns.append(np.where(goes, codes[first + k], 0))
-            order = np.lexsort(columns[::-1])
-            columns = [c[order] for c in columns]
-            new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
-            starts = np.flatnonzero(new)
-            yield pack(arrow, [*(c[starts] for c in columns), np.diff(np.r_[starts, len(order)])])
+                rows[:, k] = np.where(goes, codes[first + k], 0)
+            held.append(rows)
+            size += len(rows)
+            if size > HELD_WINDOWS:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     return texts.mapInArrow(run, struct)
 
 
+def _by_pair(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of sorted windows (rows of w1 .. w`most`, n) and for each whether its pair may also be in other blocks or tasks.
+
+    Blocks end where the pair changes. Only the first and the last pair of a task can have windows in other
+    tasks; only a pair of more than `HELD_WINDOWS` windows is given out in several blocks.
+    """
+    held: list[np.ndarray] = []
+    shared: list[tuple[int, int]] = []
+
+    def out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        block = np.concatenate(rows)
+        block = block[np.lexsort(block.T[-2::-1])]
+        return block, np.any([(block[:, 0] == a) & (block[:, 1] == b) for a, b in shared], axis=0)
+
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(3)).to_numpy() // (8 * (most - 1))
+        tails = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, most - 1)
+        if not len(tails):
+            continue
+        rows = np.c_[np.repeat(np.c_[batch.column(0).to_numpy(), batch.column(1).to_numpy()], sizes, axis=0), tails]
+        if not shared:
+            shared.append((rows[0, 0], rows[0, 1]))
+        whole = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(1))[0])
+        if whole or held and (held[-1][-1, :2] != rows[0, :2]).any():
+            done = [*held, rows[:whole]]
+            held = [rows[whole:]]
+            if sum(map(len, done)):
+                yield out(done)
+        else:
+            held.append(rows)
+            if sum(map(len, held)) > HELD_WINDOWS:
+                shared.append((rows[0, 0], rows[0, 1]))
+                yield out(held)
+                held = []
+    if held:
+        shared.append((held[-1][-1, 0], held[-1][-1, 1]))
+        yield out(held)
+
+
 def prefix_counts(windows: DataFrame, most: int, least: int) -> DataFrame:
     """w1 .. w`most`, n of every phrase of two words or more that occurs `least` times, from one pass in prefix order.
 
-    Ranges of windows are dealt over tasks, whatever they begin with. A range's first and last phrase of each length
-    may go on in its neighbours, so those are passed on whatever their count and summed afterwards.
+    Ranges of windows are dealt over tasks; a pair with very many windows may fill several. Phrases of a pair that
+    is not whole in one block are passed on whatever their count, and summed afterwards.
     """
     names = [f"w{i + 1}" for i in range(most)]
     struct, arrow = schema_of(", ".join(f"{n} long" for n in names) + ", n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[tuple | None] = [None] * (most + 1)  # of each length: the phrase that the last row begins with, its count
-        first = [True] * (most + 1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = np.stack([batch.column(i).to_numpy() for i in range(most)])
-            n = batch.column(most).to_numpy()
-            new = np.zeros(len(n), bool)
-            new[0] = True
-            keys, sums = [], []
-            new[1:] = cols[0, 1:] != cols[0, :-1]
+        for rows, shared in _by_pair(batches, most):
+            new, keys, sums = np.arange(len(rows)) == 0, [], []
+            new[1:] = rows[1:, 0] != rows[:-1, 0]
             for size in range(2, most + 1):
-                new = new | np.r_[True, cols[size - 1, 1:] != cols[size - 1, :-1]]
+                new[1:] |= rows[1:, size - 1] != rows[:-1, size - 1]
                 starts = np.flatnonzero(new)
-                count = np.add.reduceat(n, starts)
-                key = cols[:, starts].copy()
-                key[size:] = 0
-                if open_[size] is not None:
-                    before, total = open_[size]
-                    if (before == key[:, 0]).all():
-                        count[0] += total
-                    else:
-                        key, count = np.c_[before, key], np.r_[total, count]
-                open_[size] = (key[:, -1], count[-1])
-                key, count = key[:, :-1], count[:-1]
-                keep = count >= least
-                if first[size] and len(count):
-                    keep[0], first[size] = True, False
-                keep &= key[size - 1] != 0 if len(count) else keep
-                keys.append(key[:, keep])
+                count = np.add.reduceat(rows[:, most], starts)
+                keep = ((count >= least) | shared[starts]) & (rows[starts, size - 1] != 0)
+                key = rows[starts[keep], :most]
+                key[:, size:] = 0
+                keys.append(key)
                 sums.append(count[keep])
-            yield pack(arrow, [*np.concatenate(keys, axis=1), np.concatenate(sums)])
-        last = [x for size, x in enumerate(open_) if x is not None and x[0][size - 1]]
-        if last:
-            yield pack(arrow, [*np.stack([k for k, _ in last], axis=1), np.array([c for _, c in last])])
+            yield pack(arrow, [*np.concatenate(keys).T, np.concatenate(sums)])
 
-    ranges = windows.repartitionByRange(*names).sortWithinPartitions(*names)
+    ranges = windows.repartitionByRange("w1", "w2", "w3").sortWithinPartitions("w1", "w2", "w3")
     return ranges.mapInArrow(run, struct).groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 

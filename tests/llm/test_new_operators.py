@@ -64,6 +64,7 @@ def test_collocations(session, monkeypatch):
 
 def test_collocations_keep_counts_over_ranges_and_false_bits(session, monkeypatch):
     monkeypatch.setattr(collocations, "BITS", 64)  # nearly every bit is set, so nothing is pruned
+    monkeypatch.setattr(collocations, "PACKED", 3)
     rows = [("en", "p q r s t p q r s t")] * 40 + [("en", f"p q u{i} p q") for i in range(60)]
     df = session.createDataFrame(rows, "lang string, text string").repartition(9)
     assert sorted(map(tuple, collocations.collocations(df, least=20).collect())) == plain_collocations(rows, 20, 2000)
@@ -230,3 +231,27 @@ def test_toxicity_on_held_out_rows_and_odd_texts(session):
         empty = toxic_segments.fit_toxicity(part, marks.where("toxic = 0"))
         assert not empty.weights and {r.score < 1e-9 for r in toxic_segments.toxic_passages(docs, empty).collect()} == {True}
     assert toxic_segments.toxic_passages(docs.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("most_held", [2_000_000, 5])
+def test_pairs_over_blocks(monkeypatch, most_held):
+    """Sums over all blocks give each window's count, and every pair in more than one block or at an end is marked."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "HELD_WINDOWS", most_held)
+    rng = np.random.default_rng(4)
+    rows = np.c_[rng.integers(1, 4, (200, 2)), rng.integers(0, 3, (200, 3)), rng.integers(1, 9, 200)]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part[:, i]) for i in range(3)] + [pa.array([r[2:].tobytes() for r in part], pa.binary())], names=list("abcd")) for part in np.array_split(rows, 23)]
+    total, met, marked = Counter(), Counter(), set()
+    for block, shared in collocations._by_pair(iter(batches), 5):
+        for pair in {tuple(r[:2]) for r in block.tolist()}:
+            met[pair] += 1
+        marked |= {tuple(r[:2]) for r in block[shared].tolist()}
+        assert (np.lexsort(block.T[-2::-1]) == np.arange(len(block))).all()
+        for r in block.tolist():
+            total[tuple(r[:5])] += r[5]
+    want = Counter()
+    for r in rows.tolist():
+        want[tuple(r[:5])] += r[5]
+    assert total == want and {p for p, k in met.items() if k > 1} <= marked and {tuple(rows[0, :2].tolist()), tuple(rows[-1, :2].tolist())} <= marked
