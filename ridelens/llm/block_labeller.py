@@ -27,13 +27,16 @@ from ridelens.llm.base import pack, register, schema_of, table
 PATH_DIMS, WORD_DIMS, NUMBERS = 128, 32, 7
 WIDTH = 24
 PAGES, LONGEST_PAGE, LAYOUTS = 300, 60_000, 1500  # bounds of the sample: pages, characters of one; made-up pages
+LONGEST_LESSON = 150  # blocks of a page that is learned from, at most
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 _NAME = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg iframe object canvas math".split())
+_INLINE |= frozenset("object canvas math maction menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics "
+                     "svg circle defs ellipse g line path polygon polyline rect symbol text textPath tspan use".lower().split())
+_RAW = frozenset("script style template textarea title iframe".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ALIKE = {"li": "li", "dt": "dd dt", "dd": "dd dt", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}
 
@@ -111,6 +114,9 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
             if block:
                 flush()
+            if end is None:  # one that is never closed ends with the element around it
+                around = next((t for t, _ in reversed(stack) if t not in _INLINE), None)
+                end = around and re.compile(f"(?=</{re.escape(around)}\\s*>)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if block:
@@ -153,7 +159,7 @@ class Hasher:
         """A row per block."""
         n = len(seq)
         out = np.zeros((n, PATH_DIMS + WORD_DIMS + NUMBERS))
-        for begin, dims, lists in ((0, PATH_DIMS, [[*b.path[-14:], *(f"{x}/{y}" for x, y in zip(b.path[-4:], b.path[-3:]))] for b in seq]), (PATH_DIMS, WORD_DIMS, [b.text.lower().split() for b in seq])):
+        for begin, dims, lists in ((0, PATH_DIMS, [[*b.path, *(f"{x}/{y}" for x, y in zip(b.path[-4:], b.path[-3:]))] for b in seq]), (PATH_DIMS, WORD_DIMS, [b.text.lower().split() for b in seq])):
             size = np.array([len(x) for x in lists])
             h = np.array(self.ids([w for x in lists for w in x]), np.int64)
             row = np.repeat(np.arange(n), size)
@@ -364,11 +370,12 @@ def train(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> Labeller
         if seq:
             which = np.searchsorted(ends, [b.offset for b in seq], "right")
             rows.append((hasher.vectors(seq), np.array([float(pieces[i][1]) for i in which])))
-    return Labeller().fit([r for r in rows if len(r[1]) <= 150])
+    return Labeller().fit([r for r in rows if len(r[1]) <= LONGEST_LESSON])
 
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = PAGES) -> Labeller | None:
-    """Trained on the `most` pages with the lowest id hashes, of those of at most `LONGEST_PAGE` characters."""
+    """Trained on the `most` pages with the lowest id hashes, of those of at most `LONGEST_PAGE` characters, and on
+    `LAYOUTS` pages made from their texts; pages of more than `LONGEST_LESSON` blocks teach nothing."""
     few = pages.where(F.length(html_col) <= LONGEST_PAGE).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(most)
     got = pages.where(F.length(html_col) <= LONGEST_PAGE).select(F.col(id_col).alias("i"), F.col(html_col).alias("page")).join(F.broadcast(few.select("i").distinct()), "i").orderBy("i").limit(2 * most).collect()
     return train([r["page"] for r in got])

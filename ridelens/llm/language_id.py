@@ -73,11 +73,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 4, rate: float = 4.0, seed: int = 7, most_error: float = 0.01) -> Model | None:
+def train(texts: list[bytes], labels: list[str], epochs: int = 4, rate: float = 4.0, seed: int = 7, most_error: float = 0.05) -> Model | None:
     """Fit on four fifths of the rows; heat and rejection bound on the last fifth. None without rows.
 
     Each row counts whole and once more as a random excerpt of up to 20 words, so that short texts are known
-    too. The bound is the smallest probability above which at most `most_error` of the kept rows are wrong.
+    too. The bound is the smallest probability above which at most `most_error` of the kept rows are wrong; where no
+    bound reaches that it is one, and only certain rows are accepted.
     """
     names = sorted(set(labels))
     if not names:
@@ -119,14 +120,14 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 4, rate: float =
     error = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(error <= most_error)
     least = float(sure[order[good[-1]]]) if len(good) else 1.0
-    return Model(names, scores, bias, heat, min(least, 0.5))
+    return Model(names, scores, bias, heat, least)
 
 
-def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """At most `rows` usable rows of each of the `LANGUAGES` commonest labels, by the hash of their id."""
+def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[bytes], list[str]]:
+    """At most `rows` usable rows of each of the `languages` commonest labels, by the hash of their id."""
     held = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= LONGEST))
     named = held.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     # only rows of low hashes, about four times as many as are wanted, reach the window
     low = F.pmod("h", F.lit(1 << 30)) < F.lit(4.0 * rows) / F.col("count") * (1 << 30)
     order = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id")
@@ -136,9 +137,13 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
     return [bytes(r["text"]) for r in got], [r["lang"] for r in got]
 
 
-def fit_language_id(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model learned from rows where `usable` holds and the label is not null."""
-    return train(*sample(docs, usable, id_col, text_col, lang_col))
+def fit_language_id(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+    """A model learned from rows where `usable` holds and the label is not null.
+
+    Of each of the `languages` commonest labels at most `rows` rows of at most `LONGEST` characters are used, one per
+    id; a rarer label is never predicted.
+    """
+    return train(*sample(docs, usable, id_col, text_col, lang_col, rows, languages))
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
