@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +32,7 @@ HELD_WORDS = 300_000  # distinct words a task keeps before it passes their count
 HELD_PAIRS = 4_000_000  # occurrences a task gathers before it combines and passes them on
 HELD_WINDOWS = 2_000_000  # windows a task gathers before it combines and passes them on
 PACKED = 4096  # windows of a row
+SLICES = 4096  # at least; more where there are many partitions
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + CUTS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(CUTS))
 
 
@@ -142,29 +142,31 @@ def pair_counts(texts: DataFrame, seed: int, frequent_words) -> DataFrame:
 
 
 def window_counts(texts: DataFrame, seed: int, frequent_words, frequent_pairs, most: int) -> DataFrame:
-    """w1, w2, w3, tails: the windows that begin with the pair (w1, w2), which may be frequent, and go on like this.
+    """slice, first, packed: the windows that begin with a pair that may be frequent and go on like this.
 
-    A window ends (with zeros) before a pair that cannot be frequent, at the piece's end, or full. A task combines
-    equal windows and packs those of one pair, in order, into rows of at most `PACKED`: `tails` has
-    w3 .. w`most` and the count of each, w3 is that of the first. Counts are not summed over tasks.
+    A window ends (with zeros) before a pair that cannot be frequent, at the piece's end, or full. A pair belongs
+    to one slice. A task combines equal windows and packs those of a slice, in order, into rows of at most `PACKED`
+    windows: w1 .. w`most` and the count of each; `first` is w3 of the first. Counts are not summed over tasks.
     """
-    struct, arrow = schema_of("w1 long, w2 long, w3 long, tails binary")
+    struct, arrow = schema_of("slice long, first long, packed binary")
+    slices = max(SLICES, 256 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             rows = np.concatenate(held)
+            rows = np.c_[_mix(rows[:, 0], rows[:, 1]) % slices, rows]
             rows = rows[np.lexsort(rows.T[::-1])]
             starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
             rows, n = rows[starts], np.diff(np.r_[starts, len(rows)])
-            at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+            at = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
             place = np.arange(len(rows)) - np.repeat(at, np.diff(np.r_[at, len(rows)]))
             at = np.flatnonzero(place % PACKED == 0)
-            tails = np.ascontiguousarray(np.c_[rows[:, 2:], n])
-            offsets = (np.r_[at, len(rows)] * tails.itemsize * tails.shape[1]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(tails)])
-            return pa.RecordBatch.from_arrays([*(pa.array(rows[at, i]) for i in range(3)), packed], schema=arrow)
+            body = np.ascontiguousarray(np.c_[rows[:, 1:], n])
+            offsets = (np.r_[at, len(rows)] * body.itemsize * body.shape[1]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+            return pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(rows[at, 3]), packed], schema=arrow)
 
         for codes in _codes(batches, seed, frequent_words.value):
             pair = (codes[:-1] != 0) & (codes[1:] != 0)
@@ -190,70 +192,60 @@ def window_counts(texts: DataFrame, seed: int, frequent_words, frequent_pairs, m
     return texts.mapInArrow(run, struct)
 
 
-def _by_pair(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of sorted windows (rows of w1 .. w`most`, n) and for each whether its pair may also be in other blocks or tasks.
+def _by_slice(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Blocks of sorted windows (rows of w1 .. w`most`, n) and for each whether its pairs may also be in other blocks or tasks.
 
-    Blocks end where the pair changes. Only the first and the last pair of a task can have windows in other
-    tasks; only a pair of more than `HELD_WINDOWS` windows is given out in several blocks.
+    A block is a slice. Only the first and the last slice of a task can have windows in other tasks; only a slice
+    of more than `HELD_WINDOWS` windows is given out in several blocks.
     """
     held: list[np.ndarray] = []
-    shared: list[tuple[int, int]] = []
+    now, size, shared = None, 0, True  # slice, its windows, and whether it is the first one or was cut
 
-    def out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        block = np.concatenate(rows)
-        block = block[np.lexsort(block.T[-2::-1])]
-        return block, np.any([(block[:, 0] == a) & (block[:, 1] == b) for a, b in shared], axis=0)
+    def out() -> np.ndarray:
+        block = np.concatenate(held)
+        return block[np.lexsort(block.T[-2::-1])]
 
     for batch in batches:
-        sizes = pc.binary_length(batch.column(3)).to_numpy() // (8 * (most - 1))
-        tails = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, most - 1)
-        if not len(tails):
-            continue
-        rows = np.c_[np.repeat(np.c_[batch.column(0).to_numpy(), batch.column(1).to_numpy()], sizes, axis=0), tails]
-        if not shared:
-            shared.append((rows[0, 0], rows[0, 1]))
-        whole = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(1))[0])
-        if whole or held and (held[-1][-1, :2] != rows[0, :2]).any():
-            done = [*held, rows[:whole]]
-            held = [rows[whole:]]
-            if sum(map(len, done)):
-                yield out(done)
-        else:
-            held.append(rows)
-            if sum(map(len, held)) > HELD_WINDOWS:
-                shared.append((rows[0, 0], rows[0, 1]))
-                yield out(held)
-                held = []
+        for slice_, packed in zip(batch.column(0).to_pylist(), batch.column(2)):
+            if now is not None and slice_ != now:
+                if held:
+                    yield out(), shared
+                held, size, shared = [], 0, False
+            now = slice_
+            held.append(np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, most + 1))
+            size += len(held[-1])
+            if size > HELD_WINDOWS:
+                yield out(), True
+                held, size, shared = [], 0, True
     if held:
-        shared.append((held[-1][-1, 0], held[-1][-1, 1]))
-        yield out(held)
+        yield out(), True
 
 
 def prefix_counts(windows: DataFrame, most: int, least: int) -> DataFrame:
     """w1 .. w`most`, n of every phrase of two words or more that occurs `least` times, from one pass in prefix order.
 
-    Ranges of windows are dealt over tasks; a pair with very many windows may fill several. Phrases of a pair that
+    Ranges of slices are dealt over tasks; a slice with very many windows may fill several. Phrases of a slice that
     is not whole in one block are passed on whatever their count, and summed afterwards.
     """
     names = [f"w{i + 1}" for i in range(most)]
     struct, arrow = schema_of(", ".join(f"{n} long" for n in names) + ", n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, shared in _by_pair(batches, most):
+        for rows, shared in _by_slice(batches, most):
             new, keys, sums = np.arange(len(rows)) == 0, [], []
             new[1:] = rows[1:, 0] != rows[:-1, 0]
             for size in range(2, most + 1):
                 new[1:] |= rows[1:, size - 1] != rows[:-1, size - 1]
                 starts = np.flatnonzero(new)
                 count = np.add.reduceat(rows[:, most], starts)
-                keep = ((count >= least) | shared[starts]) & (rows[starts, size - 1] != 0)
+                keep = ((count >= least) | shared) & (rows[starts, size - 1] != 0)
                 key = rows[starts[keep], :most]
                 key[:, size:] = 0
                 keys.append(key)
                 sums.append(count[keep])
             yield pack(arrow, [*np.concatenate(keys).T, np.concatenate(sums)])
 
-    ranges = windows.repartitionByRange("w1", "w2", "w3").sortWithinPartitions("w1", "w2", "w3")
+    ranges = windows.repartitionByRange("slice", "first").sortWithinPartitions("slice", "first")
     return ranges.mapInArrow(run, struct).groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 

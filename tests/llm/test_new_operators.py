@@ -234,24 +234,22 @@ def test_toxicity_on_held_out_rows_and_odd_texts(session):
 
 
 @pytest.mark.parametrize("most_held", [2_000_000, 5])
-def test_pairs_over_blocks(monkeypatch, most_held):
-    """Sums over all blocks give each window's count, and every pair in more than one block or at an end is marked."""
+def test_slices_over_blocks(monkeypatch, most_held):
+    """Sums over all blocks give each window's count, and every slice in more than one block or at an end is marked."""
     import pyarrow as pa
 
     monkeypatch.setattr(collocations, "HELD_WINDOWS", most_held)
     rng = np.random.default_rng(4)
-    rows = np.c_[rng.integers(1, 4, (200, 2)), rng.integers(0, 3, (200, 3)), rng.integers(1, 9, 200)]
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    batches = [pa.RecordBatch.from_arrays([pa.array(part[:, i]) for i in range(3)] + [pa.array([r[2:].tobytes() for r in part], pa.binary())], names=list("abcd")) for part in np.array_split(rows, 23)]
-    total, met, marked = Counter(), Counter(), set()
-    for block, shared in collocations._by_pair(iter(batches), 5):
-        for pair in {tuple(r[:2]) for r in block.tolist()}:
-            met[pair] += 1
-        marked |= {tuple(r[:2]) for r in block[shared].tolist()}
-        assert (np.lexsort(block.T[-2::-1]) == np.arange(len(block))).all()
+    rows = np.c_[rng.integers(1, 9, (200, 2)), rng.integers(0, 3, (200, 3)), rng.integers(1, 9, 200)]
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]  # the first word stands for the slice
+    batches = [pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 2]), pa.array([r.tobytes() for r in part], pa.binary())], names=list("abc")) for part in np.array_split(rows, 23)]
+    total, want, met, marked = Counter(), Counter(), Counter(), set()
+    for block, shared in collocations._by_slice(iter(batches), 5):
+        assert len(set(block[:, 0].tolist())) == 1 and (np.lexsort(block.T[-2::-1]) == np.arange(len(block))).all()
+        met[block[0, 0]] += 1
+        marked |= {block[0, 0]} if shared else set()
         for r in block.tolist():
             total[tuple(r[:5])] += r[5]
-    want = Counter()
     for r in rows.tolist():
         want[tuple(r[:5])] += r[5]
-    assert total == want and {p for p, k in met.items() if k > 1} <= marked and {tuple(rows[0, :2].tolist()), tuple(rows[-1, :2].tolist())} <= marked
+    assert total == want and {k for k, n in met.items() if n > 1} <= marked and {rows[0, 0], rows[-1, 0]} <= marked
