@@ -381,19 +381,19 @@ def _det(v: Views):
 
 @query("merge_bump", ["a_boxes"], f"""
 with {_MASK}, o as (select image // 4 as fr, *, (x0 + x1) * 0.5 as cx, (y0 + y1) * 0.5 as cy from a_boxes)
-select fr as frame, seq, price, source from o where source = 'A' and semantic_type not in ('pothole', 'speed_bump', 'manhole_cover')
+select fr as frame, seq, price, source from o where source in ('A', 'N') and semantic_type not in ('pothole', 'speed_bump', 'manhole_cover')
 union all select fr, seq, price, source from o left join mk on mk.frame = o.fr where source = 'R'
   and not (coalesce(has_occ, false) and cx >= ox0 and cx < ox1 and cy >= 100 and cy < 700)
 """)
 def _(v: Views):
     d = _det(v)
-    return spatial.merge_bump(d.where("source = 'A'"), d.where("source = 'R'"), _masks(v)).select("frame", "seq", "price", "source")
+    return spatial.merge_bump(d.where("source in ('A', 'N')"), d.where("source = 'R'"), _masks(v)).select("frame", "seq", "price", "source")
 
 
 @query("merge_sidecar", ["a_boxes"], f"""
 recursive {_MASK}, d as (select image // 4 as frame, seq, price, source, x0, y0, x1, y1, conf, case when line % 2 = 0 then quality end as cal, (x0 + x1) * 0.5 as cx, (y0 + y1) * 0.5 as cy from a_boxes),
 pm as (select * from mk where frame % 2 = 0), sm as (select frame, has_road and frame % 4 = 1 as has_road, rx0, rx1, has_occ, ox0, ox1 from mk where frame % 2 = 1),
-p as (select * from d where source = 'A'), s as (select * from d where source = 'R'),
+p as (select * from d where source in ('A', 'N')), s as (select * from d where source = 'R'),
 fr as (select s.*, row_number() over (partition by frame order by seq, price) as rn from s
        where not exists (select 1 from p where p.frame = s.frame and {_IOU.format(a='p.', b='s.')} >= 0.30)),
 k as (select distinct frame, 0::bigint as rn, []::struct(x0 double, y0 double, x1 double, y1 double)[] as kept, false as hit, null::bigint as seq, null::double as price from fr
@@ -412,7 +412,7 @@ union all select frame, seq, price, source, round(cal, 6) + 0.0 from p where fra
 def _(v: Views):
     d, mk = _det(v), _masks(v)
     side = mk.where("frame % 2 = 1").withColumn("road_polygon", F.when(F.col("frame") % 4 == 1, F.col("road_polygon")))
-    df = spatial.merge_sidecar(d.where("source = 'A'"), d.where("source = 'R'"), mk.where("frame % 2 = 0"), side, score=0.6)
+    df = spatial.merge_sidecar(d.where("source in ('A', 'N')"), d.where("source = 'R'"), mk.where("frame % 2 = 0"), side, score=0.6)
     return rounded(df, "calibrated_confidence").select("frame", "seq", "price", "source", "calibrated_confidence")
 
 

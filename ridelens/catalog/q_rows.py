@@ -213,11 +213,12 @@ def _(v: Views):
 
 @query("mask_runs", ["a_boxes"], """
 with px as (select distinct l_orderkey // 50 as mask_id, (l_partkey * 37 + l_linenumber) % 400 as pos from lineitem),
-f as (select m.mask_id, p.pos, (px.pos is not null)::int as value from (select distinct mask_id from px) m cross join range(400) p(pos) left join px on px.mask_id = m.mask_id and px.pos = p.pos),
-b as (select *, (value <> coalesce(lag(value) over (partition by mask_id order by pos), 0))::int as st from f),
-r as (select *, sum(st) over (partition by mask_id order by pos) as run from b)
-select mask_id, run::bigint as run, max(value)::int as value, count(*) as length from r group by mask_id, run
-union all select mask_id, 0, 0, 0 from f where pos = 0 and value = 1
+n as (select *, row_number() over (partition by mask_id order by pos) as i from px),
+s as (select mask_id, min(pos) as first, max(pos) as last, count(*) as length, row_number() over (partition by mask_id order by min(pos)) as k from n group by mask_id, pos - i),
+g as (select *, coalesce(lag(last) over (partition by mask_id order by k), -1) as before, lead(first) over (partition by mask_id order by k) as after from s)
+select mask_id, (2 * k - 1)::bigint as run, 1 as value, length from g
+union all select mask_id, (2 * k - 2)::bigint, 0, first - before - 1 from g where first - before > 1 or k = 1
+union all select mask_id, (2 * k)::bigint, 0, 399 - last from g where after is null and last < 399
 """)
 def _(v: Views):
     li = v.lineitem
@@ -268,6 +269,22 @@ def _(v: Views):
 _TEXT = rf"""regexp_replace(regexp_replace({_PATHS.format(c='{c}')}, '"latitude"\s*:\s*-?\d+(\.\d+)?', '"latitude": null', 'g'), '"longitude"\s*:\s*-?\d+(\.\d+)?', '"longitude": null', 'g')"""
 
 
+@query("redact_json_text", ["ev"], r"""
+select event_id, case when event_id % 50 = 0 then '{"broken": ' || k
+  else '{"code":' || to_json(event_type)::varchar || ',"n":' || k || ',"latitude":null,"geo":{"longest":"[redacted]","points":[{"lon":null,"tag":"t' || k || '"},{"deep":{"file_path":"[redacted]","ok":' ||
+  (case when k % 2 = 0 then 'true' else 'false' end) || ',"note":"see [path]","list":["[path]",' || k || ',null,["[path]"]]}}]},"flat":null,"platform":"[redacted]","none":null}' end as body
+from (select *, event_id % 97 as k from events)
+""")
+def _(v: Views):
+    k = F.col("event_id") % 97
+    deep = F.concat(
+        F.lit('{"code":'), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit(',"n":'), k, F.lit(',"latitude":31.5,"geo":{"longest":{"a":[1,2]},"points":[{"lon":2.5,"tag":"t'), k,
+        F.lit('"},{"deep":{"file_path":"/a/b","ok":'), F.when(k % 2 == 0, "true").otherwise("false"), F.lit(',"note":"see /a/b/c.mp4","list":["C:/x/y.JPG",'), k,
+        F.lit(',null,["/q/r.json"]]}}]},"flat":true,"platform":"x","none":null}'))
+    body = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit('{"broken": '), k)).otherwise(deep)
+    return rows.redact_json_text(v.events.select("event_id", body.alias("body")), "body")
+
+
 @query("redact_text", None, f"""
 with t as (select doc_id, text || ' {{"latitude": 31.2304, "longitude":-121.5}} at /sdcard/ride/' || doc_id || '.jsonl' as body from documents)
 select doc_id, {_TEXT.format(c='body')} as body from t

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +40,42 @@ def sensitive_key(key: Column) -> Column:
     return hit
 
 
+def plain_redact(value: Any, key: str = "") -> Any:
+    """One decoded JSON value under its nearest key: numbers and booleans under a sensitive key become null, anything
+    else there the marker; elsewhere paths are hidden in strings, and objects and lists are entered at any depth."""
+    if sensitive_name(key):
+        return None if isinstance(value, (int, float)) else "[redacted]"
+    if isinstance(value, str):
+        return re.sub(_CI_PATH, "[path]", value)
+    if isinstance(value, dict):
+        return {k: plain_redact(v, k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [plain_redact(v, key) for v in value]
+    return value
+
+
+def _redact_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        return json.dumps(plain_redact(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
+
+
+def redact_json(text: Column) -> Column:
+    """JSON text of any depth redacted by key, as compact JSON text; null where it is null or no JSON.
+
+    Built-in expressions have fixed depth, so the walk is an Arrow function over whole batches. Numbers keep their value
+    (integers exactly), keys their order; of a key that repeats in an object the last value stays.
+    """
+    @F.pandas_udf("string")
+    def walk(values: pd.Series) -> pd.Series:
+        return values.map(_redact_text, na_action="ignore")
+
+    return walk(text)
+
+
 _NUMERIC = (T.NumericType, T.BooleanType)
 
 
@@ -62,12 +103,3 @@ def redact(value: Column, dtype: T.DataType, name: str) -> Column:
             return F.when(sensitive_key(k), hidden).otherwise(plain)
         return F.transform_values(value, cell)
     return value
-
-
-def redact_map_text(value: Column) -> Column:
-    """For maps read from JSON as text: numbers under sensitive keys become null, other text the marker."""
-    def cell(k: Column, v: Column) -> Column:
-        number = v.rlike(r"^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false)$")
-        hidden = F.when(number, F.lit(None).cast("string")).otherwise(F.lit("[redacted]"))
-        return F.when(sensitive_key(k), hidden).otherwise(hide_paths(v))
-    return F.transform_values(value, cell)

@@ -291,9 +291,14 @@ def redact_events(events: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def redact_json_object(df: DataFrame, column: str) -> DataFrame:
-    """Redact a column of one-level JSON object text, key by key."""
-    parsed = F.from_json(F.col(column), T.MapType(T.StringType(), T.StringType()))
-    return df.withColumn(column, redaction.redact_map_text(parsed))
+    """Redact a column of JSON object text into a map of its outermost keys; nested values stay JSON text, redacted at any depth."""
+    return df.withColumn(column, F.from_json(redaction.redact_json(F.col(column)), T.MapType(T.StringType(), T.StringType())))
+
+
+def redact_json_text(df: DataFrame, column: str) -> DataFrame:
+    """Redact a column of free-form JSON text at any depth; it stays JSON text. Text that is no JSON is treated like a crash log."""
+    text = F.col(column)
+    return df.withColumn(column, F.coalesce(redaction.redact_json(text), redaction.crash_text(text)))
 
 
 def redact_text(logs: DataFrame, column: str) -> DataFrame:
