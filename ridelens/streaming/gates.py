@@ -13,7 +13,7 @@ from ridelens.functions import scoring
 from ridelens.operators import alert_policy as policy
 from ridelens.operators import tracking
 from ridelens.operators.rows import flag_impacts, gate_alerts, rows_where, score_alerts, status_columns
-from ridelens.streaming.state import RIDE_TTL_S, stateful
+from ridelens.streaming.state import RIDE_TTL_S, LateTagger, stateful
 
 NS_PER_MS = 1_000_000
 
@@ -92,6 +92,19 @@ def rate_windows(imu: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor
         *keys, F.unix_micros("window.start").alias("start_us"), "hz")
 
 
+def tag_late(rows: DataFrame, *, keys: Sequence[str] = ("session_id", "sensor_type"), ts: str = "timestamp_ns", delay_ns: int = 500 * NS_PER_MS, ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
+    """Every row with newest_ns and `late`: older than the newest row of its key in earlier micro-batches by more than `delay_ns`.
+
+    Nothing is dropped: rows that are not late go on to windows, late ones to a side table of anomalies, and both
+    together are the input. `newest_ns` is null in a key's first batch. The state is one number per key.
+    """
+    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+    out = StructType([*rows.schema.fields, StructField("newest_ns", LongType()), StructField("late", BooleanType())])
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=LateTagger(ts, delay_ns, ttl_s), outputStructType=out, outputMode="Append",
+                                                          timeMode="ProcessingTime" if ttl_s else "None")
+
+
 def crash_monitor(imu: DataFrame, *, key: str = "session_id", ts: str = "timestamp_ns", cfg: ImpactConfig = ImpactConfig(), ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """One row per session: the earliest severe sample of the first micro-batch that has one; later ones stay silent."""
     hits = flag_impacts(imu, cfg=cfg).where("severe").select(key, ts, "residual")

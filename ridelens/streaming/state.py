@@ -51,6 +51,31 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+class LateTagger(StatefulProcessor):
+    """Adds the newest event time of earlier micro-batches and whether a row lies more than `delay_ns` before it."""
+
+    def __init__(self, ts: str, delay_ns: int, ttl_s: int | None) -> None:
+        self.ts, self.delay_ns, self.ttl_ms = ts, delay_ns, ttl_s and ttl_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "newest_ns long", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = int(self.newest.get()[0]) if self.newest.exists() else None
+        top = before
+        for pdf in rows:
+            if len(pdf):
+                now = int(pdf[self.ts].max())
+                top = now if top is None else max(top, now)
+                late = pdf[self.ts] < before - self.delay_ns if before is not None else False
+                yield pdf.assign(newest_ns=pd.Series([before] * len(pdf), index=pdf.index, dtype="Int64"), late=late)
+        if top is not None:
+            self.newest.update((top,))
+
+    def close(self) -> None:
+        pass
+
+
 def stateful(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_state: Callable[[], Any], step: Step, schema: StructType | str,
              columns: Sequence[str], ttl_s: int | None = RIDE_TTL_S) -> DataFrame:
     """Keyed fold over a stream (state store: RocksDB, see `configure`).
