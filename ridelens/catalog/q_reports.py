@@ -120,6 +120,18 @@ def _(v: Views):
     return rounded(df, "impact_score").select("event_id", "session_id", "timestamp_ns", "impact_score")
 
 
+@query("impact_near_tracks", ["ev", "a_imu"], """
+with sp as (select event_id, session_id, timestamp_ns, round(least(1, abs(z - 9.81) / 12), 6) + 0.0 as impact_score from a_imu where sensor_type = 'ACCEL' and abs(z - 9.81) >= 3.5),
+tk as (select distinct session_id, t_ns, k % 40 as track_id from ev where event_type = 'purchase'),
+m as (select event_id, list(distinct track_id order by track_id) as ids from sp join tk on tk.session_id = sp.session_id and tk.t_ns between timestamp_ns - 60000000000 and timestamp_ns + 60000000000 group by 1)
+select event_id, session_id, timestamp_ns, impact_score, coalesce(array_to_string(ids, ','), '') as near_track_ids from sp left join m using (event_id)
+""")
+def _(v: Views):
+    seen = v.ev.where("event_type = 'purchase'").select("session_id", F.col("t_ns").alias("timestamp_ns"), (F.col("k") % 40).alias("track_id"))
+    df = reports.harvest_impact_windows(v.a_imu.where("sensor_type = 'ACCEL'"), near=seen, near_ns=60_000_000_000)
+    return rounded(df, "impact_score").select("event_id", "session_id", "timestamp_ns", "impact_score", F.array_join(F.col("near_track_ids").cast("array<string>"), ",").alias("near_track_ids"))
+
+
 # tracks seen at event times, so that accelerometer samples follow them
 _FUT = """
 tk as (select session_id, k % 40 as track_id, t_ns as timestamp_ns, event_id as seq, case k % 4 when 0 then 'CONFIRMED' when 1 then 'ALERTED' else 'TRACKED' end as lifecycle_state,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridelens.catalog.registry import Views, query
+from ridelens.catalog import q_hygiene  # noqa: F401  (its oracle is used below)
+from ridelens.catalog.registry import ORACLES, Views, query
 from ridelens.config import ImpactConfig
+from ridelens.operators import rows
 from ridelens.streaming import gates
 from ridelens.streaming.replay import replay
 
@@ -48,3 +50,12 @@ select session_id, min(timestamp_ns) as timestamp_ns from h where abs(norm - 9.8
 """)
 def _(v: Views):
     return replay(_arriving(v, False), "batch", BATCHES, lambda s: gates.crash_monitor(s.where("sensor_type = 'ACCEL'"), cfg=ImpactConfig(residual_threshold=5.0), ttl_s=None)).select("session_id", "timestamp_ns")
+
+
+@query("quality_stream", None, ORACLES["frame_status"])
+def _(v: Views):
+    frames = rows.classify_frames(v.a_frames).select("session_id", "sensor_timestamp_ns", "event_id", "usable", "visibility_class", "occluded_ratio", "thermal_c")
+    lo, hi = frames.agg(F.min("sensor_timestamp_ns"), F.max("sensor_timestamp_ns")).first()
+    batch = F.floor((F.col("sensor_timestamp_ns") - (lo or 0)) * BATCHES / ((hi or 0) - (lo or 0) + 1)).cast("int")
+    out = replay(frames.withColumn("batch", batch), "batch", BATCHES, lambda s: gates.quality_stream(s, ttl_s=None))
+    return out.select("session_id", "event_id", "status", "thermal_reason", "skip_far_roi", "infer_period_ns")

@@ -244,11 +244,27 @@ def crash_scan(imu: DataFrame, *, keys: Sequence[str] = ("session_id",), seq: st
         F.max(F.when(F.col("severe"), F.col("residual"))).alias("max_residual")).withColumn("used_for_alert", F.lit(False))
 
 
-def harvest_impact_windows(accel: DataFrame, *, cfg: ImpactConfig = ImpactConfig()) -> DataFrame:
-    """Accelerometer rows with a vertical spike and their 0..1 score."""
+def harvest_impact_windows(accel: DataFrame, *, near: DataFrame | None = None, near_ns: int = 200_000_000, key: str = "session_id", ts: str = "timestamp_ns",
+                           row: str = "event_id", cfg: ImpactConfig = ImpactConfig()) -> DataFrame:
+    """Accelerometer rows with a vertical spike and their 0..1 score.
+
+    With `near` (rows of `key`, `ts`, track_id) each spike also gets near_track_ids: the tracks seen within `near_ns`
+    of it, ascending, an empty array where there are none. `row` tells the samples of one `key` and `ts` apart. Spikes are
+    few, so they go to three time buckets each and the tracks to one; both sides are combined per bucket by a plain join.
+    """
     az = scoring.vertical_residual(F.coalesce("z", F.lit(0.0)), cfg)
-    return accel.withColumn("_az", az).where(F.col("_az") >= cfg.spike_ms2).withColumn(
+    out = accel.withColumn("_az", az).where(F.col("_az") >= cfg.spike_ms2).withColumn(
         "impact_score", F.least(F.lit(1.0), F.col("_az") / cfg.full_scale_ms2)).withColumn("used_for_alert", F.lit(False)).drop("_az")
+    if near is None:
+        return out
+    bucket = F.floor(F.col(ts) / near_ns)
+    spikes = out.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(row).alias("_row"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_bucket"))
+    seen = near.select(F.col(key).alias("_key"), F.col(ts).alias("_seen"), "track_id", bucket.alias("_bucket")).distinct()
+    met = spikes.join(seen, ["_key", "_bucket"]).where(F.abs(F.col("_seen") - F.col("_ts")) <= near_ns)
+    ids = met.groupBy("_key", "_ts", "_row").agg(F.array_sort(F.collect_set("track_id")).alias("near_track_ids"))
+    same = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col(ts) == F.col("_ts")) & (F.col(row) == F.col("_row"))
+    joined = out.join(ids, same, "left").drop("_key", "_ts", "_row")
+    return joined.withColumn("near_track_ids", F.coalesce("near_track_ids", F.array().cast(joined.schema["near_track_ids"].dataType)))
 
 
 # --- calibration and hard negatives -----------------------------------------------------------------

@@ -18,18 +18,19 @@ def _folder(spark: SparkSession) -> str:
 
 
 def replay(rows: DataFrame, batch: str, batches: int, gate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows that `gate` appends when `rows` arrive in `batches` micro-batches, numbered from 0 in column `batch`.
+    """The rows that `gate` appends when `rows` arrive in `batches` parts, numbered from 0 in column `batch`.
 
-    Every batch is written as the same number of files and the source takes that many files at a time, oldest
-    first. The stream ends by itself (`availableNow`); its rows go through a Parquet sink.
+    Each part is written to the source folder, then the stream takes up what is new and ends by itself
+    (`availableNow`); state and offsets live on in its checkpoint. Its rows go through a Parquet sink.
     """
     spark = rows.sparkSession
     configure(spark)
-    folder, files = _folder(spark), spark.sparkContext.defaultParallelism
+    folder = _folder(spark)
+    stream = None
     for i in range(batches):
-        rows.where(F.col(batch) == i).repartition(files).write.mode("append").parquet(f"{folder}/in")
-    stream = gate(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))
-    running = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-               .outputMode("append").trigger(availableNow=True).start())
-    running.awaitTermination()
+        rows.where(F.col(batch) == i).write.mode("append").parquet(f"{folder}/in")
+        stream = gate(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        running = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+                   .outputMode("append").trigger(availableNow=True).start())
+        running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
