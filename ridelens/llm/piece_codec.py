@@ -92,6 +92,8 @@ class Codec:
         self.chars, self.char_symbols = (np.array(x, dtype=np.int64) for x in zip(*chars))
         self.byte_of = {int(i): b for b, i in enumerate(pieces.byte_ids)}
         self.shown = ["" if h else t.replace(SPACE_MARK, " ") for t, h in zip(pieces.texts, pieces.hidden)]
+        self.decimals = [str(i) for i in range(len(pieces.texts))]
+        self.is_byte = np.isin(np.arange(len(pieces.texts)), pieces.byte_ids)
         self.words: dict[str, tuple[str, bytes, str]] = {}
         self.held = 0
 
@@ -123,11 +125,12 @@ class Codec:
         keep[hit + 1] = False
         return sym[keep], seg[keep], code[keep]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Piece ids of each word (words hold space marks instead of spaces)."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all words one after another, and the place where each word's begin, with the end
+        (words hold space marks instead of spaces)."""
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         if not len(code):
-            return [np.zeros(0, np.int64) for _ in words]
+            return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         at, known = self._find(self.chars, code)
         sym = np.where(known, self.char_symbols[at], self.n + 1)
@@ -165,20 +168,14 @@ class Codec:
         pos, sym = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(pos, kind="stable")
         pos, sym = pos[order], sym[order]
-        whole = sym < len(self.pieces.texts)
-        cuts = np.searchsorted(word[pos], np.arange(len(words) + 1))
-        if whole.all():
-            return np.split(sym, cuts[1:-1])
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if whole[a:b].all():
-                out.append(sym[a:b])
-                continue
-            ids: list[int] = []
-            for s, c, ok in zip(sym[a:b].tolist(), code[pos[a:b]].tolist(), whole[a:b].tolist()):
-                ids += [s] if ok else self.pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))].tolist()
-            out.append(np.array(ids, np.int64))
-        return out
+        owner, odd = word[pos], sym >= len(self.pieces.texts)
+        if odd.any():  # characters without a piece become the pieces of their bytes
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code[pos[odd]].tolist()]
+            size = np.ones(len(sym), np.int64)
+            size[odd] = [len(r) for r in raw]
+            sym, owner, odd = (np.repeat(x, size) for x in (sym, owner, odd))
+            sym[odd] = self.pieces.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return sym, np.searchsorted(owner, np.arange(len(words) + 1))
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of piece ids; `first`: they begin a text, whose leading space mark is not part of it."""
@@ -203,10 +200,14 @@ class Codec:
         if self.held > CACHED_BYTES:
             self.words, self.held = {}, 0
         new = list({w for words in texts_words for w in words} - self.words.keys())
-        for word, ids in zip(new, self.encode_words(new)):
-            shown = ids.tolist()
-            entry = self.words[word] = (" ".join(map(str, shown)), ids.astype(np.int32).tobytes(), self.decode(shown, first=False))
-            self.held += 300 + 2 * len(word) + len(entry[0]) + len(entry[1]) + 2 * len(entry[2])
+        flat, cuts = self.encode_words(new)
+        ids, raw = flat.tolist(), flat.astype(np.int32).tobytes()
+        decimals, shown = [self.decimals[i] for i in ids], [self.shown[i] for i in ids]
+        odd = np.diff(np.r_[0, np.cumsum(self.is_byte[flat])][cuts]) > 0
+        for word, a, b, bytes_ in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), odd.tolist()):
+            text = self.decode(ids[a:b], first=False) if bytes_ else "".join(shown[a:b])
+            entry = self.words[word] = (" ".join(decimals[a:b]), raw[4 * a:4 * b], text)
+            self.held += 300 + 2 * len(word) + len(entry[0]) + len(entry[1]) + 2 * len(text)
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, bytes, str]]:
         """Of each text: all ids with the end id, as decimals joined by a space and as int32 bytes, and the decoded text."""
