@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,9 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared checkpoint folder; below the warehouse only where none is named."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{kind}/{uuid4().hex}"

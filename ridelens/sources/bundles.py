@@ -21,18 +21,48 @@ def _exists(spark: SparkSession, glob: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _table_format(spark: SparkSession, folder: str) -> str | None:
+    """`json` or `parquet` by the first data file of a written table, None where there is none; lists no further."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(path, True) if fs.exists(path) else None
+    while files is not None and files.hasNext():
+        name = files.next().getPath().getName()
+        if name.startswith("part-"):
+            return "json" if ".json" in name else "parquet"
+    return None
+
+
+def _read_table(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame | None:
+    """A log that `write_session_tables` wrote, under its own name or as a part of `imu`."""
+    for folder, extra in ((kind, ""), ("imu", ", imu_log STRING")):
+        fmt = _table_format(spark, f"{root}/{folder}") if folder == kind or kind in V.IMU_LOGS.values() else None
+        if fmt:
+            reader = spark.read.schema(f"session_id STRING, {schema}{extra}").option("columnNameOfCorruptRecord", "_corrupt_record")
+            df = reader.format(fmt).load(f"{root}/{folder}")
+            return df.where(F.col("imu_log") == kind).drop("imu_log") if extra else df
+    return None
+
+
 def read_log(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """One log over all sessions. Blank lines are skipped, a log nobody wrote is an empty table, and a
-    broken line is kept in `_corrupt_record`. `line_offset` orders rows as written within their file."""
+    """One log over all sessions, from bundles or from the tables that `write_session_tables` wrote below `root`.
+
+    Blank lines are skipped, a log nobody wrote is an empty table, and a broken line is kept in `_corrupt_record`.
+    `line_offset` orders rows as written within their file. Tables give the columns of the log's schema; a null or
+    empty session id comes back as null.
+    """
     rel, ddl = LOGS[kind]
     glob = f"{root}/session_*/{rel}"
     schema = f"{ddl}, _corrupt_record STRING"
-    if not _exists(spark, glob):
-        return spark.createDataFrame([], f"session_id STRING, {schema}, file_block BIGINT, line_offset BIGINT")
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt_record").json(glob)
+    if _exists(spark, glob):
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(glob)
+        session = F.regexp_extract("_metadata.file_path", _SESSION, 1)
+    else:
+        df, session = _read_table(spark, root, kind, schema), F.col("session_id")
+        if df is None:
+            return spark.createDataFrame([], f"session_id STRING, {schema}, file_block BIGINT, line_offset BIGINT")
     return df.select(
-        F.regexp_extract("_metadata.file_path", _SESSION, 1).alias("session_id"), "*",
+        session.alias("session_id"), *[c for c in df.columns if c != "session_id"],
         F.col("_metadata.file_block_start").alias("file_block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line_offset"))
 

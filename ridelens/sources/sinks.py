@@ -6,22 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridelens.operators.rows import coarsen_locations, redact_events
 from ridelens.plans.fold import ordered_fold
+from ridelens.schemas import LOGS
 from ridelens.sources.bundles import route_imu
 
 SHARE_NOTE = " | share pack: GPS coarsened, paths and coordinates redacted"
 
 
+def _as_log(df: DataFrame, kind: str) -> DataFrame:
+    """Columns of a log's schema get its types; a value that does not fit stops the write. Other columns stay."""
+    types = {f.name: f.dataType for f in StructType.fromDDL(LOGS[kind][1])} if kind in LOGS else {}
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+
 def write_session_tables(tables: dict[str, DataFrame], out: str, *, fmt: str = "parquet", buckets: int = 64) -> None:
-    """One dataset per log, partitioned by session. Rows are spread by (session, time hash), so a long
-    ride is written by many tasks instead of one."""
+    """One dataset per log, partitioned by session; `read_log` reads it back. Rows are spread by (session, time
+    hash), so a long ride is written by many tasks instead of one."""
     for name, df in tables.items():
         parts = ["session_id"]
-        data = df
+        data = _as_log(df, "gyro" if name == "imu" else name)
         if name == "imu":
-            data, parts = route_imu(df), ["session_id", "imu_log"]
+            data, parts = route_imu(data), ["session_id", "imu_log"]
         salt = next((c for c in ("timestamp_ns", "sensor_timestamp_ns") if c in data.columns), None)
         if salt:
             data = data.withColumn("_salt", F.pmod(F.floor(F.col(salt) / 60_000_000_000), F.lit(buckets)))

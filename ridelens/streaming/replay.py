@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridelens.session import shared_folder
 from ridelens.streaming.state import configure
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; below the warehouse only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/streams/{uuid4().hex}"
-
-
 def replay(rows: DataFrame, batch: str, batches: int, gate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that `gate` appends when `rows` arrive in `batches` parts, numbered from 0 in column `batch`.
 
@@ -25,7 +19,7 @@ def replay(rows: DataFrame, batch: str, batches: int, gate: Callable[[DataFrame]
     """
     spark = rows.sparkSession
     configure(spark)
-    folder = _folder(spark)
+    folder = shared_folder(spark, "streams")
     stream = None
     for i in range(batches):
         rows.where(F.col(batch) == i).write.mode("append").parquet(f"{folder}/in")

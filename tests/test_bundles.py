@@ -97,6 +97,32 @@ def test_manifest_update_and_writers(spark, root, tmp_path):
     assert json.loads(spark.read.text(f"{out}/report").where("session_id = 'a'").first().value) == {"session_id": "a", "video_segments": 1}
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_written_tables_are_read_back(spark, root, tmp_path, fmt):
+    """Both formats, ids that look like numbers, a narrower type than the log's, no rows at all, a log nobody wrote."""
+    out = str(tmp_path / fmt)
+    frames = bundles.read_log(spark, root, "frames").where("_corrupt_record is null")
+    alerts = bundles.read_log(spark, root, "alerts")
+    imu = spark.createDataFrame([("007", 1, "GYRO", 1.0), ("007", 2, "ACCEL", 2.0), ("a b:c", 3, "what", 3.0), (None, 4, "ACCEL", 4.0)],
+                                "session_id string, timestamp_ns int, sensor_type string, x double")
+    sinks.write_session_tables({"frames": frames, "alerts": alerts, "imu": imu, "marks": bundles.read_log(spark, root, "marks")}, out, fmt=fmt)
+    back = bundles.read_log(spark, out, "frames")
+    assert back.columns == bundles.read_log(spark, root, "frames").columns
+    logged = [c for c in frames.columns if c not in ("file_block", "line_offset")]
+    plain = lambda df: sorted(map(str, df.select(*logged).collect()))
+    assert plain(back) == plain(frames)
+    assert json.loads(bundles.read_log(spark, out, "alerts").first().snapshot) == {"lat": 3.5, "note": "/x/y.mp4"}
+    got = {k: sorted((str(r.session_id), r.timestamp_ns, r.x) for r in bundles.read_log(spark, out, k).collect()) for k in ("gyro", "accelerometer", "rotation_vector")}
+    assert got == {"gyro": [("007", 1, 1.0), ("a b:c", 3, 3.0)], "accelerometer": [("007", 2, 2.0), ("None", 4, 4.0)], "rotation_vector": []}
+    assert bundles.read_log(spark, out, "marks").count() == 0 and bundles.read_log(spark, out, "road").count() == 0
+
+
+def test_written_tables_refuse_what_does_not_fit(spark, tmp_path):
+    bad = spark.createDataFrame([("a", "soon")], "session_id string, timestamp_ns string")
+    with pytest.raises(Exception, match="soon"):
+        sinks.write_session_tables({"marks": bad}, str(tmp_path / "bad"))
+
+
 def test_share_leaves_source(spark, root, tmp_path):
     loc = spark.createDataFrame([("a", 1, 31.23456, 121.5, 5.0)], "session_id string, timestamp_ns long, latitude double, longitude double, horizontal_accuracy_m double")
     rt = spark.createDataFrame([("a", 1, 0.4, 12.5)], "session_id string, timestamp_ns long, blur double, latency_p95_ms double")
@@ -107,6 +133,7 @@ def test_share_leaves_source(spark, root, tmp_path):
     assert (shared.latitude, shared.horizontal_accuracy_m, shared.privacy) == (31.23, 150.0, "coarsened")
     runtime = sinks.share_tables(tables)["runtime"].first()
     assert runtime.blur == 0.4 and runtime.latency_p95_ms is None  # the key contains "lat"
+    assert bundles.read_log(spark, out, "location").first().latitude == 31.23
     man = spark.read.json(f"{out}/manifest").where("session_id = 'a'").first()
     assert man.privacy_mode == "SHARE_REDACTED" and man.notes.endswith("coordinates redacted") and "/x/y.mp4" not in json.dumps(sinks.share_tables(tables)["alerts"].first().asDict(), default=str)
     assert loc.first().latitude == 31.23456
