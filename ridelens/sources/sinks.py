@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridelens.operators.rows import coarsen_locations, redact_events
-from ridelens.plans.fold import ordered_fold
+from ridelens.plans.packing import next_fit
 from ridelens.schemas import LOGS
 from ridelens.sources.bundles import route_imu
 
@@ -96,25 +96,10 @@ def write_cvat(lines: DataFrame, out: str, *, key: str = "session_id", order: Se
 def plan_export_volumes(inventory: DataFrame, max_bytes: int = 512 * 1024 * 1024, *, key: str = "session_id") -> DataFrame:
     """Volume number of each file: path order, a new volume when the next file would pass the cap.
 
-    Greedy packing depends on everything before it, so each session's files are walked in path order by
-    a streaming fold that keeps only the open volume's size.
+    One ride may hold most files: they are numbered from prefix sums and pointer doubling, not walked in one
+    task. A file larger than the cap is a volume of its own; a null or negative length counts as zero bytes.
     """
-    types = dict(inventory.dtypes)
-
-    def new_state() -> dict:
-        return {"vol": 1, "size": 0, "n": 0}
-
-    def step(state: dict, c: dict, span: range, out: list) -> None:
-        for i in span:
-            size = c["length"][i]
-            if state["n"] and state["size"] + size > max_bytes:
-                state.update(vol=state["vol"] + 1, size=0, n=0)
-            state["size"] += size
-            state["n"] += 1
-            out.append((c[key][i], c["path"][i], size, state["vol"]))
-
-    return ordered_fold(inventory.select(key, "path", "length"), [key], ["path"], new_state, step,
-                        f"{key} {types[key]}, path string, length long, volume int")
+    return next_fit(inventory.select(key, "path", "length"), [key], ["path"], "length", max_bytes, name="volume")
 
 
 def volume_sizes(plan: DataFrame, *, key: str = "session_id") -> DataFrame:
