@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridelens.catalog import q_hygiene  # noqa: F401  (its oracle is used below)
+from ridelens.catalog import q_hygiene, q_joins  # noqa: F401  (their oracles are used below)
 from ridelens.catalog.registry import ORACLES, Views, query
 from ridelens.config import ImpactConfig
 from ridelens.operators import rows
-from ridelens.streaming import gates
+from ridelens.streaming import clips, gates
 from ridelens.streaming.replay import replay
 
 BATCHES = 4
@@ -59,3 +59,19 @@ def _(v: Views):
     batch = F.floor((F.col("sensor_timestamp_ns") - (lo or 0)) * BATCHES / ((hi or 0) - (lo or 0) + 1)).cast("int")
     out = replay(frames.withColumn("batch", batch), "batch", BATCHES, lambda s: gates.quality_stream(s, ttl_s=None))
     return out.select("session_id", "event_id", "status", "thermal_reason", "skip_far_roi", "infer_period_ns")
+
+
+@query("clip_stream", None, ORACLES["event_clips"])
+def _(v: Views):
+    al = v.a_alerts.where("fired").select("session_id", F.col("event_id").alias("alert_id"), "timestamp_ns")
+    events = clips.clip_rows(q_joins._frames(v), al)
+    lo, hi = events.agg(F.min("t"), F.max("t")).first()
+    lo, hi = lo or 0, hi or 0
+    # every tenth time stamp arrives a part later, which the watermark waits for; a last row ends all rides
+    batch = F.floor((F.col("t") - lo) * BATCHES / (hi - lo + 1)).cast("int") + (F.floor(F.col("t") / 1000) % 10 == 0).cast("int")
+    part_s = (hi - lo) // BATCHES // 1_000_000_000 + 1
+    ends = events.sparkSession.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit(hi + (2 * part_s + 120) * 1_000_000_000).alias("t"),
+                                              F.lit(clips.TICK).alias("kind"), F.lit(-1).cast("long").alias("idx"), F.lit("").alias("alert"))
+    arriving = events.withColumn("batch", batch).unionByName(ends.withColumn("batch", F.lit(BATCHES + 1)))
+    out = replay(arriving, "batch", BATCHES + 2, lambda s: clips.clip_stream(s, fps=1.0, delay=f"{2 * part_s} seconds"))
+    return out.select("session_id", F.col("alert_id").cast("long").alias("alert_id"), "start_index", "end_index", "n_frames", "start_ns", "end_ns", "complete")
