@@ -81,8 +81,14 @@ def runtime_stats(runtime: DataFrame, *, key: str = "session_id") -> DataFrame:
 
 
 def ride_report(tracks: DataFrame, alerts: DataFrame, runtime: DataFrame, gyro: DataFrame, sessions: DataFrame, *,
-                intervals: DataFrame | None = None, key: str = "session_id") -> DataFrame:
-    """One row per session; each log is aggregated map-side before the small per-session joins."""
+                intervals: DataFrame | None = None, verified: DataFrame | None = None, impacts: DataFrame | None = None,
+                visibility: str = "visibility_confidence", key: str = "session_id") -> DataFrame:
+    """One row per session; each log is aggregated map-side before the small per-session joins.
+
+    `verified` (of `verify_sessions`) adds verify_ok and the numbers of findings, null for a session it does not hold;
+    `impacts` (of `impact_report`) adds its columns as impact_*, zero or null without aligned impacts. Track rows with
+    and without a visibility value are counted where tracks have that column.
+    """
     states = tracks.groupBy(key, F.coalesce("lifecycle_state", F.lit("missing")).alias("lifecycle_state")).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("lifecycle_state", "n")))).alias("track_states"),
         F.sum("n").alias("n_track_rows"))
@@ -90,9 +96,21 @@ def ride_report(tracks: DataFrame, alerts: DataFrame, runtime: DataFrame, gyro:
     peak = gyro.groupBy(key).agg(F.max(F.abs(F.coalesce("x", F.lit(0.0))) + F.abs(F.coalesce("y", F.lit(0.0)))
                                        + F.abs(F.coalesce("z", F.lit(0.0)))).alias("gyro_peak"))
     out = sessions.select(key).distinct()
-    for part in (states, dec, runtime_stats(runtime, key=key), peak, *([intervals] if intervals is not None else [])):
+    parts = [states, dec, runtime_stats(runtime, key=key), peak, *([intervals] if intervals is not None else [])]
+    counts = ["n_track_rows", "n_alert_decisions", "n_alerts_fired", "n_inferred", "n_diag"]
+    if visibility in tracks.columns:
+        seen = F.col(visibility).isNotNull()
+        parts.append(tracks.groupBy(key).agg(F.count_if(seen).alias("n_visibility_known"), F.count_if(~seen).alias("n_visibility_missing")))
+        counts += ["n_visibility_known", "n_visibility_missing"]
+    if verified is not None:
+        parts.append(verified.select(key, F.col("ok").alias("verify_ok"), F.col("n_errors").alias("n_verify_errors"), F.col("n_warnings").alias("n_verify_warnings")))
+    if impacts is not None:
+        names = [c for c in impacts.columns if c != key]
+        parts.append(impacts.select(key, *[F.col(c).alias(f"impact_{c}") for c in names]))
+        counts += [f"impact_{c}" for c in names if c.startswith("n_")]
+    for part in parts:
         out = out.join(part, key, "left")
-    for c in ("n_track_rows", "n_alert_decisions", "n_alerts_fired", "n_inferred", "n_diag"):
+    for c in counts:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
     return out
 
