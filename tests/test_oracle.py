@@ -10,8 +10,9 @@ from ridelens.plans import ordered
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["alert_rate_report", "gate_alerts", "map_public_labels", "redact_text", "match_gt", "nms", "alert_policy", "track_lifecycle"]
-CHUNKED = ["interp_linear", "interp_location", "interval_percentiles", "bad_streak", "infer_schedule", "event_clips", "match_one_to_one", "ttc"]
+QUICK = ["alert_rate_report", "gate_alerts", "map_public_labels", "redact_text", "match_gt", "nms", "alert_policy", "track_lifecycle",
+         "plan_export_volumes", "ride_report_parts"]
+CHUNKED = ["interp_linear", "interp_location", "interval_percentiles", "bad_streak", "infer_schedule", "event_clips", "match_one_to_one", "ttc", "scan_time_offset"]
 
 
 @pytest.fixture(scope="module")
