@@ -300,7 +300,22 @@ def _(v: Views):
     return v.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(w)], "i int, weight double")
 
 
-@query("fit_one_vs_rest")
+# normal equations, solved by eliminating one column a step; the matrix is a list of rows with the four right sides behind
+@query("fit_one_vs_rest", None, """
+recursive e as (select list_append(embedding::double[], 1.0::double) as f, label % 4 as k from embeddings),
+d as (select max(len(f)) as n from e),
+x as (select i, f, f[i] as fi, k from e, range(1, (select n + 1 from d)) r(i)),
+g as (select i, list_concat(list(v order by j), any_value(c)) as row from (
+   select i, j, sum(fi * f[j]) as v, [sum(fi) filter (where k = 0), sum(fi) filter (where k = 1), sum(fi) filter (where k = 2), sum(fi) filter (where k = 3)] as c
+   from x, range(1, (select n + 1 from d)) q(j) group by i, j) group by i),
+s as (select 0 as step, list(row order by i) as a from g
+   union all
+   select step + 1, list_transform(a, lambda r, i: case when i = step + 1 then list_transform(r, lambda z: z / r[step + 1])
+      else list_transform(r, lambda z, j: z - r[step + 1] * a[step + 1][j] / a[step + 1][step + 1]) end) from s where step < (select n from d)),
+w as (select list_transform(range(1, 5), lambda k: list_transform(a, lambda r: r[n + k])) as w from s, d where step = n),
+p as (select k, list_transform(w, lambda u: list_dot_product(u, f)) as sc from e, w)
+select count(*) as n, avg((list_position(sc, list_max(sc)) - 1 = k)::int) as accuracy from p
+""")
 def _(v: Views):
     e = v.embeddings.select("vec_id", F.col("embedding").alias("features"), (F.col("label") % 4).alias("label"))
     dim = e.select(F.max(F.size("features"))).first()[0]
