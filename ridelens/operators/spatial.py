@@ -82,12 +82,16 @@ def hit_test(points: DataFrame, tracks: DataFrame, *, keys: Sequence[str] = ("fr
 
 def mask_visibility(obs: DataFrame, tiles: DataFrame, *, keys: Sequence[str] = ("frame",), obs_id: Sequence[str] = ("seq", "price"),
                     sharpness: str = "sharpness", motion_blur: str = "motion_blur") -> DataFrame:
-    """Mean score of the quality tiles under each box; sharpness·(1−motion blur) where none overlaps."""
+    """Mean score of the quality tiles under each box; sharpness·(1−motion blur) where none overlaps.
+
+    Tiles outnumber the boxes by far, so they are neither copied per grid cell nor sorted: the boxes of a partition
+    are hashed by frame and its tiles stream past them. Tiles that are partitioned by `keys` are not shuffled.
+    """
     keys, obs_id = list(keys), list(obs_id)
     t = tiles.select(*keys, *[F.col(c).alias(f"t{c}") for c in BOX], F.col("score").alias("_score"))
-    slim = obs.select(*keys, *obs_id, *BOX)
-    pairs = overlap_join(slim, t, keys, tuple(F.col(c) for c in BOX), tuple(F.col(f"t{c}") for c in BOX))
+    slim = obs.select(*keys, *obs_id, *BOX).dropna(subset=list(BOX))
     inner = (F.least("x1", "tx1") > F.greatest("x0", "tx0")) & (F.least("y1", "ty1") > F.greatest("y0", "ty0"))
+    pairs = t.dropna(subset=[f"t{c}" for c in BOX]).join(slim.hint("shuffle_hash"), keys)
     means = pairs.where(inner).groupBy(*keys, *obs_id).agg(F.avg("_score").alias("_m"))
     fallback = F.col(sharpness) * (1.0 - F.col(motion_blur))
     return obs.join(means, [*keys, *obs_id], "left").withColumn(
