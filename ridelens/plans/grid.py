@@ -40,13 +40,17 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_bo
 
 def near_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_xy: tuple[Column, Column],
               right_xy: tuple[Column, Column], radius: float) -> DataFrame:
-    """Pairs of points at most `radius` apart, with `_d2` (squared distance)."""
+    """Pairs of points at most `radius` apart, with `_d2` (squared distance).
+
+    Cells are four radii wide, so a left point falls into one to four of them, a little over two on average.
+    """
     r = float(radius)
+    size = 4 * r or 1.0
     lhs = left.withColumn("_lx", left_xy[0]).withColumn("_ly", left_xy[1])
-    lhs = lhs.withColumn("_gx", F.explode(_cells(F.col("_lx") - r, F.col("_lx") + r, r))).withColumn(
-        "_gy", F.explode(_cells(F.col("_ly") - r, F.col("_ly") + r, r)))
+    lhs = lhs.withColumn("_gx", F.explode(_cells(F.col("_lx") - r, F.col("_lx") + r, size))).withColumn(
+        "_gy", F.explode(_cells(F.col("_ly") - r, F.col("_ly") + r, size)))
     rhs = right.withColumn("_rx", right_xy[0]).withColumn("_ry", right_xy[1])
-    rhs = rhs.withColumn("_gx", _cell(F.col("_rx"), r)).withColumn("_gy", _cell(F.col("_ry"), r))
+    rhs = rhs.withColumn("_gx", _cell(F.col("_rx"), size)).withColumn("_gy", _cell(F.col("_ry"), size))
     d2 = (F.col("_lx") - F.col("_rx")) * (F.col("_lx") - F.col("_rx")) + (
         F.col("_ly") - F.col("_ry")) * (F.col("_ly") - F.col("_ry"))
     return (lhs.join(rhs, [*keys, "_gx", "_gy"]).withColumn("_d2", d2).where(F.col("_d2") <= r * r)

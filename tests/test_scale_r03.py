@@ -20,3 +20,42 @@ def test_tiles_are_not_copied_per_cell(spark):
     assert "Generate" not in plan(df)
     got = {r.seq: round(r.mask_visibility, 6) for r in df.collect()}
     assert got == {1: 0.3, 2: 0.4, 3: 0.4, None: 0.4}
+
+
+def test_near_join_copies_a_point_to_four_cells_at_most(spark):
+    from ridelens.plans.grid import near_join
+
+    pts = spark.range(400).select(F.lit(1).alias("f"), F.col("id").alias("i"), (F.col("id") % 20 * 37.0).alias("x"), (F.floor(F.col("id") / 20) * 41.0).alias("y"))
+    other = pts.select("f", F.col("i").alias("j"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    joined = near_join(pts, other, ["f"], (F.col("x"), F.col("y")), (F.col("ox"), F.col("oy")), 60.0)
+    want = pts.crossJoin(other.drop("f")).where("(x - ox) * (x - ox) + (y - oy) * (y - oy) <= 3600").select("i", "j")
+    got = joined.select("i", "j")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "240.0" in plan(joined)  # cells of four radii
+
+
+def test_timed_out_candidates_cost_no_python_step():
+    from ridelens.config import TrackingConfig
+    from ridelens.operators import tracking
+
+    class Watched(dict):
+        reads = 0
+
+        def __getitem__(self, k):
+            Watched.reads += 1
+            return super().__getitem__(k)
+
+    s, cfg = tracking.new_tracker(), TrackingConfig()
+    frame = {"quality_ok": True, "allow_new": True, "yaw_rate": 0.0, "frame_width": 1920.0, "frame_id": 0}
+    far = [{"obs_index": i, "frame_id": 0, "semantic_type": "pothole", "geometry_type": "concave", "state": "abnormal", "severity": 1, "model_confidence": 0.9,
+            "quality_at_mask": 0.9, "box": (i * 500.0, 0.0, i * 500.0 + 20, 20.0), "z": (i * 500.0 + 10, 20.0, 20.0, 20.0)} for i in range(50)]
+    list(tracking.update_tracker(s, {**frame, "timestamp_ns": 0}, far, cfg))
+    ended = [r["transition"] for r in tracking.update_tracker(s, {**frame, "timestamp_ns": 500_000_000}, [], cfg)]
+    assert ended == ["candidate_timeout"] * 50 and len(s["ids"]) == 50
+    s["info"] = [Watched(t) for t in s["info"]]
+    assert list(tracking.update_tracker(s, {**frame, "timestamp_ns": 600_000_000}, [], cfg)) == []
+    assert Watched.reads == 0
+    again = list(tracking.update_tracker(s, {**frame, "timestamp_ns": 700_000_000}, [far[7]], cfg))
+    assert [(r["track_id"], r["hits"], r["misses"]) for r in again] == [(8, 2, 0)]
+    list(tracking.update_tracker(s, {**frame, "timestamp_ns": 32_000_000_000}, [], cfg))
+    assert len(s["ids"]) == 0 or s["ids"].tolist() == [8]
