@@ -24,30 +24,42 @@ OBS = ["obs_index", "semantic_type", "geometry_type", "state", "severity", "mode
        "contact_x", "contact_y", "x0", "y0", "x1", "y1"]
 FRAME = ["timestamp_ns", "frame_id", "quality_ok", "allow_new", "yaw_rate", "frame_width"]
 
-# measurement picks x, y, w, h out of [x, y, vx, vy, w, h]
-_H = np.zeros((4, 6))
-_H[[0, 1, 2, 3], [0, 1, 4, 5]] = 1.0
-_NOISE = np.diag([1, 1, 4, 4, 0.5, 0.5])
+# process noise of a place, a speed and a size, in shares of the configured one
+_NOISE = (1.0, 4.0, 0.5)
 _CARRIED = (("semantic_type", "unknown_anomaly"), ("geometry_type", "unknown"), ("state", "unknown"), ("severity", -1))
 
 
 def new_tracker() -> dict:
-    """Live tracks of one session: motion state and boxes as arrays (row i = i-th live track), the rest as dicts."""
-    return {"next": 1, "last": None, "ids": np.zeros(0, dtype=np.int64), "mean": np.zeros((0, 6)), "cov": np.zeros((0, 6, 6)),
-            "box": np.zeros((0, 4)), "info": []}
+    """Live tracks of one session: motion state and boxes as arrays (row i = i-th live track), the rest as dicts.
 
-
-def _predict(s: dict, dt: float, shift: float, cfg: TrackingConfig) -> None:
-    f = np.eye(6)
-    f[0, 2] = f[1, 3] = dt
-    s["mean"] = s["mean"] @ f.T
-    s["mean"][:, 0] += shift
-    s["cov"] = f @ s["cov"] @ f.T + cfg.process_noise * max(dt, 1e-3) * _NOISE
+    The filter moves x, y, width and height independently and alike, so the covariance of a track is four numbers:
+    place, place with speed, speed (the same for x and y) and size (the same for width and height). `dead`, `gone` and
+    `last` repeat what the dicts say of expiry, so that timed-out candidates cost no Python step.
+    """
+    return {"next": 1, "last": None, "ids": np.zeros(0, dtype=np.int64), "mean": np.zeros((0, 6)), "cov": np.zeros((0, 4)),
+            "box": np.zeros((0, 4)), "dead": np.zeros(0, dtype=bool), "gone": np.zeros(0, dtype=bool), "seen": np.zeros(0, dtype=np.int64), "info": []}
 
 
-def _correct(mean: np.ndarray, cov: np.ndarray, z: np.ndarray, cfg: TrackingConfig) -> tuple[np.ndarray, np.ndarray]:
-    gain = cov @ _H.T @ np.linalg.inv(_H @ cov @ _H.T + np.eye(4) * cfg.meas_noise)
-    return mean + gain @ (z - _H @ mean), (np.eye(6) - gain @ _H) @ cov
+def _predict(s: dict, dt: float, shift: float, cfg: TrackingConfig) -> None:
+    mean, cov = s["mean"], s["cov"]
+    mean[:, :2] += dt * mean[:, 2:4]
+    mean[:, 0] += shift
+    noise = cfg.process_noise * max(dt, 1e-3)
+    cross = cov[:, 1] + dt * cov[:, 2]
+    cov[:, 0] += dt * cov[:, 1] + dt * cross + noise * _NOISE[0]
+    cov[:, 1] = cross
+    cov[:, 2] += noise * _NOISE[1]
+    cov[:, 3] += noise * _NOISE[2]
+
+
+def _correct(mean: list[float], cov: list[float], z: tuple[float, ...], cfg: TrackingConfig) -> tuple[list[float], list[float]]:
+    x, y, vx, vy, w, h = mean
+    place, cross, speed, size = cov
+    inv, size_inv = 1.0 / (place + cfg.meas_noise), 1.0 / (size + cfg.meas_noise)
+    kx, kv, ks = place * inv, cross * inv, size * size_inv
+    dx, dy = z[0] - x, z[1] - y
+    return ([x + kx * dx, y + kx * dy, vx + kv * dx, vy + kv * dy, w + ks * (z[2] - w), h + ks * (z[3] - h)],
+            [(1.0 - kx) * place, (1.0 - kx) * cross, speed - kv * cross, (1.0 - ks) * size])
 
 
 def _pairs(s: dict, obs: list[dict], cfg: TrackingConfig) -> list[tuple[float, int, int, int]]:
@@ -56,17 +68,25 @@ def _pairs(s: dict, obs: list[dict], cfg: TrackingConfig) -> list[tuple[float, i
         return []
     tb, ob = s["box"], np.array([o["box"] for o in obs])
     z = np.array([o["z"][:2] for o in obs])
-    dist = np.hypot(s["mean"][:, None, 0] - z[None, :, 0], s["mean"][:, None, 1] - z[None, :, 1])
-    inter = np.prod(np.clip(np.minimum(tb[:, None, 2:], ob[None, :, 2:]) - np.maximum(tb[:, None, :2], ob[None, :, :2]), 0, None), axis=2)
-    tsize = np.prod(np.clip(tb[:, 2:] - tb[:, :2], 0, None), axis=1)
-    osize = np.prod(np.clip(ob[:, 2:] - ob[:, :2], 0, None), axis=1)
-    union = tsize[:, None] + osize[None, :] - inter
+    # most pairs are far apart and touch nothing; the others are scored
+    dx, dy = s["mean"][:, None, 0] - z[None, :, 0], s["mean"][:, None, 1] - z[None, :, 1]
+    near = (np.abs(dx) <= cfg.center_match_px) & (np.abs(dy) <= cfg.center_match_px)
+    touch = ((tb[:, None, 0] < ob[None, :, 2]) & (ob[None, :, 0] < tb[:, None, 2])
+             & (tb[:, None, 1] < ob[None, :, 3]) & (ob[None, :, 1] < tb[:, None, 3]))
+    rows, cols = np.nonzero(near | touch | (cfg.iou_match <= 0))
+    if not len(rows):
+        return []
+    t, o = tb[rows], ob[cols]
+    dist = np.hypot(dx[rows, cols], dy[rows, cols])
+    inter = np.prod(np.clip(np.minimum(t[:, 2:], o[:, 2:]) - np.maximum(t[:, :2], o[:, :2]), 0, None), axis=1)
+    union = np.prod(np.clip(t[:, 2:] - t[:, :2], 0, None), axis=1) + np.prod(np.clip(o[:, 2:] - o[:, :2], 0, None), axis=1) - inter
     iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
+    good = np.flatnonzero((iou >= cfg.iou_match) | (dist < cfg.center_match_px))
     out = []
-    for a, b in zip(*np.nonzero((iou >= cfg.iou_match) | (dist < cfg.center_match_px))):
+    for a, b, overlap, far in zip(rows[good].tolist(), cols[good].tolist(), iou[good].tolist(), dist[good].tolist()):
         sem = obs[b]["semantic_type"]
         same = sem == "unknown_anomaly" or sem == s["info"][a]["semantic_type"]
-        out.append((float(iou[a, b] * (1.2 if same else 0.7) - dist[a, b] / 400.0), int(s["ids"][a]), int(b), int(a)))
+        out.append((overlap * (1.2 if same else 0.7) - far / 400.0, int(s["ids"][a]), b, a))
     out.sort(reverse=True)
     return out
 
@@ -88,19 +108,20 @@ def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -
     notes: dict[int, str | None] = {}
     for row, j in taken.items():
         t, o = s["info"][row], obs[j]
-        s["mean"][row], s["cov"][row] = _correct(s["mean"][row], s["cov"][row], o["z"], cfg)
+        s["mean"][row], s["cov"][row] = _correct(s["mean"][row].tolist(), s["cov"][row].tolist(), o["z"], cfg)
         s["box"][row] = o["box"]
         t.update(misses=0, quality_at_mask=o["quality_at_mask"], frame_id=o["frame_id"], obs_index=o["obs_index"], fade=1.0,
                  model_confidence=0.7 * t["model_confidence"] + 0.3 * o["model_confidence"])
         t.update({c: o[c] for c, unknown in _CARRIED if o[c] != unknown})
         notes[row] = advance(t["life"], now, t["semantic_type"], t["geometry_type"], True, good, cfg)
-    for row, t in enumerate(s["info"]):
+    # timed-out candidates wait unchanged until they are matched or forgotten
+    live = np.flatnonzero(~s["dead"]).tolist()
+    for row in live:
         if row in taken:
             continue
+        t = s["info"][row]
         t["misses"] += 1
         t["obs_index"] = None
-        if t["life"]["state"] == "EXPIRED":
-            continue
         if not good:
             t["fade"] = max(0.25, t["fade"] * 0.82)
         notes[row] = advance(t["life"], now, t["semantic_type"], t["geometry_type"], False, good, cfg)
@@ -118,23 +139,26 @@ def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -
         s["ids"] = np.append(s["ids"], s["next"] + np.arange(n))
         s["next"] += n
         s["mean"] = np.vstack([s["mean"], np.column_stack([z[:, 0], z[:, 1], np.zeros((n, 2)), z[:, 2], z[:, 3]])])
-        s["cov"] = np.concatenate([s["cov"], np.repeat(np.eye(6)[None] * 40.0, n, axis=0)])
+        s["cov"] = np.vstack([s["cov"], np.tile([40.0, 0.0, 40.0, 40.0], (n, 1))])
         s["box"] = np.vstack([s["box"], [o["box"] for _, o in fresh]])
-    keep = np.ones(len(s["info"]), dtype=bool)
-    for row, t in enumerate(s["info"]):
+        for c in ("dead", "gone", "seen"):
+            s[c] = np.append(s[c], np.zeros(n, dtype=s[c].dtype))
+    for row in sorted({*live, *taken, *range(len(s["info"]) - len(fresh), len(s["info"]))}):
+        t = s["info"][row]
         state = t["life"]["state"]
         if state == "EXPIRED":
-            keep[row] = t["fade"] >= 0.05 and (now - t["life"]["last"]) / 1e9 <= cfg.expired_memory_s
+            s["dead"][row], s["gone"][row], s["seen"][row] = True, t["fade"] < 0.05, t["life"]["last"]
             if notes.get(row) is None and row not in taken:
                 continue
-        m, box = s["mean"][row], s["box"][row]
+        m, box = s["mean"][row].tolist(), s["box"][row].tolist()
         yield {"track_id": int(s["ids"][row]), "timestamp_ns": now, "frame_id": t["frame_id"], "lifecycle_state": state, "hits": t["life"]["hits"],
                "misses": t["misses"], "age_s": (now - t["life"]["created"]) / 1e9, "fade": t["fade"], "semantic_type": t["semantic_type"],
                "geometry_type": t["geometry_type"], "object_state": t["state"], "severity": t["severity"], "model_confidence": t["model_confidence"],
-               "quality_at_mask": t["quality_at_mask"], "mean_x": float(m[0]), "mean_y": float(m[1]), "x0": float(box[0]), "y0": float(box[1]),
-               "x1": float(box[2]), "y1": float(box[3]), "obs_index": t["obs_index"], "transition": notes.get(row)}
+               "quality_at_mask": t["quality_at_mask"], "mean_x": m[0], "mean_y": m[1], "x0": box[0], "y0": box[1],
+               "x1": box[2], "y1": box[3], "obs_index": t["obs_index"], "transition": notes.get(row)}
+    keep = ~s["dead"] | (~s["gone"] & ((now - s["seen"]) / 1e9 <= cfg.expired_memory_s))
     if not keep.all():
-        for c in ("ids", "mean", "cov", "box"):
+        for c in ("ids", "mean", "cov", "box", "dead", "gone", "seen"):
             s[c] = s[c][keep]
         s["info"] = [t for t, k in zip(s["info"], keep) if k]
 
@@ -147,7 +171,7 @@ def read_frame(c: dict, i: int) -> tuple[dict, dict | None]:
     o = {n: c[n][i] for n in ("obs_index", "frame_id", "semantic_type", "geometry_type", "state", "severity", "model_confidence", "quality_at_mask")}
     x0, y0, x1, y1 = (c[n][i] for n in ("x0", "y0", "x1", "y1"))
     o["box"] = (x0, y0, x1, y1)
-    o["z"] = np.array([c["contact_x"][i], c["contact_y"][i], max(4.0, x1 - x0), max(4.0, y1 - y0)])
+    o["z"] = (c["contact_x"][i], c["contact_y"][i], max(4.0, x1 - x0), max(4.0, y1 - y0))
     return frame, o
 
 
