@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ridelens.config import TrackingConfig
 from ridelens.functions import shapes
 from ridelens.functions import vocab as V
-from ridelens.plans.fold import ordered_fold
+from ridelens.plans.fold import ordered_pick
 from ridelens.plans.grid import near_join, overlap_join, point_in_box_join
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -123,17 +124,41 @@ def associate_candidates(tracks: DataFrame, obs: DataFrame, *, keys: Sequence[st
 # --- non-maximum suppression -----------------------------------------------------------------
 
 def _clash(a: np.ndarray, b: np.ndarray, threshold: float, plus_one: bool) -> np.ndarray:
-    """Matrix: does box i of `a` suppress-overlap box j of `b`?"""
+    """Do boxes of `a` suppress-overlap those of `b`? The last axis holds a box, the others are broadcast."""
     one = 1.0 if plus_one else 0.0
-    side = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]) + one, 0, None)
-    inter = side[..., 0] * side[..., 1]
-    size_a, size_b = np.prod(np.clip(a[:, 2:] - a[:, :2], 0, None) + one, axis=1), np.prod(np.clip(b[:, 2:] - b[:, :2], 0, None) + one, axis=1)
-    union = size_a[:, None] + size_b[None, :] - inter
+    wide = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]) + one
+    high = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]) + one
+    inter = np.clip(wide, 0, None) * np.clip(high, 0, None)
+    size_a, size_b = ((np.clip(v[..., 2] - v[..., 0], 0, None) + one) * (np.clip(v[..., 3] - v[..., 1], 0, None) + one) for v in (a, b))
+    union = size_a + size_b - inter
     if plus_one:
         return inter / (union + 1e-9) > threshold
     return (inter > 0) & (inter / np.where(union > 0, union, 1.0) >= threshold)
 
 
+def _greedy(boxes: np.ndarray, open_: np.ndarray, sizes: np.ndarray, threshold: float, plus_one: bool) -> np.ndarray:
+    """Which boxes stay of groups of `sizes` that follow each other, best box first; boxes that are not `open_` neither stay nor suppress.
+
+    All pairs within the groups are compared in one go. A box's fate is known once the pairs of all better ones are
+    through, so the clashing pairs are walked in the order of their first box."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    after = ends - 1 - np.arange(len(boxes))
+    first = np.repeat(np.arange(len(boxes)), after)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after)
+    x0, y0, x1, y1 = np.ascontiguousarray(boxes.T)
+    one = 1.0 if plus_one else 0.0
+    some = np.flatnonzero((x0[second] - x1[first] <= one) & (x0[first] - x1[second] <= one))
+    first, second = first[some], second[some]
+    some = np.flatnonzero((y0[second] - y1[first] <= one) & (y0[first] - y1[second] <= one))
+    first, second = first[some], second[some]
+    hit = _clash(boxes[first], boxes[second], threshold, plus_one)
+    stay = open_.tolist()
+    for i, j in zip(first[hit].tolist(), second[hit].tolist()):
+        if stay[i]:
+            stay[j] = False
+    return np.array(stay, dtype=bool)
+
+
 def nms(dets: DataFrame, *, keys: Sequence[str] = ("image",), conf: str = "conf", tie: Sequence[str] = ("seq", "price"),
         iou_threshold: float = 0.50, plus_one: bool = False, cap: int | None = None, block: int = 256) -> DataFrame:
     """Greedy class-agnostic suppression per frame, best confidence first, rows without a confidence last.
@@ -145,25 +170,43 @@ def nms(dets: DataFrame, *, keys: Sequence[str] = ("image",), conf: str = "conf"
     keys = list(keys)
     ranked = dets.select("*", F.coalesce(-F.col(conf).cast("double"), F.lit(float("inf"))).alias("_neg"),
                          F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in BOX]).alias("_box"))
-    names = dets.columns
-
-    def step(state: dict, c: dict, span: range, out: list) -> None:
-        for lo in range(span.start, span.stop, block):
-            if cap is not None and len(state["kept"]) >= cap:
-                return
-            rows = range(lo, min(lo + block, span.stop))
-            boxes = np.array([c["_box"][i] for i in rows], dtype=float)
-            open_ = ~_clash(state["kept"], boxes, iou_threshold, plus_one).any(axis=0) if len(state["kept"]) else np.ones(len(boxes), dtype=bool)
-            inside = _clash(boxes, boxes, iou_threshold, plus_one)
-            picked = []
-            for j in range(len(boxes)):
-                if open_[j] and (cap is None or len(state["kept"]) + len(picked) < cap):
-                    picked.append(j)
-                    open_[j + 1:] &= ~inside[j, j + 1:]
-            state["kept"] = np.vstack([state["kept"], boxes[picked]])
-            out.extend(tuple(c[n][lo + j] for n in names) for j in picked)
-
-    return ordered_fold(ranked, keys, ["_neg", *tie, "_box"], lambda: {"kept": np.zeros((0, 4))}, step, dets.schema)
+
+
+    def pick(states: list[dict], sizes: list[int], rows: pa.RecordBatch) -> np.ndarray:
+        every = rows.column("_box").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+        stay = np.zeros(len(every), dtype=bool)
+        # whole frames of up to `block` boxes go together, longer or split ones block by block
+        at, together, held = 0, [], 0
+        jobs: list[list[tuple[int, int, dict]]] = []
+        for state, n in zip(states, sizes):
+            for lo in range(at, at + n, block):
+                m = min(block, at + n - lo)
+                if len(state["kept"]) or lo > at or n > block:
+                    jobs.append([(lo, m, state)])
+                else:
+                    together.append((lo, m, state))
+                    held += m * m
+                    if held > 2_000_000:
+                        jobs.append(together)
+                        together, held = [], 0
+            at += n
+        for job in [together, *jobs]:
+            if not job:
+                continue
+            where = np.concatenate([np.arange(lo, lo + m) for lo, m, _ in job])
+            boxes, kept = every[where], job[0][2]["kept"]
+            if cap is not None and len(kept) >= cap:
+                continue
+            open_ = ~_clash(kept[:, None], boxes[None], iou_threshold, plus_one).any(axis=0) if len(kept) else np.ones(len(boxes), dtype=bool)
+            stay[where] = _greedy(boxes, open_, np.array([m for _, m, _ in job]), iou_threshold, plus_one)
+            for lo, m, state in job:
+                if cap is not None:
+                    over = lo + np.flatnonzero(stay[lo:lo + m])[cap - len(state["kept"]):]
+                    stay[over] = False
+                state["kept"] = np.vstack([state["kept"], every[lo:lo + m][stay[lo:lo + m]]])
+        return np.flatnonzero(stay)
+
+    return ordered_pick(ranked, keys, ["_neg", *tie, "_box"], lambda: {"kept": np.zeros((0, 4))}, pick, dets.columns)
 
 
 def decode_detections(preds: DataFrame, names: Sequence[str], *, box: Sequence[str] = ("xc", "yc", "w", "h"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,3 +64,29 @@ def ordered_fold(
                 yield pack(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, struct)
+
+
+def ordered_pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_state: Callable[[], object],
+                 pick: Callable[[list, list[int], pa.RecordBatch], np.ndarray], columns: Sequence[str]) -> DataFrame:
+    """Like `ordered_fold` where the output is some of the input rows: `pick(states, sizes, rows)` gets a batch that holds
+    `sizes[i]` consecutive rows of the key with `states[i]` and returns the places of the rows that stay. Their `columns` are
+    taken as Arrow, so no other value becomes a Python object. A key that goes on in the next batch keeps its state."""
+    keys, names = list(keys), list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for rb in batches:
+            tags = list(zip(*(rb.column(k).to_pylist() for k in keys)))
+            states, sizes = [], []
+            for tag in tags:
+                if state is None or tag != current:
+                    current, state = tag, new_state()
+                if not states or states[-1] is not state:
+                    states.append(state)
+                    sizes.append(0)
+                sizes[-1] += 1
+            stay = pick(states, sizes, rb) if tags else []
+            if len(stay):
+                yield rb.select(names).take(pa.array(stay, pa.int64()))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, df.select(*names).schema)

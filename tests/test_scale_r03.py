@@ -59,3 +59,41 @@ def test_timed_out_candidates_cost_no_python_step():
     assert [(r["track_id"], r["hits"], r["misses"]) for r in again] == [(8, 2, 0)]
     list(tracking.update_tracker(s, {**frame, "timestamp_ns": 32_000_000_000}, [], cfg))
     assert len(s["ids"]) == 0 or s["ids"].tolist() == [8]
+
+
+def test_frames_are_suppressed_together(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 7, 40, 3])
+    lo = rng.integers(0, 60, (sizes.sum(), 2)).astype(float)
+    boxes = np.hstack([lo, lo + rng.integers(5, 40, lo.shape)])
+
+    def one_by_one(cap=None):
+        out, at = [], 0
+        for n in sizes:
+            kept = []
+            for i in range(at, at + n):
+                if (cap is None or len(kept) < cap) and not any(spatial._clash(boxes[k], boxes[i], 0.3, True) for k in kept):
+                    kept.append(i)
+            out, at = out + kept, at + n
+        return out
+
+    assert np.flatnonzero(spatial._greedy(boxes, np.ones(len(boxes), dtype=bool), sizes, 0.3, True)).tolist() == one_by_one()
+    frames = np.repeat(np.arange(len(sizes)), sizes)
+    df = spark.createDataFrame([(int(f), i, 1.0, 0.5, *map(float, b)) for i, (f, b) in enumerate(zip(frames, boxes))],
+                               "image long, seq long, price double, conf double, x0 double, y0 double, x1 double, y1 double")
+    for cap, block in ((None, 256), (None, 4), (3, 256), (3, 2), (5, 4)):
+        got = sorted(r.seq for r in spatial.nms(df, iou_threshold=0.3, plus_one=True, cap=cap, block=block).collect())
+        assert got == one_by_one(cap), (cap, block)
+
+
+def test_mounts_of_one_partition_are_dealt_out(spark):
+    from ridelens.operators import fit
+
+    cols = {c: F.lit(float(v)) for c, v in {"camera_height_m": 1.0, "pitch_deg": 20.0, "roll_deg": 0.0, "yaw_deg": 0.0, "lateral_offset_m": 0.0, "fx": 1423.0,
+                                            "fy": 1423.0, "cx": 960.0, "cy": 540.0, "known_distance_5m_px": 500.0, "known_distance_10m_px": 320.0, "known_distance_20m_px": 220.0}.items()}
+    mounts = spark.range(400).coalesce(1).select(F.col("id").alias("profile_id"), F.lit(True).alias("valid"), *[v.alias(c) for c, v in cols.items()])
+    fitted = fit.fit_mounts(mounts)
+    assert fitted.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert fitted.groupBy("pitch_deg", "camera_height_m").count().count() == 1
