@@ -80,9 +80,12 @@ def holdout_sample(df: DataFrame, n_train: int, n_hold: int, *, key: str, seed:
 def fit_mounts(mounts: DataFrame, *, key: str = "profile_id", n_pitch: int = 33, n_height: int = 19) -> DataFrame:
     """Pitch and height that best explain the measured marker rows of each mount.
 
-    The grid is generated inside the row, so a fleet of mounts is fitted without a join or shuffle.
-    Fewer than two markers keep the profile; a candidate that cannot see a marker is dropped.
+    The grid is generated inside the row, so a fleet of mounts is fitted without a join. A mount is few bytes and
+    hundreds of trials, so the rows of a small file are dealt over all tasks first; a pitch is turned into a rotation
+    once, not once per height. Fewer than two markers keep the profile; a candidate that cannot see a marker is dropped.
     """
+    spark = mounts.sparkSession
+    mounts = mounts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     markers = F.array_compact(F.array(*[
         F.when(F.col(f"known_distance_{d}m_px").isNotNull(), F.struct(F.lit(float(d)).alias("d"), F.col(f"known_distance_{d}m_px").alias("v")))
         for d in (5, 10, 20)]))
@@ -90,11 +93,14 @@ def fit_mounts(mounts: DataFrame, *, key: str = "profile_id", n_pitch: int = 33,
     low = F.greatest(F.lit(0.55), h0 - 0.45)
     grid = F.sequence(F.lit(0), F.lit(n_pitch * n_height - 1))
 
+    def turn(k: Column) -> Column:
+        pitch = p0 - 8.0 + k * (16.0 / (n_pitch - 1))
+        return F.struct(pitch.alias("pitch"), camera.rotation(pitch, F.col("roll_deg"), camera.heading(mounts)).alias("rot"))
+
     def candidate(i: Column) -> Column:
-        pitch = p0 - 8.0 + F.floor(i / n_height) * (16.0 / (n_pitch - 1))
         height = low + (i % n_height) * ((h0 + 0.45 - low) / (n_height - 1))
-        return F.struct(i.alias("i"), pitch.alias("pitch"), height.alias("height"),
-                        camera.rotation(pitch, F.col("roll_deg"), camera.heading(mounts)).alias("rot"))
+        at = F.get(F.col("_turns"), F.floor(i / n_height).cast("int"))
+        return F.struct(i.alias("i"), at["pitch"].alias("pitch"), height.alias("height"), at["rot"].alias("rot"))
 
     def trial(t: Column) -> Column:
         m = {**camera.mount_columns(t["rot"]), "camera_height_m": t["height"]}
@@ -106,7 +112,8 @@ def fit_mounts(mounts: DataFrame, *, key: str = "profile_id", n_pitch: int = 33,
         total = F.aggregate(F.transform(F.col("_mk"), err), F.lit(0.0), lambda a, e: a + e)
         return F.struct(F.coalesce(total, F.lit(float("inf"))).alias("err"), t["i"].alias("i"), t["pitch"].alias("pitch"), t["height"].alias("height"))
 
-    out = mounts.withColumn("_mk", markers).withColumn(
+    turns = F.when(F.size("_mk") >= 2, F.transform(F.sequence(F.lit(0), F.lit(n_pitch - 1)), turn))
+    out = mounts.withColumn("_mk", markers).withColumn("_turns", turns).withColumn(
         "_best", F.when(F.size("_mk") >= 2, F.array_min(F.transform(F.transform(grid, candidate), trial))))
     fitted = F.col("_best").isNotNull()
     found = fitted & (F.col("_best.err") < float("inf"))
