@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,20 +74,24 @@ class ClipProcessor(StatefulProcessor):
             return
         rest = [r for r in rows if r[0] // 1000 >= mark * 1000]
         seen, idx, last, newest = self.place.get()
-        ring = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
-        clips = [tuple(c) for c in self.open.get()] if self.open.exists() else []
+        ring = deque([tuple(r) for r in self.ring.get()] if self.ring.exists() else [], maxlen=self.size)
+        # open clips by alert time: those that a frame closes stand first, so a frame looks at no others
+        clips = deque(sorted([tuple(c) for c in self.open.get()] if self.open.exists() else [], key=lambda c: c[1]))
+        bare = any(c[3] is None for c in clips)
         out = []
         for t, kind, i, alert in ready:
             if kind == ALERT:
                 first_t, first = ring[0] if ring else (None, None)
                 clips.append((alert, t, first_t, first, len(ring), seen))
+                bare = bare or first is None
                 continue
-            ring = [*ring[-(self.size - 1):], (t, i)] if self.size > 1 else [(t, i)]
+            ring.append((t, i))
             seen, idx, last = seen + 1, i, t
-            clips = [c if c[3] is not None else (*c[:2], t, i, *c[4:]) for c in clips]
-            out += [self._clip(c, seen, idx, last, True) for c in clips if t - c[1] >= self.post_ns]
-            clips = [c for c in clips if t - c[1] < self.post_ns]
-        for state, now in ((self.waiting, rest), (self.ring, ring), (self.open, clips)):
+            if bare:
+                clips, bare = deque(c if c[3] is not None else (*c[:2], t, i, *c[4:]) for c in clips), False
+            while clips and t - clips[0][1] >= self.post_ns:
+                out.append(self._clip(clips.popleft(), seen, idx, last, True))
+        for state, now in ((self.waiting, rest), (self.ring, list(ring)), (self.open, list(clips))):
             if now:
                 state.put(now)
             else:

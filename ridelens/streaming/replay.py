@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ridelens.session import shared_folder
 from ridelens.streaming.state import configure
@@ -14,15 +15,17 @@ from ridelens.streaming.state import configure
 def replay(rows: DataFrame, batch: str, batches: int, gate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that `gate` appends when `rows` arrive in `batches` parts, numbered from 0 in column `batch`.
 
-    Each part is written to the source folder, then the stream takes up what is new and ends by itself
+    The rows are made once and kept by part. Each part is written to the source folder, then the stream takes up what is new and ends by itself
     (`availableNow`); state and offsets live on in its checkpoint. Its rows go through a Parquet sink.
     """
     spark = rows.sparkSession
     configure(spark)
     folder = shared_folder(spark, "streams")
+    rows.withColumn("_part", F.col(batch).cast("int")).write.partitionBy("_part").parquet(f"{folder}/parts")
+    parts = spark.read.schema(StructType([*rows.schema.fields, StructField("_part", IntegerType())])).parquet(f"{folder}/parts")
     stream = None
     for i in range(batches):
-        rows.where(F.col(batch) == i).write.mode("append").parquet(f"{folder}/in")
+        parts.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{folder}/in")
         stream = gate(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
         running = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
                    .outputMode("append").trigger(availableNow=True).start())
