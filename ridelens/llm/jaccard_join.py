@@ -31,8 +31,10 @@ from ridelens.llm.graph import components
 COUNTERS = 1 << 17  # of a task's summary; also the most elements whose order is broadcast
 BROADCAST_ROWS = 400_000  # requests for texts are broadcast up to this number of rows, joined beyond
 PARTNERS = 64
+COUNT_BUCKETS = 32  # a task hands on its counts as so many packed rows at most
 BLOCK = 8192  # about the rows of a list on one side of a comparison
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_COUNT = np.dtype([("id", "<u8"), ("n", "<i8")])
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -82,8 +84,9 @@ class Summary:
 
 
 def profile(docs: DataFrame, n: int, id_col: str, text_col: str, k: int = COUNTERS) -> DataFrame:
-    """One pass over all texts. Rows with `sig`: id, size, sig, m (parity map). Rows without: element counts (id: the element, size: the count)."""
-    struct, arrow = schema_of("id long, size long, sig binary, m0 long, m1 long, m2 long, m3 long")
+    """One pass over all texts. Rows with `sig`: id, size, sig, m (parity map). Rows without: a task's element counts of one
+    `bucket`, packed in `data`, so that their number does not grow with the elements that the tasks hold each for itself."""
+    struct, arrow = schema_of("id long, size long, sig binary, m0 long, m1 long, m2 long, m3 long, bucket int, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(k)
@@ -91,20 +94,44 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str, k: int = COUNTE
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, n)
-                out.append((key, len(s), blake2b(s.tobytes(), digest_size=16).digest(), *parity(s).tolist()))
+                out.append((key, len(s), blake2b(s.tobytes(), digest_size=16).digest(), *parity(s).tolist(), None, None))
                 summary.add(s)
             if out:
                 yield pack(arrow, list(zip(*out)))
         summary.settle()
-        none = [None] * len(summary.keys)
-        yield pack(arrow, [summary.keys.view(np.int64), summary.counts, none, none, none, none, none])
+        data = np.empty(len(summary.keys), _COUNT)
+        data["id"], data["n"] = summary.keys, summary.counts  # the keys are sorted, so a bucket is a stretch of them
+        cuts = np.searchsorted(summary.keys >> np.uint64(32), np.arange(COUNT_BUCKETS + 1, dtype=np.uint64) * np.uint64((1 << 32) // COUNT_BUCKETS))
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        none = [None] * len(full)
+        yield pack(arrow, [*[none] * 7, full.astype(np.int32), [data[cuts[i] : cuts[i + 1]].tobytes() for i in full]])
 
     return docs.select(F.col(id_col).cast("long"), utf8(text_col)).mapInArrow(run, struct)
 
 
 def element_order(counts: DataFrame, most: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
     """The commonest elements (at most `most`) and their place in the order, which they close by rising count."""
-    sums = counts.groupBy("id").agg(F.sum("size").alias("n")).where("n > 1").withColumn("level", F.floor(F.log2("n") * 4).cast("int"))
+    struct, arrow = schema_of("id long, n long")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, where = np.unique(np.concatenate([keys, *(h["id"] for h in held)]), return_inverse=True)
+            return every, np.bincount(where, np.concatenate([n, *(h["n"] for h in held)]), len(every)).astype(np.int64)
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                held.append(np.frombuffer(blob, _COUNT))
+                if sum(map(len, held)) > 1_500_000:
+                    (keys, n), held = merged(), []
+        keys, n = merged()
+        keys, n = keys[n > 1], n[n > 1]
+        for i in range(0, len(keys), 200_000):
+            yield pack(arrow, [keys[i : i + 200_000].view(np.int64), n[i : i + 200_000]])
+
+    # an element is of one bucket, so its counts meet in one task
+    sums = counts.repartition("bucket").select("data").mapInArrow(total, struct).withColumn("level", F.floor(F.log2("n") * 4).cast("int"))
     cut, held = None, 0
     for level, n in sums.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few hundred rows
         if held + n > most:
@@ -340,7 +367,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     links with nothing. An empty table gives an empty result; other columns are not read.
     """
     seen = profile(docs, n, id_col, text_col).checkpoint()
-    sets = seen.where("sig is not null")
+    sets = seen.where("sig is not null").drop("bucket", "data")
     order = element_order(seen.where("sig is null"))
     nodes = sets.where("size > 0 and id is not null")
     reps = nodes.groupBy("sig").agg(F.min("id").alias("rep"))

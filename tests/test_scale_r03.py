@@ -97,3 +97,17 @@ def test_mounts_of_one_partition_are_dealt_out(spark):
     fitted = fit.fit_mounts(mounts)
     assert fitted.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert fitted.groupBy("pitch_deg", "camera_height_m").count().count() == 1
+
+
+def test_element_counts_travel_packed(spark):
+    from ridelens.llm import jaccard_join as jj
+    from ridelens.llm.base import prepare
+
+    prepare(spark)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.col("id"), F.col("id") + 300), lambda i: i.cast("string"))).alias("text")).repartition(4)
+    seen = jj.profile(docs, 5, "doc_id", "text")
+    assert seen.where("sig is null").count() <= 4 * jj.COUNT_BUCKETS
+    keys, place = jj.element_order(seen.where("sig is null"))
+    # windows start at 0 .. 335, each is in as many texts as start there or up to 296 before
+    held = [sum(d <= w <= d + 296 for d in range(40)) for w in range(336)]
+    assert len(keys) == sum(h > 1 for h in held) and sorted(place) == list(range(len(keys)))
