@@ -268,17 +268,20 @@ def harvest_impact_windows(accel: DataFrame, *, near: DataFrame | None = None, n
 
     With `near` (rows of `key`, `ts`, track_id) each spike also gets near_track_ids: the tracks seen within `near_ns`
     of it, ascending, an empty array where there are none. `row` tells the samples of one `key` and `ts` apart. Spikes are
-    few, so they go to three time buckets each and the tracks to one; both sides are combined per bucket by a plain join.
+    few, so they go to three time buckets each, of `near_ns`. Of a track a bucket keeps its first and last time: in a spike's
+    own bucket every time is near, before it the last one decides and after it the first, so no spike meets all sightings.
     """
     az = scoring.vertical_residual(F.coalesce("z", F.lit(0.0)), cfg)
     out = accel.withColumn("_az", az).where(F.col("_az") >= cfg.spike_ms2).withColumn(
         "impact_score", F.least(F.lit(1.0), F.col("_az") / cfg.full_scale_ms2)).withColumn("used_for_alert", F.lit(False)).drop("_az")
     if near is None:
         return out
-    bucket = F.floor(F.col(ts) / near_ns)
-    spikes = out.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(row).alias("_row"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_bucket"))
-    seen = near.select(F.col(key).alias("_key"), F.col(ts).alias("_seen"), "track_id", bucket.alias("_bucket")).distinct()
-    met = spikes.join(seen, ["_key", "_bucket"]).where(F.abs(F.col("_seen") - F.col("_ts")) <= near_ns)
+    bucket = F.col(ts) - F.pmod(F.col(ts), F.lit(near_ns))  # where the bucket begins, exact for whole numbers
+    spikes = out.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(row).alias("_row"),
+                        F.explode(F.array(bucket - near_ns, bucket, bucket + near_ns)).alias("_bucket"))
+    seen = near.select(F.col(key).alias("_key"), F.col(ts).alias("_seen"), "track_id", bucket.alias("_bucket")).groupBy(
+        "_key", "_bucket", "track_id").agg(F.min("_seen").alias("_first"), F.max("_seen").alias("_last"))
+    met = spikes.join(seen, ["_key", "_bucket"]).where((F.col("_last") >= F.col("_ts") - near_ns) & (F.col("_first") <= F.col("_ts") + near_ns))
     ids = met.groupBy("_key", "_ts", "_row").agg(F.array_sort(F.collect_set("track_id")).alias("near_track_ids"))
     same = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col(ts) == F.col("_ts")) & (F.col(row) == F.col("_row"))
     joined = out.join(ids, same, "left").drop("_key", "_ts", "_row")

@@ -111,3 +111,15 @@ def test_element_counts_travel_packed(spark):
     # windows start at 0 .. 335, each is in as many texts as start there or up to 296 before
     held = [sum(d <= w <= d + 296 for d in range(40)) for w in range(336)]
     assert len(keys) == sum(h > 1 for h in held) and sorted(place) == list(range(len(keys)))
+
+
+def test_a_spike_meets_a_track_once_per_bucket(spark):
+    from ridelens.operators import reports
+
+    accel = spark.createDataFrame([(1, i, t, 30.0) for i, t in enumerate([0, 95, 100, 205, 1000])], "session_id long, event_id long, timestamp_ns long, z double")
+    rows = [(1, t, t % 7) for t in range(50, 260, 3)] + [(1, 900, 40), (1, 899, 41), (1, 1100, 42), (1, 1101, 43), (2, 1000, 44), (1, -100, 45), (1, -101, 46)]
+    near = spark.createDataFrame(rows, "session_id long, timestamp_ns long, track_id long")
+    df = reports.harvest_impact_windows(accel, near=near, near_ns=100)
+    got = {r.timestamp_ns: r.near_track_ids for r in df.collect()}
+    assert got == {t: sorted({k for s, u, k in rows if s == 1 and abs(u - t) <= 100}) for t in (0, 95, 100, 205, 1000)}
+    assert "min(_seen" in plan(df)  # one row a track and bucket, however often it was seen
