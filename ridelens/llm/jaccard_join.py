@@ -32,6 +32,7 @@ COUNTERS = 1 << 17  # of a task's summary; also the most elements whose order is
 BROADCAST_ROWS = 400_000  # requests for texts are broadcast up to this number of rows, joined beyond
 PARTNERS = 64
 COUNT_BUCKETS = 32  # a task hands on its counts as so many packed rows at most
+SPREAD = 256  # larger sets have counts of their elements by stretch of the hashes
 BLOCK = 8192  # about the rows of a list on one side of a comparison
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _COUNT = np.dtype([("id", "<u8"), ("n", "<i8")])
@@ -57,6 +58,23 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def spread(s: np.ndarray) -> bytes | None:
+    """How many elements fall on each stretch of the hashes, one stretch for eight elements or so: two sets differ in at least
+    as many elements as these counts do. Small sets, which `parity` tells apart, have none."""
+    if len(s) <= SPREAD:
+        return None
+    bits = (len(s) // 8 - 1).bit_length()
+    n = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def surely_differ(x: bytes, y: bytes) -> int:
+    """The least number of elements in which two sets with these `spread` counts differ."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    n = min(len(a), len(b))
+    return int(np.abs(a.reshape(n, -1).sum(1) - b.reshape(n, -1).sum(1)).sum())
+
+
 class Summary:
     """Misra-Gries counters over arrays of elements."""
 
@@ -84,9 +102,9 @@ class Summary:
 
 
 def profile(docs: DataFrame, n: int, id_col: str, text_col: str, k: int = COUNTERS) -> DataFrame:
-    """One pass over all texts. Rows with `sig`: id, size, sig, m (parity map). Rows without: a task's element counts of one
+    """One pass over all texts. Rows with `sig`: id, size, sig, m (parity map), counts (`spread`). Rows without: a task's element counts of one
     `bucket`, packed in `data`, so that their number does not grow with the elements that the tasks hold each for itself."""
-    struct, arrow = schema_of("id long, size long, sig binary, m0 long, m1 long, m2 long, m3 long, bucket int, data binary")
+    struct, arrow = schema_of("id long, size long, sig binary, m0 long, m1 long, m2 long, m3 long, counts binary, bucket int, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(k)
@@ -94,7 +112,7 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str, k: int = COUNTE
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, n)
-                out.append((key, len(s), blake2b(s.tobytes(), digest_size=16).digest(), *parity(s).tolist(), None, None))
+                out.append((key, len(s), blake2b(s.tobytes(), digest_size=16).digest(), *parity(s).tolist(), spread(s), None, None))
                 summary.add(s)
             if out:
                 yield pack(arrow, list(zip(*out)))
@@ -104,7 +122,7 @@ def profile(docs: DataFrame, n: int, id_col: str, text_col: str, k: int = COUNTE
         cuts = np.searchsorted(summary.keys >> np.uint64(32), np.arange(COUNT_BUCKETS + 1, dtype=np.uint64) * np.uint64((1 << 32) // COUNT_BUCKETS))
         full = np.flatnonzero(cuts[1:] > cuts[:-1])
         none = [None] * len(full)
-        yield pack(arrow, [*[none] * 7, full.astype(np.int32), [data[cuts[i] : cuts[i + 1]].tobytes() for i in full]])
+        yield pack(arrow, [*[none] * 8, full.astype(np.int32), [data[cuts[i] : cuts[i + 1]].tobytes() for i in full]])
 
     return docs.select(F.col(id_col).cast("long"), utf8(text_col)).mapInArrow(run, struct)
 
@@ -150,7 +168,7 @@ def element_order(counts: DataFrame, most: int = COUNTERS) -> tuple[np.ndarray,
 def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
     """(token, id, pos) of every prefix element that two rows share at least.
 
-    Elements of the broadcast order come as rows. All others travel packed, 20 bytes each, to the task of
+    Elements of the broadcast order come as rows. All others travel packed and compressed to the task of
     their bucket, which drops those without a partner that size and position allow: nearly all of them.
     """
     spark = docs.sparkSession
@@ -160,6 +178,21 @@ def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
     struct, arrow = schema_of("bucket int, data binary, token long, id long, pos int")
     packed = np.dtype([("token", "<u4"), ("id", "<i8"), ("pos", "<u4"), ("size", "<u4")])
 
+    def press(data: np.ndarray) -> bytes:
+        # column by column, ids as steps: what lies in one blob comes from one batch, so all but the tokens shrinks to little
+        columns = [data["token"], np.diff(data["id"], prepend=np.int64(0)), data["pos"], data["size"]]
+        return len(data).to_bytes(4, "little") + pa.compress(b"".join(c.tobytes() for c in columns), "zstd", asbytes=True)
+
+    def unpress(blob: bytes) -> np.ndarray:
+        n = int.from_bytes(blob[:4], "little")
+        raw, at = pa.decompress(pa.py_buffer(blob).slice(4), packed.itemsize * n, "zstd", asbytes=True), 0
+        data = np.empty(n, packed)
+        for name in packed.names:
+            data[name] = np.frombuffer(raw, packed[name], n, at)
+            at += packed[name].itemsize * n
+        data["id"] = np.cumsum(data["id"])
+        return data
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, place = shared.value
         for batch in batches:
@@ -194,7 +227,7 @@ def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
             data["size"] = size[by]
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
-            blobs = [data[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+            blobs = [press(data[cuts[b] : cuts[b + 1]]) for b in full]
             yield pack(arrow, [full.astype(np.int32), blobs, *[[None] * len(full)] * 3])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +236,7 @@ def postings(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
         rows = 0
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(np.frombuffer(blob, packed))
+                held.append(unpress(blob))
                 where.append(np.full(len(held[-1]), bucket, np.int64))
                 rows += len(held[-1])
         if not rows:
@@ -246,6 +279,22 @@ def _has_partner(token: np.ndarray, size: np.ndarray, pos: np.ndarray, percent:
     return alive
 
 
+def thin(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), each once, without those of large sets whose `spread` counts (id, size, counts) differ too much for a link."""
+    struct, arrow = schema_of("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, sa, sb, ca, cb = (batch.column(i).to_pylist() for i in range(6))
+            need = [-(-percent * (m + n) // (100 + percent)) if m and n else 0 for m, n in zip(sa, sb)]
+            ok = [i for i in range(len(a)) if ca[i] is None or cb[i] is None or surely_differ(ca[i], cb[i]) <= sa[i] + sb[i] - 2 * need[i]]
+            yield pack(arrow, [[a[i] for i in ok], [b[i] for i in ok]])
+
+    side = lambda x: counts.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.select("a", "b", "sa", "sb", "ca", "cb").mapInArrow(run, struct).distinct()
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, o): |a & b| of every pair, from the whole texts.
 
@@ -282,13 +331,14 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: s
     return got.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "side").mapInArrow(run, struct)
 
 
-def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(lists: DataFrame, percent: int, maps: DataFrame | None = None) -> DataFrame:
     """(a, b) of one list and two labels that pass every bound.
 
     Rows of a list come in two parts: loose ones, that do not carry its commonest label, and the rest. Both are
     cut by a hash of the id into blocks of about `BLOCK` rows. Every pair of loose blocks, and of a loose block with one
     of the rest, is a group of its own, so a task holds one loose block while another streams by, and a hot list is
-    dealt over many tasks. Lists with a single label are settled and not looked at.
+    dealt over many tasks. Lists with a single label are settled and not looked at. Parity maps are columns of `lists` or
+    come, for the rows that are left, from `maps` (id, size, m0 to m3).
     """
     struct, arrow = schema_of("a long, b long")
     names = ["id", "pos", "size", "m0", "m1", "m2", "m3", "lead", "o", "label"]
@@ -347,14 +397,16 @@ def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
     mixed = labels.groupBy("kind", "token").agg(F.max_by("label", "n").alias("most"), F.max("n").alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     mixed = mixed.select("kind", "token", "most", blocks(F.col("all") - F.col("top")).alias("few"), blocks(F.col("top")).alias("many"))
-    rows = lists.join(mixed, ["kind", "token"]).withColumn("main", F.col("label") == F.col("most"))
+    rows = lists.join(mixed, ["kind", "token"])
+    rows = (rows if maps is None else rows.join(maps, ["id", "size"])).withColumn("main", F.col("label") == F.col("most"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int"))
     # loose blocks are numbered from 0, the others from `few`; a loose block meets itself where it meets the first of the others
     met = F.when(F.col("main"), F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), F.col("block")))
     rows = rows.withColumn("block", F.when(F.col("main"), F.col("few") + F.col("block")).otherwise(F.col("block"))).withColumn("with", F.explode(met))
     left, right = F.least("block", "with"), F.greatest("block", "with")
     rows = rows.select("token", "kind", left.alias("left"), right.alias("right"), (right == F.col("few")).alias("own"), (F.col("block") > F.col("with")).alias("second"), *names)
-    return rows.repartition("token", "kind", "left", "right").sortWithinPartitions("token", "kind", "left", "right", "second").mapInArrow(run, struct).distinct()
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much to compare: not to be coalesced
+    return rows.repartition(parts, "token", "kind", "left", "right").sortWithinPartitions("token", "kind", "left", "right", "second").mapInArrow(run, struct).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +426,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     lone = nodes.join(reps, "sig").where("id = rep").dropDuplicates(["id", "sig"]).drop("rep", "sig").checkpoint()
 
     bands = F.floor(F.log(F.col("size").cast("double")) / F.lit(-log(percent / 100)))
-    lists = postings(docs, n, percent, order, id_col, text_col).join(lone, "id").withColumn("band", bands).checkpoint()
+    lists = postings(docs, n, percent, order, id_col, text_col).join(lone.select("id", "size"), "id").withColumn("band", bands).checkpoint()
     leads = lists.groupBy("kind", "token", "band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     asked = lists.join(leads, ["kind", "token", "band"]).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     one = lone.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("size", "m0", "m1", "m2", "m3")])
@@ -383,17 +435,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     far = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(m))) for m in ("m0", "m1", "m2", "m3")), F.lit(0))
     near = asked.join(one, "a").join(two, "b").where((need <= F.least("a_size", "size")) & (far <= F.col("a_size") + F.col("size") - 2 * need)).select("a", "b")
     sizes = lone.groupBy("id").agg(F.max("size").alias("size"))
+    # an id with several texts has no counts, as those of one text say nothing of the others
+    several = lone.groupBy("id").count().where("count > 1")
+    counts = lone.where("counts is not null").select("id", "size", "counts").join(several, "id", "left_anti").checkpoint()
 
     def linked(found: DataFrame) -> DataFrame:
         both = found.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b")
         return both.withColumn("ok", F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("sa") + F.col("sb") - F.col("o"))).select("a", "b", "o", "ok")
 
-    first = linked(overlaps(docs, near, n, id_col, text_col)).checkpoint()
+    first = linked(overlaps(docs, thin(near, counts, percent), n, id_col, text_col)).checkpoint()
     before = components(first.where("ok").select("a", "b"))
     known = lists.join(leads, ["kind", "token", "band"], "left").join(first.select(F.col("a").alias("lead"), F.col("b").alias("id"), "o"), ["lead", "id"], "left").join(before, "id", "left")
     own = F.when(F.col("id").eqNullSafe(F.col("lead")), F.col("size")).otherwise(F.coalesce("o", F.lit(-1)))
-    known = known.select("kind", "token", "id", "pos", "size", "m0", "m1", "m2", "m3", F.coalesce("lead", F.lit(-1)).alias("lead"), own.cast("long").alias("o"), F.coalesce("component", "id").alias("label")).checkpoint()
-    second = linked(overlaps(docs, remaining_pairs(known, percent), n, id_col, text_col)).checkpoint()
+    known = known.select("kind", "token", "id", "pos", "size", F.coalesce("lead", F.lit(-1)).alias("lead"), own.cast("long").alias("o"), F.coalesce("component", "id").alias("label")).checkpoint()
+    rest = remaining_pairs(known, percent, lone.select("id", "size", "m0", "m1", "m2", "m3"))
+    second = linked(overlaps(docs, thin(rest, counts, percent), n, id_col, text_col)).checkpoint()
     found = components(second.where("ok").select("a", "b").unionByName(before.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("c"))
     out = sets.join(named, "sig", "left")

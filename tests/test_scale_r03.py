@@ -123,3 +123,38 @@ def test_a_spike_meets_a_track_once_per_bucket(spark):
     got = {r.timestamp_ns: r.near_track_ids for r in df.collect()}
     assert got == {t: sorted({k for s, u, k in rows if s == 1 and abs(u - t) <= 100}) for t in (0, 95, 100, 205, 1000)}
     assert "min(_seen" in plan(df)  # one row a track and bucket, however often it was seen
+
+
+def test_large_unlike_texts_are_not_fetched(spark, monkeypatch):
+    import numpy as np
+
+    from ridelens.llm import jaccard_join as jj
+    from ridelens.llm.base import prepare
+
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (3000, 2100))
+    for c in (b, np.unique(np.r_[a[:2800], b[:50]]), a[:1500]):  # the last two have other numbers of counts
+        assert 0 < jj.surely_differ(jj.spread(a), jj.spread(c)) <= len(np.setxor1d(a, c))
+    assert jj.spread(a[: jj.SPREAD]) is None and jj.spread(np.zeros(4000, np.uint64)) is None
+
+    # ten texts of 1500 words share some rare words and are else unlike, two more are near copies
+    texts = [" ".join(["rare", "words", "of", "all"] * 1 + [f"w{x}" for x in rng.integers(0, 10**6, 1500)]) for _ in range(10)]
+    texts += [texts[4] + " tail", texts[5].replace("rare", "other")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, plain = [], jj.overlaps
+    monkeypatch.setattr(jj, "overlaps", lambda d, pairs, *more: asked.append(pairs) or plain(d, pairs, *more))
+    got = {r.doc_id: r.component_id for r in jj.jaccard_components(docs, 4, 85).collect()}
+    assert got == {**{i: i for i in range(10)}, 10: 4, 11: 5}
+    assert {(r.a, r.b) for p in asked for r in p.collect()} <= {(4, 10), (5, 11)}
+
+
+def test_texts_of_one_id_each_keep_their_links(spark):
+    from ridelens.llm import jaccard_join as jj
+    from ridelens.llm.base import prepare
+
+    prepare(spark)
+    long = lambda k: " ".join(f"{k}-{x}" for x in range(1500))
+    docs = spark.createDataFrame([(1, long("a")), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, long("a") + " tail"), (4, long("b"))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jj.jaccard_components(docs, 4, 85).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
