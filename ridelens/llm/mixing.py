@@ -22,6 +22,8 @@ from ridelens.llm.base import register, table
 
 BUCKETS = 1 << 16  # hashed tokens, and so the rows of the classifier that are broadcast
 BROADCAST_ROWS = 400_000  # labelled rows are broadcast up to this number, joined beyond
+PASS_ROWS = 20_000  # about the rows of a task in a pass over the memberships, which are short rows
+TRIES = 6  # steps of different lengths that one pass over the memberships tries
 STRENGTH, EFFECTIVE = 20.0, 100.0  # pseudo-counts of a bucket; tokens after which further ones weigh less
 
 
@@ -87,17 +89,26 @@ def fit_rates(members: DataFrame, weights: list[float], most: float | None = Non
     def step(r: Column, move: np.ndarray) -> Column:
         return bounded(r - sum((F.col(f"p{i}") * float(move[i]) for i in every), F.lit(0.0)))
 
-    def sums(r: Column, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        free = (F.col("r") > 0) & (F.lit(True) if most is None else F.col("r") < F.lit(float(most)))
-        weigh = F.when(free, 1.0).otherwise(bound) if most is None else F.when(F.col("clean"), 0.0).when(free, 1.0).otherwise(bound)
-        gram = [F.sum(weigh * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")) for i in every for j in every]
-        row = members.withColumn("r", r).agg(*[F.sum(F.col("r") * F.col("n") * F.col(f"p{i}")) for i in every], *gram).first()
-        got = np.array([float(x or 0.0) for x in row])
-        return got[: len(weights)], got[len(weights) :].reshape(len(weights), len(weights))
+    def sums(rate: Column, moves: list[np.ndarray], bound: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens of the domains and the Gram matrix of the free rows after each of `moves` from `rate`, in one pass."""
+        asked = []
+        for k in range(len(moves)):
+            r = F.col(f"r{k}")
+            free = (r > 0) & (F.lit(True) if most is None else r < F.lit(float(most)))
+            weigh = F.when(free, 1.0).otherwise(bound) if most is None else F.when(F.col("clean"), 0.0).when(free, 1.0).otherwise(bound)
+            asked += [F.sum(r * F.col("n") * F.col(f"p{i}")) for i in every]
+            asked += [F.sum(weigh * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")) for i in every for j in every[i:]]
+        row = members.withColumn("r", rate).withColumns({f"r{k}": step(F.col("r"), m) for k, m in enumerate(moves)}).agg(*asked).first()
+        out = []
+        for got in np.array([float(x or 0.0) for x in row]).reshape(len(moves), -1):
+            gram = np.zeros((len(weights), len(weights)))
+            gram[np.triu_indices(len(weights))] = got[len(weights) :]
+            out.append((got[: len(weights)], np.maximum(gram, gram.T)))
+        return out
 
     share = np.array(weights, float) / sum(weights)
     rate = bounded(F.lit(1.0 if most is None else float(most)))
-    total, gram = sums(rate, 1.0)  # all rates may start at the bound
+    ((total, gram),) = sums(rate, [np.zeros(len(weights))], 1.0)  # all rates may start at the bound
     there = total
     budget = there.sum()
 
@@ -112,14 +123,13 @@ def fit_rates(members: DataFrame, weights: list[float], most: float | None = Non
         some = np.arange(len(weights)) if most is None else np.flatnonzero(off)
         metric = np.zeros(len(weights))
         metric[some] = np.linalg.lstsq(gram[np.ix_(some, some)], off[some], rcond=1e-9)[0]
-        for move in (*(metric / 2**k for k in range(10)), off / there.sum(), off / (4 * there.sum())):
-            tried = step(rate, move)
-            new_total, new_gram = sums(tried, 0.01)
-            if (missed(new_total) ** 2).sum() < (off**2).sum() * (1 - 1e-6):
-                break
-        else:
+        moves = [*(metric / 2**k for k in range(10)), off / there.sum(), off / (4 * there.sum())]
+        tried = ((m, *found) for i in range(0, len(moves), TRIES) for m, found in zip(moves[i : i + TRIES], sums(rate, moves[i : i + TRIES], 0.01)))
+        better = next((x for x in tried if (missed(x[1]) ** 2).sum() < (off**2).sum() * (1 - 1e-6)), None)
+        if better is None:
             break
-        rate, total, gram = tried, new_total, new_gram
+        move, total, gram = better
+        rate = step(rate, move)
     return rate
 
 
@@ -164,7 +174,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], id_col
         clean = F.when(F.col("n") == 0, True).when(F.col("domain").isNotNull(), F.col("domain") == domains[0]).otherwise(likeliest)
         members = members.withColumn("clean", clean).drop("domain")
     members = members.checkpoint()
-    rate = fit_rates(members, [weights[d] for d in domains], most)
+    passed = members.coalesce(max(1, -(-members.count() // PASS_ROWS)))
+    rate = fit_rates(passed, [weights[d] for d in domains], most)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     out = members.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"), chance.alias("__c"))
     return out.withColumn("copies", F.floor(F.col("rate") + F.col("__c")).cast("long")).drop("__c")

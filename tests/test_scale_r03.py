@@ -158,3 +158,23 @@ def test_texts_of_one_id_each_keep_their_links(spark):
     docs = spark.createDataFrame([(1, long("a")), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, long("a") + " tail"), (4, long("b"))], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in jj.jaccard_components(docs, 4, 85).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_mixing_tries_steps_of_many_lengths_in_one_pass(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from ridelens.llm import mixing
+
+    rows = [(i, float(10 + i % 7), *p) for i, p in enumerate([(0.98, 0.01, 0.01), (0.1, 0.85, 0.05), (0.3, 0.1, 0.6), (0.5, 0.3, 0.2)] * 40)]
+    members = spark.createDataFrame(rows, "id long, n double, p0 double, p1 double, p2 double").checkpoint()
+
+    def passes(tries):
+        seen, first = [], DataFrame.first
+        monkeypatch.setattr(mixing, "TRIES", tries)
+        monkeypatch.setattr(DataFrame, "first", lambda df: seen.append(1) or first(df))
+        rate = mixing.fit_rates(members, [0.2, 0.2, 0.6])
+        monkeypatch.setattr(DataFrame, "first", first)
+        return len(seen), {r.id: r.rate for r in members.select("id", rate.alias("rate")).collect()}
+
+    (many, slow), (few, fast) = passes(1), passes(6)
+    assert slow == fast and few < many / 2
