@@ -296,12 +296,9 @@ def merge_sidecar(primary: DataFrame, sidecar: DataFrame, primary_masks: DataFra
     """
     cols = primary.columns
     prev = F.coalesce("calibrated_confidence", "model_confidence").cast("double")
-    base = primary
-    if score is not None:
-        blend = F.least(F.greatest(prev * 0.55 + F.lit(0.45 * score), F.lit(0.0)), F.lit(1.0))
-        base = base.withColumn("calibrated_confidence", blend)
     p_box = primary.select(key, *[F.col(c).alias(f"p{c}") for c in BOX])
-    pairs = overlap_join(sidecar, p_box, [key], tuple(F.col(c) for c in BOX), tuple(F.col(f"p{c}") for c in BOX))
+    # cells as wide as the larger boxes or so: most boxes lie in one, and a crowded frame is still split by place
+    pairs = overlap_join(sidecar, p_box, [key], tuple(F.col(c) for c in BOX), tuple(F.col(f"p{c}") for c in BOX), size=320.0)
     hit = pairs.where(shapes.iou([F.col(f"p{c}") for c in BOX], [F.col(c) for c in BOX]) >= iou_threshold).select(
         key, *order).distinct()
     free = sidecar.join(hit, [key, *order], "left_anti").withColumn("_same", F.lit(0.0))
@@ -318,11 +315,14 @@ def merge_sidecar(primary: DataFrame, sidecar: DataFrame, primary_masks: DataFra
         key, live.alias("_live"),
         F.when(live, F.when(road_ok, F.col("_sr")).otherwise(F.col("_pr"))).alias("road_polygon"),
         F.when(live, F.when(occ_ok, F.col("_so")).otherwise(F.col("_po"))).alias("occluded_polygons"))
-    live_keys = merged_masks.where("_live").select(key)
-    untouched = primary.join(live_keys, key, "left_anti").select(*cols)
-    merged = base.join(live_keys, key, "left_semi").select(*cols).unionByName(
-        extras.select(*cols), allowMissingColumns=False)
-    return untouched.unionByName(gate_observations(merged, merged_masks, keys=[key]))
+    masks_live = merged_masks.where("_live")
+    # frames that are not live have no mask here, so the gate leaves their rows alone
+    base = primary.join(masks_live.select(key, "_live").distinct(), key, "left")
+    if score is not None:
+        blend = F.least(F.greatest(prev * 0.55 + F.lit(0.45 * score), F.lit(0.0)), F.lit(1.0))
+        base = base.withColumn("calibrated_confidence", F.when(F.col("_live"), blend).otherwise(F.col("calibrated_confidence")))
+    merged = base.select(*cols).unionByName(extras.select(*cols), allowMissingColumns=False)
+    return gate_observations(merged, masks_live.drop("_live"), keys=[key])
 
 
 def merge_bump(primary: DataFrame, bump: DataFrame, masks: DataFrame, *, key: str = "frame",

@@ -178,3 +178,17 @@ def test_mixing_tries_steps_of_many_lengths_in_one_pass(spark, monkeypatch):
 
     (many, slow), (few, fast) = passes(1), passes(6)
     assert slow == fast and few < many / 2
+
+
+def test_primary_boxes_are_read_once_for_live_and_other_frames(spark):
+    cols = "frame long, seq long, price double, x0 double, y0 double, x1 double, y1 double, model_confidence double, calibrated_confidence double"
+    primary = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0, 9.0, 9.0, 0.5, None), (2, 1, 1.0, 0.0, 0.0, 9.0, 9.0, 0.5, None), (None, 1, 1.0, 0.0, 0.0, 9.0, 9.0, 0.5, 0.2),
+                                     (3, 1, 1.0, 0.0, 0.0, 9.0, 9.0, 0.5, 0.4)], cols)
+    sidecar = spark.createDataFrame([(1, 2, 1.0, 500.0, 500.0, 900.0, 560.0, 0.5, 0.3), (1, 3, 1.0, 1.0, 1.0, 9.0, 9.0, 0.5, 0.3)], cols)
+    mask = "frame long, road_polygon array<array<double>>, occluded_polygons array<array<array<double>>>"
+    away = [[100.0, 100.0], [200.0, 100.0], [200.0, 200.0], [100.0, 200.0]]
+    df = spatial.merge_sidecar(primary, sidecar, spark.createDataFrame([(2, away, []), (2, away, [])], mask), spark.createDataFrame([(3, away, [])], mask), score=1.0)
+    got = sorted((r.frame or 0, r.seq, r.calibrated_confidence and round(r.calibrated_confidence, 6)) for r in df.collect())
+    # frame 2 and the row without a frame are not live: neither blended nor gated; frame 3 is live and its box is off the road
+    assert got == [(0, 1, 0.2), (1, 1, 0.725), (1, 2, 0.3), (2, 1, None)]
+    assert plan(df).count("LeftAnti") == 1  # the sidecar's
