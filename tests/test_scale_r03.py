@@ -192,3 +192,16 @@ def test_primary_boxes_are_read_once_for_live_and_other_frames(spark):
     # frame 2 and the row without a frame are not live: neither blended nor gated; frame 3 is live and its box is off the road
     assert got == [(0, 1, 0.2), (1, 1, 0.725), (1, 2, 0.3), (2, 1, None)]
     assert plan(df).count("LeftAnti") == 1  # the sidecar's
+
+
+def test_windows_are_dealt_over_all_tasks(spark):
+    from ridelens.operators import timejoin
+
+    frames = [(r, i, i * 130) for r in (1, 2) for i in range(30)] + [(1, 30, None), (None, 31, 130)]
+    imu = [(r, i, i * 37 - 200, "GYRO") for r in (1, 2) for i in range(120)] * 2 + [(1, 500, None, "GYRO"), (None, 501, 130, "GYRO")]
+    df = timejoin.imu_window(spark.createDataFrame(frames, "session_id long, frame_index long, sensor_timestamp_ns long"),
+                             spark.createDataFrame(imu, "session_id long, sample_id long, timestamp_ns long, sensor_type string"), half_ns=300, order=("sample_id",))
+    got = sorted((r.session_id, r.frame_index, r.sample_id) for r in df.collect())
+    assert got == sorted((a, i, j) for a, i, t in frames for b, j, u, _ in imu if a is not None and a == b and None not in (t, u) and abs(t - u) < 300)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert plan(df).count("RepartitionByExpression") == 2 and plan(df).count(f"], {tasks}") >= 2
