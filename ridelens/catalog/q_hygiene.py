@@ -275,8 +275,7 @@ def _(v: Views):
 
 @query("read_file_inventory")
 def _(v: Views):
-    files = v.spark.read.format("binaryFile").load(v.sf_dir)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    return bundles.file_digests(v.spark, v.sf_dir).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "length", "sha256")
 
 
 # --- windows ---------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ridelens.operators.rows import coarsen_locations, redact_events
 from ridelens.plans.packing import next_fit
 from ridelens.schemas import LOGS
-from ridelens.sources.bundles import route_imu
+from ridelens.sources.bundles import file_digests, route_imu
 
 SHARE_NOTE = " | share pack: GPS coarsened, paths and coordinates redacted"
 
@@ -129,9 +129,9 @@ def share_export(tables: dict[str, DataFrame], out: str) -> None:
 
 def written_files(spark: SparkSession, root: str) -> DataFrame:
     """session_id, path below `root` and SHA-256 of every data file of tables written per session."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = file_digests(spark, root, recursiveFileLookup=True)
     inside = F.regexp_extract("path", r"/([^/]+/session_id=.*/part-[^/]+)$", 1)
-    return files.select(F.regexp_extract("path", r"/session_id=([^/]+)/", 1).alias("session_id"), inside.alias("path"), F.sha2("content", 256).alias("sha256")).where("path <> ''")
+    return files.select(F.regexp_extract("path", r"/session_id=([^/]+)/", 1).alias("session_id"), inside.alias("path"), "sha256").where("path <> ''")
 
 
 # --- verification ------------------------------------------------------------------------------

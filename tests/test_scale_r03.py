@@ -205,3 +205,38 @@ def test_windows_are_dealt_over_all_tasks(spark):
     assert got == sorted((a, i, j) for a, i, t in frames for b, j, u, _ in imu if a is not None and a == b and None not in (t, u) and abs(t - u) < 300)
     tasks = spark.conf.get("spark.sql.shuffle.partitions")
     assert plan(df).count("RepartitionByExpression") == 2 and plan(df).count(f"], {tasks}") >= 2
+
+
+def test_large_files_are_hashed_split_by_split(spark, tmp_path, monkeypatch):
+    import gzip
+    import hashlib
+    import random
+
+    from ridelens.functions import digest
+    from ridelens.sources import bundles
+
+    rng = random.Random(3)
+    files = {"a.bin": rng.randbytes(90_001), "b c%20.bin": rng.randbytes(50_000) + b"\n", "mark.txt": b"\xef\xbb\xbf" + b"line \r\n" * 9_000, "mark2.txt": b"\xef\xbb\xbf\n" + rng.randbytes(40_000) + b"x",
+             "long.bin": b"x" * 70_000 + b"\n" + b"\0" * 9_000, "ends.txt": b"\n" * 50_000, "packed.gz": gzip.compress(rng.randbytes(60_000)), "false.GZ": rng.randbytes(60_000), "small.bin": b"abc"}
+    (tmp_path / "sub").mkdir()
+    for name, data in files.items():
+        (tmp_path / "sub" / name).write_bytes(data)
+    want = {(name, len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+    rounds, before = [], {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    kept = bundles._hash_splits
+    monkeypatch.setattr(bundles, "_hash_splits", lambda parts, due: rounds.append(due) or kept(parts, due))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = bundles.file_digests(spark, str(tmp_path / "sub"), whole=20_000).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert {(r.path.rsplit("/", 1)[1], r.length, r.sha256) for r in got} == want and len(got) == len(want)
+    assert len(rounds) == 6 and len(rounds[0]) == 6  # files of at most six splits, without small and packed ones
+    data = rng.randbytes(1_000)
+    monkeypatch.setattr(digest, "_native", lambda: None)
+    state = digest.Sha256()
+    for i in range(0, len(data), 37):
+        state = digest.update(state, data[i : i + 37])
+    assert digest.hexdigest(state) == hashlib.sha256(data).hexdigest()
