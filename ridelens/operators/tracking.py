@@ -9,6 +9,7 @@ in time order (`plans.fold`), so only the live tracks are held in memory.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,30 +27,31 @@ FRAME = ["timestamp_ns", "frame_id", "quality_ok", "allow_new", "yaw_rate", "fra
 
 # process noise of a place, a speed and a size, in shares of the configured one
 _NOISE = (1.0, 4.0, 0.5)
+_KEPT = ("obs_index", "frame_id", "semantic_type", "geometry_type", "state", "severity", "model_confidence", "quality_at_mask")
 _CARRIED = (("semantic_type", "unknown_anomaly"), ("geometry_type", "unknown"), ("state", "unknown"), ("severity", -1))
 
 
 def new_tracker() -> dict:
-    """Live tracks of one session: motion state and boxes as arrays (row i = i-th live track), the rest as dicts.
+    """Live tracks of one session: motion state and boxes as arrays (column i = i-th live track), the rest as dicts.
 
     The filter moves x, y, width and height independently and alike, so the covariance of a track is four numbers:
     place, place with speed, speed (the same for x and y) and size (the same for width and height). `dead`, `gone` and
     `last` repeat what the dicts say of expiry, so that timed-out candidates cost no Python step.
     """
-    return {"next": 1, "last": None, "ids": np.zeros(0, dtype=np.int64), "mean": np.zeros((0, 6)), "cov": np.zeros((0, 4)),
-            "box": np.zeros((0, 4)), "dead": np.zeros(0, dtype=bool), "gone": np.zeros(0, dtype=bool), "seen": np.zeros(0, dtype=np.int64), "info": []}
+    return {"next": 1, "last": None, "ids": np.zeros(0, dtype=np.int64), "mean": np.zeros((6, 0)), "cov": np.zeros((4, 0)),
+            "box": np.zeros((4, 0)), "dead": np.zeros(0, dtype=bool), "gone": np.zeros(0, dtype=bool), "seen": np.zeros(0, dtype=np.int64), "info": []}
 
 
 def _predict(s: dict, dt: float, shift: float, cfg: TrackingConfig) -> None:
-    mean, cov = s["mean"], s["cov"]
-    mean[:, :2] += dt * mean[:, 2:4]
-    mean[:, 0] += shift
+    mean, (place, cross, speed, size) = s["mean"], s["cov"]
+    mean[:2] += dt * mean[2:4]
+    mean[0] += shift
     noise = cfg.process_noise * max(dt, 1e-3)
-    cross = cov[:, 1] + dt * cov[:, 2]
-    cov[:, 0] += dt * cov[:, 1] + dt * cross + noise * _NOISE[0]
-    cov[:, 1] = cross
-    cov[:, 2] += noise * _NOISE[1]
-    cov[:, 3] += noise * _NOISE[2]
+    moved = cross + dt * speed
+    place += dt * cross + dt * moved + noise * _NOISE[0]
+    cross[:] = moved
+    speed += noise * _NOISE[1]
+    size += noise * _NOISE[2]
 
 
 def _correct(mean: list[float], cov: list[float], z: tuple[float, ...], cfg: TrackingConfig) -> tuple[list[float], list[float]]:
@@ -62,31 +64,37 @@ def _correct(mean: list[float], cov: list[float], z: tuple[float, ...], cfg: Tra
             [(1.0 - kx) * place, (1.0 - kx) * cross, speed - kv * cross, (1.0 - ks) * size])
 
 
+def _overlap(a: list[float], b: tuple[float, ...]) -> float:
+    """Share of the union of two boxes that both cover."""
+    if not (a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]):
+        return 0.0
+    inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - inter
+    return inter / union if inter > 0 and union > 0 else 0.0
+
+
 def _pairs(s: dict, obs: list[dict], cfg: TrackingConfig) -> list[tuple[float, int, int, int]]:
     """Admissible (score, track id, observation, row) of one frame, best first; ties go to the larger id, then the later box."""
-    if not len(s["ids"]) or not obs:
+    n = len(s["ids"])
+    if not n or not obs:
         return []
-    tb, ob = s["box"], np.array([o["box"] for o in obs])
-    z = np.array([o["z"][:2] for o in obs])
+    tb, ob = s["box"][:, None], np.array([o["box"] for o in obs]).T[:, :, None]
+    off = s["mean"][:2, None] - np.array([o["z"][:2] for o in obs]).T[:, :, None]
     # most pairs are far apart and touch nothing; the others are scored
-    dx, dy = s["mean"][:, None, 0] - z[None, :, 0], s["mean"][:, None, 1] - z[None, :, 1]
-    near = (np.abs(dx) <= cfg.center_match_px) & (np.abs(dy) <= cfg.center_match_px)
-    touch = ((tb[:, None, 0] < ob[None, :, 2]) & (ob[None, :, 0] < tb[:, None, 2])
-             & (tb[:, None, 1] < ob[None, :, 3]) & (ob[None, :, 1] < tb[:, None, 3]))
-    rows, cols = np.nonzero(near | touch | (cfg.iou_match <= 0))
-    if not len(rows):
+    near, touch = np.abs(off) <= cfg.center_match_px, (tb[:2] < ob[2:]) & (ob[:2] < tb[2:])
+    met = (near[0] & near[1]) | (touch[0] & touch[1])
+    at = np.arange(met.size) if cfg.iou_match <= 0 else np.flatnonzero(met)
+    if not len(at):
         return []
-    t, o = tb[rows], ob[cols]
-    dist = np.hypot(dx[rows, cols], dy[rows, cols])
-    inter = np.prod(np.clip(np.minimum(t[:, 2:], o[:, 2:]) - np.maximum(t[:, :2], o[:, :2]), 0, None), axis=1)
-    union = np.prod(np.clip(t[:, 2:] - t[:, :2], 0, None), axis=1) + np.prod(np.clip(o[:, 2:] - o[:, :2], 0, None), axis=1) - inter
-    iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
-    good = np.flatnonzero((iou >= cfg.iou_match) | (dist < cfg.center_match_px))
-    out = []
-    for a, b, overlap, far in zip(rows[good].tolist(), cols[good].tolist(), iou[good].tolist(), dist[good].tolist()):
-        sem = obs[b]["semantic_type"]
-        same = sem == "unknown_anomaly" or sem == s["info"][a]["semantic_type"]
-        out.append((overlap * (1.2 if same else 0.7) - far / 400.0, int(s["ids"][a]), b, a))
+    row, out = at % n, []
+    dist, boxes, ids = np.hypot(*off.reshape(2, -1)[:, at]).tolist(), s["box"][:, row].T.tolist(), s["ids"][row].tolist()
+    for a, b, far, box, i in zip(row.tolist(), (at // n).tolist(), dist, boxes, ids):
+        o = obs[b]
+        overlap = _overlap(box, o["box"])
+        if overlap >= cfg.iou_match or far < cfg.center_match_px:
+            sem = o["semantic_type"]
+            same = sem == "unknown_anomaly" or sem == s["info"][a]["semantic_type"]
+            out.append((overlap * (1.2 if same else 0.7) - far / 400.0, i, b, a))
     out.sort(reverse=True)
     return out
 
@@ -108,8 +116,8 @@ def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -
     notes: dict[int, str | None] = {}
     for row, j in taken.items():
         t, o = s["info"][row], obs[j]
-        s["mean"][row], s["cov"][row] = _correct(s["mean"][row].tolist(), s["cov"][row].tolist(), o["z"], cfg)
-        s["box"][row] = o["box"]
+        s["mean"][:, row], s["cov"][:, row] = _correct(s["mean"][:, row].tolist(), s["cov"][:, row].tolist(), o["z"], cfg)
+        s["box"][:, row] = o["box"]
         t.update(misses=0, quality_at_mask=o["quality_at_mask"], frame_id=o["frame_id"], obs_index=o["obs_index"], fade=1.0,
                  model_confidence=0.7 * t["model_confidence"] + 0.3 * o["model_confidence"])
         t.update({c: o[c] for c, unknown in _CARRIED if o[c] != unknown})
@@ -135,23 +143,21 @@ def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -
                                                "frame_id", "obs_index")}, "misses": 0, "fade": 1.0, "life": life})
     if fresh:
         n = len(fresh)
-        z = np.array([o["z"] for _, o in fresh])
-        s["ids"] = np.append(s["ids"], s["next"] + np.arange(n))
+        new = {"ids": s["next"] + np.arange(n), "mean": np.array([(x, y, 0.0, 0.0, w, h) for x, y, w, h in (o["z"] for _, o in fresh)]).T,
+               "cov": np.array([(40.0, 0.0, 40.0, 40.0)] * n).T, "box": np.array([o["box"] for _, o in fresh]).T,
+               **{c: np.zeros(n, dtype=s[c].dtype) for c in ("dead", "gone", "seen")}}
         s["next"] += n
-        s["mean"] = np.vstack([s["mean"], np.column_stack([z[:, 0], z[:, 1], np.zeros((n, 2)), z[:, 2], z[:, 3]])])
-        s["cov"] = np.vstack([s["cov"], np.tile([40.0, 0.0, 40.0, 40.0], (n, 1))])
-        s["box"] = np.vstack([s["box"], [o["box"] for _, o in fresh]])
-        for c in ("dead", "gone", "seen"):
-            s[c] = np.append(s[c], np.zeros(n, dtype=s[c].dtype))
-    for row in sorted({*live, *taken, *range(len(s["info"]) - len(fresh), len(s["info"]))}):
+        for c, values in new.items():
+            s[c] = np.concatenate([s[c], values], axis=-1)
+    rows = sorted({*live, *taken, *range(len(s["info"]) - len(fresh), len(s["info"]))})
+    for row, track, m, box in zip(rows, s["ids"][rows].tolist(), s["mean"][:2, rows].T.tolist(), s["box"][:, rows].T.tolist()):
         t = s["info"][row]
         state = t["life"]["state"]
         if state == "EXPIRED":
             s["dead"][row], s["gone"][row], s["seen"][row] = True, t["fade"] < 0.05, t["life"]["last"]
             if notes.get(row) is None and row not in taken:
                 continue
-        m, box = s["mean"][row].tolist(), s["box"][row].tolist()
-        yield {"track_id": int(s["ids"][row]), "timestamp_ns": now, "frame_id": t["frame_id"], "lifecycle_state": state, "hits": t["life"]["hits"],
+        yield {"track_id": track, "timestamp_ns": now, "frame_id": t["frame_id"], "lifecycle_state": state, "hits": t["life"]["hits"],
                "misses": t["misses"], "age_s": (now - t["life"]["created"]) / 1e9, "fade": t["fade"], "semantic_type": t["semantic_type"],
                "geometry_type": t["geometry_type"], "object_state": t["state"], "severity": t["severity"], "model_confidence": t["model_confidence"],
                "quality_at_mask": t["quality_at_mask"], "mean_x": m[0], "mean_y": m[1], "x0": box[0], "y0": box[1],
@@ -159,31 +165,28 @@ def update_tracker(s: dict, frame: dict, obs: list[dict], cfg: TrackingConfig) -
     keep = ~s["dead"] | (~s["gone"] & ((now - s["seen"]) / 1e9 <= cfg.expired_memory_s))
     if not keep.all():
         for c in ("ids", "mean", "cov", "box", "dead", "gone", "seen"):
-            s[c] = s[c][keep]
-        s["info"] = [t for t, k in zip(s["info"], keep) if k]
-
-
-def read_frame(c: dict, i: int) -> tuple[dict, dict | None]:
-    """Frame columns of row i and its detection, if it has one."""
-    frame = {n: c[n][i] for n in FRAME}
-    if c["obs_index"][i] is None:
-        return frame, None
-    o = {n: c[n][i] for n in ("obs_index", "frame_id", "semantic_type", "geometry_type", "state", "severity", "model_confidence", "quality_at_mask")}
-    x0, y0, x1, y1 = (c[n][i] for n in ("x0", "y0", "x1", "y1"))
-    o["box"] = (x0, y0, x1, y1)
+            s[c] = s[c][..., keep]
+        for row in np.flatnonzero(~keep)[::-1].tolist():
+            del s["info"][row]
+
+
+def read_observation(c: dict, i: int) -> dict:
+    """The detection of row i."""
+    o = {n: c[n][i] for n in _KEPT}
+    x0, y0, x1, y1 = o["box"] = (c["x0"][i], c["y0"][i], c["x1"][i], c["y1"][i])
     o["z"] = (c["contact_x"][i], c["contact_y"][i], max(4.0, x1 - x0), max(4.0, y1 - y0))
-    return frame, o
+    return o
 
 
 def step_rows(state: dict, c: dict, span: range, emit, cfg: TrackingConfig) -> None:
     """Walk rows; a frame is processed when the next one begins (see `flush`)."""
+    ids, found = c["frame_id"], c["obs_index"]
     for i in span:
-        frame, o = read_frame(c, i)
-        if state["frame"] is None or frame["frame_id"] != state["frame"]["frame_id"]:
+        if state["frame"] is None or ids[i] != state["frame"]["frame_id"]:
             flush(state, emit, cfg)
-            state["frame"] = frame
-        if o is not None:
-            state["obs"].append(o)
+            state["frame"] = {n: c[n][i] for n in FRAME}
+        if found[i] is not None:
+            state["obs"].append(read_observation(c, i))
 
 
 def flush(state: dict, emit, cfg: TrackingConfig) -> None:
@@ -206,8 +209,10 @@ def track_sessions(observations: DataFrame, *, key: str = "session_id", cfg: Tra
     key_t = dict(observations.dtypes)[key]
     names = [c.split()[0] for c in OUTPUT.split(", ")]
 
+    values = itemgetter(*names)
+
     def emitter(state: dict, out: list):
-        return lambda row: out.append((state["key"], *(row[n] for n in names)))
+        return lambda row: out.append((state["key"], *values(row)))
 
     def step(state: dict, c: dict, span: range, out: list) -> None:
         state["key"] = c[key][span[0]]
